@@ -94,7 +94,7 @@ class Words:
 
 def words_of(texts: pa.Array, separators: np.ndarray, lower: bool = False) -> Words:
     """Words of texts without nulls: maximal runs of bytes that are no separators."""
-    ended = pc.binary_join_element_wise(texts.cast(pa.large_binary()), b"\n", b"") if len(texts) else pa.array([], pa.large_binary())
+    ended = pc.binary_join_element_wise(texts.cast(pa.large_binary()), pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary())) if len(texts) else pa.array([], pa.large_binary())
     if isinstance(ended, pa.ChunkedArray):
         ended = ended.combine_chunks()
     offsets = np.frombuffer(ended.buffers()[1], dtype=np.int64)[ended.offset : ended.offset + len(ended) + 1] if len(ended) else np.zeros(1, np.int64)
