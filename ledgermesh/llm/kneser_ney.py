@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgermesh.llm.text import LOWER, WHITE, mix, rolled, slices, words_of
+from ledgermesh.session import cut
 
 BEGIN, END = 0x20, 0x0A
 SHIFT = 48
@@ -179,16 +180,15 @@ def build_model(docs: DataFrame, classes: int = 1, lower: bool = False) -> DataF
     The table is written to the checkpoint folder.
     """
     cs = range(classes) if classes > 1 else range(0)
-    grams = count_grams(docs, classes, lower).checkpoint()
+    grams = cut(count_grams(docs, classes, lower))
     key = F.col("key")
     pooled = sum((F.col(f"n{c}") for c in range(1, classes)), F.col("n0"))
     before = grams.filter(_order(key) >= 2).groupBy(suffix(key).alias("key")).agg(F.count("*").alias("different"))  # symbols before it
     own = _by_order(key, lambda k: _raw(key, k))
     parts = ["", *map(str, cs)]
-    counted = (
+    counted = cut(
         grams.join(before, "key", "left")
         .select("key", context(key).alias("ctx"), F.when(own, pooled).otherwise(F.coalesce("different", F.lit(0))).alias("c"), *(F.when(own, F.col(f"n{c}")).otherwise(0).alias(f"c{c}") for c in cs))
-        .checkpoint()
     )
     tally = counted.groupBy(_order(key).alias("k")).agg(*(F.sum((F.col(f"c{c}") == i).cast("long")).alias(f"t{c}_{i}") for c in parts for i in range(1, 5))).collect()  # ORDER rows at most
     d = {(r["k"], c): discounts([r[f"t{c}_{i}"] or 0 for i in range(1, 5)]) for r in tally for c in parts}
@@ -205,7 +205,7 @@ def build_model(docs: DataFrame, classes: int = 1, lower: bool = False) -> DataF
     adds = cut.join(total, "ctx").select("key", *(F.when(F.col(f"s{c}") > 0, (F.col(f"c{c}") - F.col(f"o{c}")) / F.col(f"s{c}")).otherwise(0.0).alias(f"a{c}") for c in parts), *(F.lit(0.0).alias(f"g{c}") for c in parts))
     hands = total.select(F.col("ctx").alias("key"), *(F.lit(0.0).alias(f"a{c}") for c in parts), *(F.when(F.col(f"s{c}") > 0, F.col(f"w{c}") / F.col(f"s{c}") - 1).otherwise(0.0).alias(f"g{c}") for c in parts))
     both = adds.unionByName(hands).groupBy("key").agg(*(F.sum(x).cast("float").alias(x) for c in parts for x in (f"a{c}", f"g{c}")))
-    return both.checkpoint()
+    return cut(both)
 
 
 # ---------------------------------------------------------------- scoring

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.llm.kneser_ney import build_model, labelled, score
 from ledgermesh.llm.text import texts_of
+from ledgermesh.session import cut
 
 #: A document is rejected above this quantile of its language's trusted perplexities, times the margin.
 QUANTILE = 0.999
@@ -30,7 +31,7 @@ def quality_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUAN
     rows = labelled(texts_of(docs, "doc_id", "lang"), labels, "quality")
     model = build_model(rows.select("text", F.when(F.col("_quality") == 1, 0).alias("class")))
     scored = score(rows, model).select("doc_id", "lang", "n_words", perplexity().alias("perplexity"), (F.col("_quality") == 1).alias("_trusted"))
-    scored = scored.checkpoint()
+    scored = cut(scored)
     trusted = scored.filter(F.col("_trusted") & F.col("perplexity").isNotNull())
     cut = F.percentile_approx("perplexity", quantile, 10_000) * margin
     by_lang = F.broadcast(trusted.groupBy(F.col("lang").alias("_lang")).agg(cut.alias("_own"), F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_TRUSTED).limit(10_000))  # languages

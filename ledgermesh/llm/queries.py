@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgermesh.llm.quality import quality_documents
+
+    return quality_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_matroska_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgermesh.llm.matroska import media_documents
 
@@ -34,8 +40,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_MODEL))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgermesh.llm.toxicity import toxicity_documents
+
+    return toxicity_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_matroska_columns, op4_license_scan, op6_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality_perplexity, op3_matroska_columns, op4_license_scan, op6_sentencepiece, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.llm.kneser_ney import build_model, labelled, score
 from ledgermesh.llm.text import texts_of
+from ledgermesh.session import cut
 
 #: A word speaks for a class if its log-likelihood ratio is beyond FREE; what is beyond counts up to MOST.
 FREE, MOST = 2.0, 6.0
@@ -54,8 +55,8 @@ def toxicity_documents(docs: DataFrame, labels: DataFrame, threshold: float = TH
     model = build_model(rows.select("text", F.when(~F.col("_fit"), F.col("_toxic")).alias("class")), classes=2, lower=True)
     scored = score(rows, model, lower=True, sums={"llr": lambda ll: ll[2] - ll[1], "strong": lambda ll: np.clip(ll[2] - ll[1] - FREE, 0, MOST)})
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    scored = scored.select("doc_id", "_fit", "_toxic", "n_words", (F.col("llr") / n).alias("ratio"), (F.col("llr") / F.sqrt(n)).alias("_z"), (F.col("strong") / n).alias("_rate"), F.log1p("strong").alias("_strong")).checkpoint()
-    sample = scored.filter("_fit").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(CALIBRATION_ROWS).select(*FEATURES, "_toxic").toPandas()
+    scored = cut(scored.select("doc_id", "_fit", "_toxic", "n_words", (F.col("llr") / n).alias("ratio"), (F.col("llr") / F.sqrt(n)).alias("_z"), (F.col("strong") / n).alias("_rate"), F.log1p("strong").alias("_strong")))
+    sample = scored.filter("_fit").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(CALIBRATION_ROWS).select(*FEATURES, "_toxic").toPandas()  # CALIBRATION_ROWS rows at most
     if sample["_toxic"].nunique() < 2:
         points = F.lit(0.0)
     else:
