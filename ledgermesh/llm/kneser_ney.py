@@ -200,9 +200,9 @@ def build_model(docs: DataFrame, classes: int = 1, lower: bool = False) -> DataF
 
         return _by_order(key, pick)
 
-    cut = counted.select("*", *(off(c).alias(f"o{c}") for c in parts))
-    total = cut.groupBy("ctx").agg(*(F.sum(f"c{c}").alias(f"s{c}") for c in parts), *(F.sum(f"o{c}").alias(f"w{c}") for c in parts))
-    adds = cut.join(total, "ctx").select("key", *(F.when(F.col(f"s{c}") > 0, (F.col(f"c{c}") - F.col(f"o{c}")) / F.col(f"s{c}")).otherwise(0.0).alias(f"a{c}") for c in parts), *(F.lit(0.0).alias(f"g{c}") for c in parts))
+    lowered = counted.select("*", *(off(c).alias(f"o{c}") for c in parts))
+    total = lowered.groupBy("ctx").agg(*(F.sum(f"c{c}").alias(f"s{c}") for c in parts), *(F.sum(f"o{c}").alias(f"w{c}") for c in parts))
+    adds = lowered.join(total, "ctx").select("key", *(F.when(F.col(f"s{c}") > 0, (F.col(f"c{c}") - F.col(f"o{c}")) / F.col(f"s{c}")).otherwise(0.0).alias(f"a{c}") for c in parts), *(F.lit(0.0).alias(f"g{c}") for c in parts))
     hands = total.select(F.col("ctx").alias("key"), *(F.lit(0.0).alias(f"a{c}") for c in parts), *(F.when(F.col(f"s{c}") > 0, F.col(f"w{c}") / F.col(f"s{c}") - 1).otherwise(0.0).alias(f"g{c}") for c in parts))
     both = adds.unionByName(hands).groupBy("key").agg(*(F.sum(x).cast("float").alias(x) for c in parts for x in (f"a{c}", f"g{c}")))
     return cut(both)

@@ -33,9 +33,9 @@ def quality_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUAN
     scored = score(rows, model).select("doc_id", "lang", "n_words", perplexity().alias("perplexity"), (F.col("_quality") == 1).alias("_trusted"))
     scored = cut(scored)
     trusted = scored.filter(F.col("_trusted") & F.col("perplexity").isNotNull())
-    cut = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    by_lang = F.broadcast(trusted.groupBy(F.col("lang").alias("_lang")).agg(cut.alias("_own"), F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_TRUSTED).limit(10_000))  # languages
-    overall = F.broadcast(trusted.agg(cut.alias("_all")))  # one row
-    joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(overall, how="left")
-    limit = F.coalesce("_own", "_all", F.lit(float("inf")))
+    mark = F.percentile_approx("perplexity", quantile, 10_000) * margin
+    by_lang = trusted.groupBy(F.col("lang").alias("_lang")).agg(mark.alias("_own"), F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_TRUSTED).drop("_n")
+    overall = trusted.agg(mark.alias("mark")).first()["mark"]  # one row
+    joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    limit = F.coalesce("_own", F.lit(float("inf") if overall is None else overall))
     return joined.select("doc_id", "lang", "n_words", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("keep"))

@@ -40,6 +40,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_MODEL))
 
 
+def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgermesh.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgermesh.llm.toxicity import toxicity_documents
 
@@ -47,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_perplexity, op3_matroska_columns, op4_license_scan, op6_sentencepiece, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_perplexity, op3_matroska_columns, op4_license_scan, op6_sentencepiece, op7_minhash_forest, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
