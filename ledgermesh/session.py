@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,3 +52,28 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(root))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df, written as a Parquet table in the checkpoint folder and read back: for wide rows, that cut() would keep uncompressed.
+
+    The table goes when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoints(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _STORED:
+        atexit.register(_drop, spark)
+    _STORED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_STORED: list[str] = []
+
+
+def _drop(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _STORED:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
