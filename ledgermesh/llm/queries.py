@@ -32,6 +32,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgermesh.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=13)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_perplexity, op3_matroska_columns, op4_license_scan, op6_sentencepiece, op7_minhash_forest, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_perplexity, op3_matroska_columns, op4_license_scan, op5_seed_and_extend, op6_sentencepiece, op7_minhash_forest, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
