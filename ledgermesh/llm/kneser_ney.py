@@ -31,6 +31,8 @@ SHIFT = 48
 ORDER = 5
 #: An unseen byte has this probability where no n-gram is known.
 UNIFORM = 1.0 / 257.0
+#: Words whose likelihoods are computed together.
+WORDS_AT_ONCE = 50_000
 #: Class labels on at most so many documents are sent to each executor; beyond it they are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
 
@@ -42,7 +44,7 @@ class Vocabulary:
     """Distinct words of a block and, for each word of each row, its number among them."""
 
     def __init__(self, batch: pa.RecordBatch, lower: bool):
-        hashes, pieces, numbers, counts, base = [], [], [], [], 0
+        hashes, parts, numbers, counts, base = [], [], [], [], 0
         for part in slices(batch):
             w = words_of(part.column("text"), WHITE)
             counts.append(w.counts())
@@ -53,20 +55,21 @@ class Vocabulary:
             own, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
             start, end = w.start[first], w.end[first]
             hashes.append(own)
-            pieces.append((gather(buf, start, end), end - start))
-            numbers.append(inverse.astype(np.int64) + base)
+            parts.append((gather(buf, start, end), end - start))
+            numbers.append(inverse.astype(np.int32) + np.int32(base))
             base += len(own)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         if not hashes:
             self.bytes, self.length, self.number = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         _, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        number = inverse[np.concatenate(numbers)]
+        number = inverse.astype(np.int32)[np.concatenate(numbers)]
+        del numbers
         order = np.argsort(-np.bincount(number, minlength=len(first)), kind="stable")  # frequent words get small numbers
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.number = rank[number]
-        data, length = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
+        data, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         at = np.cumsum(length) - length
         pick = first[order]
         self.bytes, self.length = gather(data, at[pick], at[pick] + length[pick]), length[pick]
@@ -75,41 +78,77 @@ class Vocabulary:
 def gather(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The bytes of the ranges, one after another."""
     length = end - start
-    if not len(length):
-        return np.zeros(0, np.uint8)
-    shift = np.repeat(start - (np.cumsum(length) - length), length)
-    return buf[np.arange(int(length.sum())) + shift]
+    out = np.empty(int(length.sum()), np.uint8)
+    done = 0
+    for a in range(0, len(length), WORDS_AT_ONCE):
+        own = length[a : a + WORDS_AT_ONCE]
+        n = int(own.sum())
+        at = np.arange(n)
+        at += np.repeat(start[a : a + WORDS_AT_ONCE] - (np.cumsum(own) - own), own)
+        out[done : done + n] = buf[at]
+        done += n
+    return out
+
+
+def pieces(data: np.ndarray, length: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """The words in portions of WORDS_AT_ONCE: their numbers, bytes and lengths."""
+    edge = np.concatenate([[0], np.cumsum(length)])
+    for a in range(0, len(length), WORDS_AT_ONCE):
+        b = min(len(length), a + WORDS_AT_ONCE)
+        yield slice(a, b), data[edge[a] : edge[b]], length[a:b]
 
 
-def gram_keys(data: np.ndarray, length: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order, the key of the n-gram that ends at each symbol (0 where none does); the place of each symbol in its word; its word."""
-    total = int(length.sum()) + 2 * len(length)
+def symbols_of(data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' symbols with their marks, the place of each in its word, and its word."""
     begin = np.cumsum(length + 2) - (length + 2)
-    symbols = np.empty(total, np.int64)
-    word = np.repeat(np.arange(len(length)), length + 2)
-    place = np.arange(total) - begin[word]
+    word = np.repeat(np.arange(len(length), dtype=np.int32), length + 2)
+    place = np.arange(len(word), dtype=np.int64)
+    place -= begin[word]
+    place = place.astype(np.int32)
+    symbols = np.empty(len(word), np.uint8)
     symbols[begin] = BEGIN
     symbols[begin + length + 1] = END
     symbols[(place > 0) & (place <= length[word])] = data
-    keys, value = [], np.zeros(total, np.int64)
-    for k in range(1, ORDER + 1):
-        before = np.zeros(total, np.int64)
-        before[1:] = value[:-1]
-        value = (before << 8) | symbols
-        keys.append(np.where(place >= k - 1, value | (k << SHIFT), 0))
-    return keys, place, word
+    return symbols, place, word
 
 
-def gram_counts(words: Vocabulary, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of all orders that predict a symbol, and their sums of the words' weights (one column a class)."""
-    keys, place, word = gram_keys(words.bytes, words.length)
-    out_keys, out_counts = [], []
-    for own in keys:
-        use = (own > 0) & (place > 0)
-        distinct, inverse = np.unique(own[use], return_inverse=True)
-        out_keys.append(distinct)
-        out_counts.append(np.stack([np.bincount(inverse, weights=weight[c][word[use]], minlength=len(distinct)) for c in range(len(weight))], axis=1))
-    return np.concatenate(out_keys), np.concatenate(out_counts)
+def gram_keys(symbols: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order in turn, the key of the n-gram that ends at each symbol (0 where none does)."""
+    value = np.zeros(len(symbols), np.int64)
+    for k in range(1, ORDER + 1):
+        value[1:] = value[:-1].copy()
+        value[:1] = 0
+        value <<= 8
+        value |= symbols
+        yield np.where(place >= k - 1, value | (k << SHIFT), 0)
+
+
+def gram_counts(words: Vocabulary, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By order: distinct n-grams that predict a symbol, and the sums of the words' weights (one column a class)."""
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER)]
+    for which, data, length in pieces(words.bytes, words.length):
+        symbols, place, word = symbols_of(data, length)
+        own_weight = weight[:, which]
+        for into, own in zip(found, gram_keys(symbols, place), strict=True):
+            use = (own > 0) & (place > 0)
+            distinct, inverse = np.unique(own[use], return_inverse=True)
+            of = word[use]
+            into.append((distinct, np.stack([np.bincount(inverse, weights=x[of], minlength=len(distinct)) for x in own_weight], axis=1)))
+    for of_order in found:
+        if of_order:
+            distinct, inverse = np.unique(np.concatenate([k for k, _ in of_order]), return_inverse=True)
+            counts = np.concatenate([c for _, c in of_order])
+            yield distinct, np.stack([np.bincount(inverse, weights=counts[:, c], minlength=len(distinct)) for c in range(len(weight))], axis=1).astype(np.int64)
+
+
+def gram_set(words: Vocabulary) -> Iterator[np.ndarray]:
+    """By order: the distinct n-grams of the words, begin marks included."""
+    found: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
+    for _, data, length in pieces(words.bytes, words.length):
+        symbols, place, _ = symbols_of(data, length)
+        for into, own in zip(found, gram_keys(symbols, place), strict=True):
+            into.append(np.unique(own[own > 0]))
+    return (np.unique(np.concatenate(x)) for x in found if x)
 
 
 # ---------------------------------------------------------------- model
@@ -163,10 +202,9 @@ def count_grams(docs: DataFrame, classes: int, lower: bool) -> DataFrame:
             words = Vocabulary(batch, lower)
             of = np.repeat(batch.column("class").to_numpy(zero_copy_only=False).astype(np.int64), words.counts)
             weight = np.stack([np.bincount(words.number[of == c], minlength=len(words.length)) for c in range(classes)]) if len(of) else np.zeros((classes, 0))
-            keys, counts = gram_counts(words, weight)
-            counts = counts.astype(np.int64)
-            for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), *(pa.array(counts[a : a + 100_000, c]) for c in range(classes))], names=["key", *names])
+            for keys, counts in gram_counts(words, weight):
+                for a in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), *(pa.array(counts[a : a + 100_000, c]) for c in range(classes))], names=["key", *names])
 
     parts = docs.select("text", F.col("class").cast("int").alias("class")).mapInArrow(run, "key long, " + ", ".join(f"{n} long" for n in names))
     return parts.groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
@@ -242,12 +280,15 @@ def _block_id(batch: pa.RecordBatch) -> int:
 
 def word_scores(words_bytes: np.ndarray, length: np.ndarray, keys: np.ndarray, adds: list[np.ndarray], hands: list[np.ndarray]) -> list[np.ndarray]:
     """Log-likelihood of each word in the common model, then in each class, from a model's sorted keys and their columns."""
-    grams, place, word = gram_keys(words_bytes, length)
+    if len(length) > WORDS_AT_ONCE:
+        parts = [word_scores(data, own, keys, adds, hands) for _, data, own in pieces(words_bytes, length)]
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
+    symbols, place, word = symbols_of(words_bytes, length)
     n = len(word)
     empty = len(keys) and keys[0] == 0
     p = [np.full(n, UNIFORM) for _ in adds]
     hand = [np.full(n, 1.0 + (h[0] if empty else 0.0)) for h in hands]  # the weight that this order's context hands down
-    for own in grams:
+    for own in gram_keys(symbols, place):
         reach = own > 0
         at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
         hit = (keys[at] == own) & reach if len(keys) else np.zeros(n, bool)
@@ -279,13 +320,11 @@ def score(docs: DataFrame, model: DataFrame, lower: bool = False, sums: dict[str
                 continue
             words = Vocabulary(batch, lower)
             block = _block_id(batch)
-            asked = [np.zeros(1, np.int64)]
-            for own in gram_keys(words.bytes, words.length)[0]:
-                asked.append(np.unique(own[own > 0]))
-            keys = np.concatenate(asked)
-            for a in range(0, len(keys), 100_000):
-                part = keys[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part)], names=["block", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0])], names=["block", "key"])
+            for keys in gram_set(words):
+                for a in range(0, len(keys), 100_000):
+                    part = keys[a : a + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part)], names=["block", "key"])
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
