@@ -20,6 +20,12 @@ def op1_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgermesh.llm.mixing import mix_order
+
+    return mix_order(_table(spark, sf_dir, "documents"))
+
+
 def op3_matroska_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgermesh.llm.matroska import media_documents
 
@@ -52,6 +58,18 @@ def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgermesh.llm.vector_search import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgermesh.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgermesh.llm.toxicity import toxicity_documents
 
@@ -59,7 +77,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_perplexity, op3_matroska_columns, op4_license_scan, op5_seed_and_extend, op6_sentencepiece, op7_minhash_forest, op10_toxicity)}
+    found = (
+        op1_quality_perplexity,
+        op2_pfair_mixing,
+        op3_matroska_columns,
+        op4_license_scan,
+        op5_seed_and_extend,
+        op6_sentencepiece,
+        op7_minhash_forest,
+        op8_learned_partitions,
+        op9_bootstrapped_pii,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
