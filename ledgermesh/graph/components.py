@@ -41,7 +41,7 @@ def _contract(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     least = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("least"))
-    return both.filter("dst > src").join(least, F.col("src") == F.col("node")).select(F.col("dst").alias("src"), F.col("least").alias("dst")).filter("src <> dst").distinct()
+    return both.filter("dst > src").join(least, F.col("src") == F.col("node")).select(F.col("dst").alias("src"), F.col("least").alias("dst")).filter("src <> dst")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -56,21 +56,27 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 30)))).first())
 
 
-def component_members(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+#: Edges that one task contracts in its memory.
+CONTRACTED = 250_000
+
+
+def component_members(edges: DataFrame, max_rounds: int = 100, contracted: int = CONTRACTED) -> DataFrame:
     """(id, component) of each node of an edge that isn't its component's smallest one.
 
     edges: src, dst (long). Nulls and loops are left out, and direction and repeats don't matter.
-    Each round cuts its lineage; memory is bounded by a partition's edges.
+    Edges are contracted in tasks of about `contracted` rows first; what several tasks hold is then joined by
+    rounds that cut their lineage.
     """
-    edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst")
-    state = cut(_contract(edges))
-    before = _mark(state)
+    edges = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst"), contracted)
+    tasks = edges.rdd.getNumPartitions()
+    state = cut(_contract(edges), contracted)
+    before = None if tasks == 1 else _mark(state)  # one task has seen every edge
     for _ in range(max_rounds):
-        state = cut(_small_star(_large_star(state)))
-        now = _mark(state)
-        if now == before:
+        if before is None:
             break
-        before = now
+        state = cut(_small_star(_large_star(state)), contracted)
+        now = _mark(state)
+        before = None if now == before else now
     else:
         raise RuntimeError(f"no convergence in {max_rounds} rounds")
     return state.select(F.col("src").alias("id"), F.col("dst").alias("component"))

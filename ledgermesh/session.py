@@ -29,10 +29,14 @@ def checkpoints(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the checkpoint folder, without their lineage."""
+def cut(df: DataFrame, rows: int = 0) -> DataFrame:
+    """The rows of df, computed once and kept in the checkpoint folder, without their lineage.
+
+    rows: gather them in partitions of about so many rows, so that a small table doesn't go on in many tasks.
+    """
     checkpoints(df.sparkSession)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    return kept.coalesce(max(1, -(-kept.count() // rows))) if rows else kept
 
 
 _SHIPPED: set[str] = set()
