@@ -183,21 +183,26 @@ def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (
     return rows.mapInArrow(run, schema)
 
 
-def digest_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, by the prefix table."""
-    rows = texts_of(docs, "doc_id")
-    schema = f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def digest_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """`keep`, n_tokens, ids_sha256 and decoded_sha256 of each row, by the prefix table; the ids too (little-endian unsigned 32-bit integers) if asked for."""
+    rows = texts_of(docs, *keep)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model_path)
         sha = hashlib.sha256
         for batch in batches:
-            n, first, second = [], [], []
-            for text in batch.column("text"):
-                ids = table.encode(text.as_py())
-                n.append(len(ids) // 4)
-                first.append(sha(ids).hexdigest())
-                second.append(sha(table.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                n, first, second, kept = [], [], [], []
+                for text in part.column("text"):
+                    ids = table.encode(text.as_py())
+                    n.append(len(ids) // 4)
+                    first.append(sha(ids).hexdigest())
+                    second.append(sha(table.decode(ids).encode()).hexdigest())
+                    if with_ids:
+                        kept.append(ids)
+                columns = [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string()), *([pa.array(kept, pa.binary())] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return rows.mapInArrow(run, schema)

@@ -106,6 +106,6 @@ def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, b
 
 def mix_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
     """All rows and columns of docs in the order of the mixture: partitions are ranges of it, sorted within."""
-    ranked = _ranked(docs, weights, block).select(*docs.columns, "_position")
-    return ranked.repartitionByRange(F.col("_position")).sortWithinPartitions("_position").drop("_position")
-
+    packed = docs.select("doc_id", "source", F.struct("*").alias("_row"))  # so that no column's name can clash
+    ranked = _ranked(packed, weights, block).select("_row", "_position")
+    return ranked.repartitionByRange(F.col("_position")).sortWithinPartitions("_position").select("_row.*")

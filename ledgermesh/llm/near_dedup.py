@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermesh.graph.components import component_members
@@ -26,6 +26,8 @@ DEEPEST = 12
 SLOTS = ORDERS * LEAST_DEPTH
 #: Next rows of an order that a row meets.
 NEIGHBOURS = 3
+#: Rows of a partition of tables that are cut: classes with their signatures, and pairs.
+CLASS_ROWS, PAIR_ROWS = 10_000, 200_000
 #: Candidates below this share of equal signature values aren't confirmed: four deviations below 0.8.
 LEAST_ESTIMATE = 0.6
 
@@ -48,7 +50,7 @@ def minhash(rows: np.ndarray, values: np.ndarray, n: int = SLOTS) -> tuple[np.nd
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (128 bits that name the set; null without one) and sig (SLOTS big-endian 32-bit values)."""
+    """doc_id, n_shingles, s1 and s2 (128 bits that name the set; null without one), sig (SLOTS big-endian 32-bit values) and low (their last bytes)."""
     rows = texts_of(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,18 +59,19 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 r, v = shingle_sets(words_of(part.column("text"), WHITE, lower=True), k)
                 own, sig = minhash(r, v)
                 count = np.bincount(r, minlength=part.num_rows)
-                s1, s2, packed = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64), [None] * part.num_rows
+                s1, s2 = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
+                packed, low = [None] * part.num_rows, [None] * part.num_rows
                 if len(own):
                     first = np.searchsorted(r, own)
                     s1[own] = np.add.reduceat(mix(v, 21), first).view(np.int64)
                     s2[own] = np.bitwise_xor.reduceat(mix(v, 22), first).view(np.int64)
-                    big = sig.astype(">u4")
+                    big, last = sig.astype(">u4"), sig.astype(np.uint8)
                     for i, row in enumerate(own.tolist()):
-                        packed[row] = big[i].tobytes()
+                        packed[row], low[row] = big[i].tobytes(), last[i].tobytes()
                 none = count == 0
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(s1, mask=none), pa.array(s2, mask=none), pa.array(packed, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(s1, mask=none), pa.array(s2, mask=none), pa.array(packed, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig", "low"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary, low binary")
 
 
 def _orders(classes: DataFrame) -> DataFrame:
@@ -110,16 +113,16 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, est): share of equal signature values of pairs whose share is at least LEAST_ESTIMATE."""
-    sig = classes.select("id", "sig")
-    joined = pairs.select("a", "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+    """(a, b, est): estimated similarity of pairs, where it is at least LEAST_ESTIMATE, from one byte of each signature value."""
+    low = classes.select("id", "low")
+    joined = pairs.select("a", "b").join(low.select(F.col("id").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SLOTS) for c in "xy")
-            est = (x == y).mean(axis=1)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in "xy")
+            est = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # unequal values share a byte once in 256
             use = est >= LEAST_ESTIMATE
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[use]) for c in "ab"] + [pa.array(est[use])], names=["a", "b", "est"])
 
@@ -157,20 +160,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     its component_id is null and it is kept. Other columns are left out.
     """
     sig = cut(signatures(docs, k))
-    classes = sig.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig"), "s1", "s2", "n_shingles")
-    classes = cut(classes)
-    pairs = cut(estimated(candidates(classes), classes))
-    likeliest = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
+    classes = sig.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "sig", "low")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig"), F.col("m.low").alias("low"), "s1", "s2", "n_shingles")
+    classes = cut(classes, CLASS_ROWS)
+    pairs = cut(estimated(candidates(classes), classes), PAIR_ROWS)
+    likeliest = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")), PAIR_ROWS)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = stored(texts_of(docs, "doc_id").withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"))
-    links = cut(confirmed(likeliest, texts, k, percent).distinct())
+    links = cut(confirmed(likeliest, texts, k, percent).distinct(), PAIR_ROWS)
     found = component_members(links)
-    left, right = (found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    apart = pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    apart = apart.join(likeliest.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(confirmed(apart, texts, k, percent).distinct())
-    if not more.isEmpty():
-        found = component_members(links.union(more))
+    tested = likeliest
+    for final in (False, True):  # first each one's likeliest partner with a larger id, then all that are still apart
+        left, right = (found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        apart = pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "est")
+        apart = apart.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        if not final:
+            apart = apart.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
+            tested = cut(tested.select("a", "b").union(apart.select("a", "b")), PAIR_ROWS)
+            apart = tested.join(likeliest.select("a", "b"), ["a", "b"], "left_anti")
+        more = cut(confirmed(apart, texts, k, percent).distinct(), PAIR_ROWS)
+        if not more.isEmpty():
+            links = links.union(more)
+            found = component_members(links)
     # nodes of one class, and rows of one doc_id in several classes, belong together
     of_class = sig.filter("n_shingles > 0 and doc_id is not null").join(classes.select("s1", "s2", "n_shingles", "id"), ["s1", "s2", "n_shingles"]).select("doc_id", "id").distinct()
     home = of_class.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c"))
@@ -182,3 +192,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     out = sig.select("doc_id", "n_shingles").join(split.select("doc_id", "c"), "doc_id", "left")
     component = F.coalesce("c", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates keeps: one of each doc_id, and every row without one."""
+    kept = near_duplicates(docs, k, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tag"))
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("_tag"))
+    named = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", first).filter("_n = 1")
+    return named.select("_row.*").unionByName(rows.filter("_id is null").select("_row.*"))

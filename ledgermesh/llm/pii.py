@@ -126,11 +126,6 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return cut(patterns.filter((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("support") >= LEAST_SUPPORT)).select("label", "confidence"))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    text = plain(F.col("text"))
-    return docs.select("*", text.alias("_plain"), F.xxhash64(text).alias("_tag"))
-
-
 def discovered(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, more): spans that confident patterns discover beside the base ones, by document and text."""
     rows = docs.select("doc_id", F.xxhash64(plain(F.col("text"))).alias("tag"), plain(F.col("text")).alias("text")).filter(F.rlike("text", F.lit(LABEL + VALUE)))
@@ -166,13 +161,21 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """docs with every span masked in text and n_chars (where it exists) counted anew; null texts stay null."""
-    more = discovered(docs)
-    rows = docs.withColumn("_tag", F.xxhash64(plain(F.col("text"))))
-    rows = rows.join(more.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_own"), "more"), (F.col("doc_id") == F.col("_id")) & (F.col("_tag") == F.col("_own")), "left")
-    safe = plain(F.col("text"))
-    spans = F.concat(base_spans(safe), F.coalesce("more", _no_spans()))
-    out = rows.withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """docs with every span masked in text and n_chars (where it exists) counted anew; null texts stay null, other columns as they are."""
+    more = discovered(docs).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_own"), "more")
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(plain(F.col("text"))).alias("_tag"))
+    rows = rows.join(more, (F.col("_row.doc_id") == F.col("_id")) & (F.col("_tag") == F.col("_own")), "left")
+    text = F.col("_row.text").cast("string")
+    rows = rows.withColumn("_spans", F.concat(base_spans(plain(text)), F.coalesce("more", _no_spans())))
+    found = F.size("_spans") > 0
+    rows = rows.withColumn("_masked", F.when(found, masked(text, F.col("_spans"))).otherwise(text))
+
+    def column(f) -> Column:
+        own = F.col(f"_row.`{f.name}`")
+        if f.name == "text":
+            return F.col("_masked").alias("text")
+        if f.name == "n_chars":
+            return F.when(found, F.length("_masked").cast(f.dataType)).otherwise(own).alias("n_chars")
+        return own.alias(f.name)
+
+    return rows.select(*map(column, docs.schema.fields))

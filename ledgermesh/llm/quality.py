@@ -28,9 +28,21 @@ def quality_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUAN
     white space has no perplexity and isn't kept. Without any trusted text no threshold exists and every
     text with words is kept. Repeated rows repeat; columns other than doc_id, text and lang are left out.
     """
-    rows = labelled(texts_of(docs, "doc_id", "lang"), labels, "quality")
+    return _decided(docs, labels, quantile, margin).drop("_tag")
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_documents keeps."""
+    kept = _decided(docs, labels, quantile, margin).filter("keep").select("doc_id", "lang", "_tag").distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_own"))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("_row.lang").eqNullSafe(F.col("lang")) & (F.col("_own") == F.col("_tag"))
+    return rows.join(kept, same, "left_semi").select("_row.*")
+
+
+def _decided(docs: DataFrame, labels: DataFrame, quantile: float, margin: float) -> DataFrame:
+    rows = labelled(texts_of(docs, "doc_id", "lang"), labels, "quality").withColumn("_tag", F.xxhash64("text"))
     model = build_model(rows.select("text", F.when(F.col("_quality") == 1, 0).alias("class")))
-    scored = score(rows, model).select("doc_id", "lang", "n_words", perplexity().alias("perplexity"), (F.col("_quality") == 1).alias("_trusted"))
+    scored = score(rows, model).select("doc_id", "lang", "_tag", "n_words", perplexity().alias("perplexity"), (F.col("_quality") == 1).alias("_trusted"))
     scored = cut(scored)
     trusted = scored.filter(F.col("_trusted") & F.col("perplexity").isNotNull())
     mark = F.percentile_approx("perplexity", quantile, 10_000) * margin
@@ -38,4 +50,4 @@ def quality_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUAN
     overall = trusted.agg(mark.alias("mark")).first()["mark"]  # one row
     joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     limit = F.coalesce("_own", F.lit(float("inf") if overall is None else overall))
-    return joined.select("doc_id", "lang", "n_words", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("keep"))
+    return joined.select("doc_id", "lang", "_tag", "n_words", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("keep"))
