@@ -34,10 +34,8 @@ def shares(weights: list[float], period: int = PERIOD) -> list[int]:
     while sum(out) < period:
         out[order[k % len(out)]] += 1
         k += 1
-    while (over := sum(out) - period) > 0:
-        for i in sorted(range(len(out)), key=lambda i: (exact[i] - out[i], i))[:over]:
-            if out[i] > 1:
-                out[i] -= 1
+    for _ in range(sum(out) - period):  # where least shares of 1 took more than the period has
+        out[max((i for i in range(len(out)) if out[i] > 1), key=lambda i: (out[i] - exact[i], i))] -= 1
     return out
 
 
