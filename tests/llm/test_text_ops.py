@@ -1,0 +1,195 @@
+"""Operators on single texts: media, licences, tokens, personal data."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from ledgermesh.llm import bpe, licenses, matroska, pii
+from ledgermesh.llm.license_rules import BASE, rules
+
+from .helpers import TEXTS, awkward, documents, empty, lower
+
+tokenizers = pytest.importorskip("public_tokenizers")
+MODEL = tokenizers.path("piece_bpe_32k.model")
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# ---------------------------------------------------------------- Matroska
+
+
+@pytest.mark.parametrize("lacing", ["ebml", "xiph", "fixed"])
+def test_media_round_trip(lacing):
+    for size in (1, 192, 193, 192 * 8, 192 * 8 * 32 + 5, 200_000):
+        payload = matroska.padded(bytes(random.Random(size).randrange(256) for _ in range(size)))
+        stored = matroska.write_audio(payload, lacing)
+        media = matroska.read(stored)
+        assert b"".join(stored[p.start : p.end] for p in media.packets) == payload
+        assert [p.timestamp_ns for p in media.packets] == [i * 24_000_000 for i in range(len(payload) // 192)]
+        assert media.cues_hold() and len(media.cues) == len(media.clusters)
+
+
+@pytest.mark.parametrize("how, bits", [("xiph", 1), ("ebml", 3)])
+def test_lacing_of_uneven_frames(how, bits):
+    frames = [b"x" * n for n in (3, 300, 255, 0, 70_000, 1)]
+    flags, body = matroska.lace(frames, how)
+    assert flags >> 1 == bits
+    assert [body[a:b] for a, b in matroska.frame_ranges(body, 0, len(body), bits)] == frames
+
+
+def test_cut_media_raise():
+    stored = matroska.write_audio(matroska.padded(b"some text"))
+    for n in (3, 20, len(stored) - 1):
+        with pytest.raises(ValueError):
+            matroska.read(stored[:n])
+
+
+def test_media_documents(spark):
+    rows = matroska.media_documents(awkward(spark)).collect()
+    assert len(rows) == len(TEXTS) + 4
+    by_id = {r.doc_id: r for r in rows}
+    for i, t in enumerate(TEXTS):
+        raw = (t or "").encode()
+        if i == 7:
+            continue  # its id repeats with another text
+        padded = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        r = by_id[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+    assert by_id[0].media_sha256 == by_id[1].media_sha256
+    assert matroska.media_documents(empty(spark)).count() == 0
+
+
+# ---------------------------------------------------------------- licences
+
+
+def base_places(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    return len(words), sorted((i, label) for phrase, label in BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
+
+
+def test_license_base_places(spark):
+    rng = random.Random(4)
+    tokens = "under the mit license apache version 2 2.0 cc by nc CC-BY-NC License, é the-mit".split()
+    texts = TEXTS + [rng.choice(" \n-.").join(rng.choices(tokens, k=rng.randint(1, 40))) for _ in range(300)]
+    got = {r.doc_id: r for r in licenses.scan_documents(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        n, places = base_places(t)
+        r = got[i]
+        assert (r.n_words, r.n_base) == (n, len(places))
+        assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) or not r.base_labels
+        assert 0 <= r.score <= 1
+
+
+def test_license_rules_and_suppression():
+    scanner = licenses.Scanner()
+    assert len(scanner.rules) > 300
+    label = lambda s: sorted({d.label for d in scanner.scan(s.encode().lower())})
+    assert label("SPDX-License-Identifier: GPL-3.0-or-later") == ["gpl-3"]
+    assert label("This work is licensed under the GNU General Public License, version 3.") == ["gpl"]
+    assert label("CC BY-NC-SA 4.0 license") == ["cc-by-nc", "cc-by-nc-sa"]  # the base phrase stays
+    assert label("nothing of the kind") == []
+    inner, outer = licenses.Detection("x", 5, 30, 3, 4, False), licenses.Detection("y", 2, 60, 1, 6, False)
+    assert licenses.suppress([inner, outer]) == [outer]
+    assert licenses.suppress([licenses.Detection("x", 5, 90, 3, 4, False), outer])[0] == outer
+    assert [r.priority for r in rules()] == sorted((r.priority for r in rules()), reverse=True)
+
+
+def test_license_awkward(spark):
+    assert licenses.scan_documents(awkward(spark)).count() == len(TEXTS) + 4
+    assert licenses.scan_documents(empty(spark)).count() == 0
+
+
+# ---------------------------------------------------------------- SentencePiece
+
+
+def test_bpe_equals_the_library():
+    import numpy as np
+    import sentencepiece
+
+    own, lib = bpe.table_of(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(5)
+    texts = [t or "" for t in TEXTS] + ["  a  b", "▁", "a▁b", "<s> x </s> <0x41>", "a" * 70, " " * 40 + "x", "�", "日本語テキスト"]
+    texts += ["".join(rng.choices("abcdehilnorst  .,'AT0é日\n▁😀", k=rng.randint(1, 80))) for _ in range(1500)]
+    for t in texts:
+        ids = own.encode(t)
+        wanted = lib.encode(t, add_bos=True, add_eos=True)
+        assert np.frombuffer(ids, "<u4").tolist() == wanted
+        assert own.decode(ids) == lib.decode(wanted)
+
+
+def test_bpe_documents(spark):
+    rows = bpe.digest_documents(awkward(spark), MODEL).collect()
+    assert len(rows) == len(TEXTS) + 4
+    none = next(r for r in rows if r.doc_id == 5)
+    assert none.n_tokens == 2 and none.decoded_sha256 == digest("")
+    assert next(r for r in rows if r.doc_id == 0).decoded_sha256 == digest(TEXTS[0])
+    assert bpe.digest_documents(empty(spark), MODEL).count() == 0
+    full = bpe.encode_documents(documents(spark), MODEL).collect()
+    assert {r.doc_id: r.decoded for r in full}[9] == TEXTS[9]
+
+
+# ---------------------------------------------------------------- personal data
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PATTERNS:
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            bad = kind == "ip" and any(int(x) > 255 for x in m.group().split("."))
+            bad |= kind == "card" and not (16 <= len(d) <= 19 and luhn(d))
+            bad |= kind == "phone" and not 8 <= len(d) <= 15
+            if not bad:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii_base_spans(spark):
+    rng = random.Random(6)
+    texts = TEXTS + ["a@b.c.d_d@e.f", "😀 x@y.zz 1.2.3.4.5 256.1.1.1 001.2.3.004", "\x01a@b.c\x01", "1" * 6000, "+1+1 2345 6789", "4111-1111-1111-1111 4111 1111 1111 1112"]
+    texts += ["".join(rng.choices("ab1.2@+- ()5😀_:=\x01", k=rng.randint(5, 80))) for _ in range(800)]
+    for r in pii.find_pii(documents(spark, texts)).collect():
+        wanted = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == digest(",".join(wanted))
+        assert r.spans.startswith(",".join(wanted))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in wanted) for k, _ in PATTERNS]
+
+
+def test_pii_discovers_and_masks(spark):
+    hexes = [digest(str(i))[:32] for i in range(6)]
+    texts = [f"use api_key = {h} now" for h in hexes] + ["use api_key = hunter2secret now", "note: hunter2secret", None, "mail a@b.example.org and 10.0.0.1!"]
+    docs = documents(spark, texts)
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert got[6].spans == "secret:14:27" and got[7].spans == ""
+    masked = {r.doc_id: r for r in pii.mask_pii(docs).collect()}
+    assert masked[6].text == "use api_key = [SECRET] now" and masked[6].n_chars == len(masked[6].text)
+    assert masked[9].text == "mail [EMAIL] and [IP]!" and masked[8].text is None and masked[7].text == texts[7]
+
+
+def test_pii_awkward(spark):
+    docs = awkward(spark)
+    assert pii.find_pii(docs).count() == len(TEXTS) + 4
+    assert pii.mask_pii(docs).columns == docs.columns and pii.mask_pii(docs).count() == len(TEXTS) + 4
+    assert pii.find_pii(empty(spark)).count() == 0 and pii.mask_pii(empty(spark)).count() == 0
