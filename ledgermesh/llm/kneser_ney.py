@@ -356,7 +356,7 @@ def score(docs: DataFrame, model: DataFrame, lower: bool = False, sums: dict[str
             total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[number])])[edge])  # noqa: B023, E731
             table = table.append_column("n_symbols", pa.array(np.rint(total((length + 1).astype(np.float64))).astype(np.int64), pa.int64()))
             for name, of in sums.items():
-                table = table.append_column(name, pa.array(total(of(ll))))
+                table = table.append_column(name, pa.array(total(of(ll)).astype(np.float64)))
             out.append(table)
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
 
