@@ -13,7 +13,6 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Slots of a period, at least; one for each source at any rate. The driver holds one number a slot.
 PERIOD = 10_000
@@ -21,7 +20,10 @@ BLOCK = 64
 #: Default weights are the sources' row counts to this power.
 TEMPERATURE = 0.7
 #: Rows of one source that are ranked together.
-RANKED = 50_000
+RANKED = 2_000
+
+SOURCES = "_i int, _source string, _share long, _groups long"
+SLOTS = "_i int, _k long, _t long"
 
 
 def shares(weights: list[float], period: int = PERIOD) -> list[int]:
@@ -75,18 +77,18 @@ def _ranked(docs: DataFrame, weights: dict[str | None, float] | None, block: int
     spark = docs.sparkSession
     source = F.col("source").cast("string")
     counts = docs.groupBy(source.alias("source")).agg(F.count("*").alias("n")).orderBy("source").collect()  # a row for each source, as the weights are
-    schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_share", T.IntegerType()), T.StructField("_slots", T.ArrayType(T.IntegerType())), T.StructField("_groups", T.LongType())])
-    plan = F.broadcast(spark.createDataFrame(_plan(counts, weights) if counts else [], schema))  # PERIOD slots in all
+    made = _plan(counts, weights) if counts else []
+    plan = F.broadcast(spark.createDataFrame([(i, name, share, groups) for i, (name, share, _, groups) in enumerate(made)], SOURCES))
+    slots = F.broadcast(spark.createDataFrame([(i, k, t) for i, (_, _, own, _) in enumerate(made) for k, t in enumerate(own)], SLOTS))  # a row for each slot of the period
     h = F.xxhash64(F.col("doc_id").cast("string"))
     rows = docs.join(plan, source.eqNullSafe(F.col("_source"))).withColumn("_hash", h).withColumn("_group", F.pmod("_hash", "_groups"))
-    groups = docs.select(source.alias("_s"), h.alias("_h")).join(plan.drop("_slots", "_share"), F.col("_s").eqNullSafe(F.col("_source"))).groupBy(F.col("_s"), F.pmod("_h", "_groups").alias("_g")).agg(F.count("*").alias("_rows"))
-    before = groups.select("_s", "_g", (F.sum("_rows").over(Window.partitionBy("_s").orderBy("_g")) - F.col("_rows")).alias("_before"))
-    rows = rows.join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g")))
-    within = F.row_number().over(Window.partitionBy("_source", "_group").orderBy("_hash", "doc_id"))
-    rank = F.col("_before") + within - 1
-    period = max(PERIOD, len(counts))
-    rows = rows.withColumn("_rank", rank).withColumn("_block", F.floor(F.col("_rank") / block).cast("long"))
-    slot = F.floor(F.col("_block") / F.col("_share")).cast("long") * period + F.element_at("_slots", (F.pmod("_block", "_share") + 1).cast("int")).cast("long")
+    groups = docs.select(source.alias("_s"), h.alias("_h")).join(plan, F.col("_s").eqNullSafe(F.col("_source"))).groupBy("_i", F.pmod("_h", "_groups").alias("_group")).agg(F.count("*").alias("_rows"))
+    before = groups.select("_i", "_group", (F.sum("_rows").over(Window.partitionBy("_i").orderBy("_group")) - F.col("_rows")).alias("_before"))
+    # rank and join deal the rows out by the same keys, once
+    rows = rows.withColumn("_within", F.row_number().over(Window.partitionBy("_i", "_group").orderBy("_hash", "doc_id"))).join(before, ["_i", "_group"])
+    rows = rows.withColumn("_rank", F.col("_before") + F.col("_within") - 1).withColumn("_block", F.floor(F.col("_rank") / block).cast("long")).withColumn("_k", F.pmod("_block", "_share"))
+    rows = rows.join(slots, ["_i", "_k"])
+    slot = F.floor(F.col("_block") / F.col("_share")).cast("long") * max(PERIOD, len(counts)) + F.col("_t")
     return rows.withColumn("_slot", slot).withColumn("_position", F.col("_slot") * block + F.pmod("_rank", F.lit(block)))
 
 
