@@ -1 +1 @@
-"""..."""
+"""Scalar functions as Column expressions."""

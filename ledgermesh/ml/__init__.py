@@ -1 +1 @@
-"""..."""
+"""Feature, metric and model operators."""

@@ -1 +1 @@
-"""..."""
+"""Relational operators of the pipelines."""

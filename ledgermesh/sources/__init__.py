@@ -1 +1 @@
-"""..."""
+"""Typed loaders and writers."""

@@ -1 +1 @@
-"""..."""
+"""The transfer aggregate over streams."""
