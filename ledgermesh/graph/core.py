@@ -38,12 +38,17 @@ def triplets(vertices: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
     return edges.join(side("src"), "src").join(side("dst"), "dst")
 
 
+def among(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The edges with both ends among the vertices."""
+    src, dst = (vertices.select(F.col("id").alias(end)) for end in ("src", "dst"))
+    return edges.join(src, "src", "left_semi").join(dst, "dst", "left_semi").select(*edges.columns)
+
+
 def subgraph(vertices: DataFrame, edges: DataFrame, vertex: Column | None = None, edge: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges that satisfy the predicates; an edge goes with either of its ends."""
     if vertex is not None:
         vertices = vertices.filter(vertex)
-        ids = vertices.select("id")
-        edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        edges = among(edges, vertices)
     return vertices, edges if edge is None else edges.filter(edge)
 
 

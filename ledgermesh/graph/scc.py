@@ -5,22 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermesh.graph.core import vertices_of
+from ledgermesh.graph.core import among, vertices_of
 from ledgermesh.session import cut
 
 ROWS = 200_000
 
 
-def _among(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-
-
 def _trim(ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without vertices that no edge enters or none leaves, again and again."""
     size = ids.count()
     while size:
         ids = cut(edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id"))), ROWS)
-        edges = cut(_among(edges, ids), ROWS)
+        edges = cut(among(edges, ids), ROWS)
         now = ids.count()
         if now == size:
             break
@@ -65,7 +61,7 @@ def strong_components(edges: DataFrame, iterations: int, vertices: DataFrame | N
         found = _back(_colour(left, live), live)
         done = found if done is None else cut(done.union(found), ROWS)
         left = cut(left.join(found, "id", "left_anti"), ROWS)
-        live = cut(_among(live, left), ROWS)
+        live = cut(among(live, left), ROWS)
     if done is None:
         return ids.select("id", F.col("id").alias("component"))
     return ids.join(done, "id", "left").select("id", F.coalesce("colour", "id").alias("component"))
