@@ -31,6 +31,8 @@ SHIFT = 48
 ORDER = 5
 #: An unseen byte has this probability where no n-gram is known.
 UNIFORM = 1.0 / 257.0
+#: Bytes of text of a block, whose distinct n-grams are asked for together.
+BLOCK_BYTES = 10 << 20
 #: Words whose likelihoods are computed together.
 WORDS_AT_ONCE = 50_000
 #: Class labels on at most so many documents are sent to each executor; beyond it they are joined by shuffle.
@@ -197,14 +199,13 @@ def count_grams(docs: DataFrame, classes: int, lower: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column("class")))
-            if not batch.num_rows:
-                continue
-            words = Vocabulary(batch, lower)
-            of = np.repeat(batch.column("class").to_numpy(zero_copy_only=False).astype(np.int64), words.counts)
-            weight = np.stack([np.bincount(words.number[of == c], minlength=len(words.length)) for c in range(classes)]) if len(of) else np.zeros((classes, 0))
-            for keys, counts in gram_counts(words, weight):
-                for a in range(0, len(keys), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), *(pa.array(counts[a : a + 100_000, c]) for c in range(classes))], names=["key", *names])
+            for block in slices(batch, "text", BLOCK_BYTES):
+                words = Vocabulary(block, lower)
+                of = np.repeat(block.column("class").to_numpy(zero_copy_only=False).astype(np.int64), words.counts)
+                weight = np.stack([np.bincount(words.number[of == c], minlength=len(words.length)) for c in range(classes)]) if len(of) else np.zeros((classes, 0))
+                for keys, counts in gram_counts(words, weight):
+                    for a in range(0, len(keys), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), *(pa.array(counts[a : a + 100_000, c]) for c in range(classes))], names=["key", *names])
 
     parts = docs.select("text", F.col("class").cast("int").alias("class")).mapInArrow(run, "key long, " + ", ".join(f"{n} long" for n in names))
     return parts.groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
@@ -312,28 +313,26 @@ def score(docs: DataFrame, model: DataFrame, lower: bool = False, sums: dict[str
     sums = {"ll": lambda ll: ll[0]} | (sums or {})
     parts = [c[1:] for c in model.columns if c[0] == "a"]
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    # the scan is cut into the same blocks each time it runs: a block is one Arrow batch
+    # the scan is cut into the same blocks each time it runs: parts of an Arrow batch
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from slices(batch, "text", BLOCK_BYTES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = Vocabulary(batch, lower)
+        for batch in blocks(batches):
             block = _block_id(batch)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0])], names=["block", "key"])
-            for keys in gram_set(words):
+            for keys in gram_set(Vocabulary(batch, lower)):
                 for a in range(0, len(keys), 100_000):
                     part = keys[a : a + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part)], names=["block", "key"])
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in blocks(batches):
             words = Vocabulary(batch, lower)
-            block = _block_id(batch)
             rows = pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(words.counts, pa.int64())], names=[f.name for f in kept] + ["n_words"])
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_ipc(rows)], pa.binary()), pa.array([_pack(words.number)], pa.binary()), pa.array([_pack(words.length)], pa.binary()), pa.array([zstandard.compress(words.bytes.tobytes(), 1)], pa.binary())], names=["block", "rows", "numbers", "lengths", "bytes"])
+            packed = [_ipc(rows), _pack(words.number), _pack(words.length), zstandard.compress(words.bytes.tobytes(), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([_block_id(batch)]), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "rows", "numbers", "lengths", "bytes"])
 
     asked = docs.mapInArrow(ask, "block long, key long").join(model, "key").select("block", "key", *(x for c in parts for x in (f"a{c}", f"g{c}")))
     shipped = docs.mapInArrow(ship, "block long, rows binary, numbers binary, lengths binary, bytes binary")

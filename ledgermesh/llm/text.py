@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -111,10 +111,10 @@ def words_of(texts: pa.Array, separators: np.ndarray, lower: bool = False) -> Wo
     return Words(buf, start, end, row, first, len(texts))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Pieces of the batch with about SLICE_BYTES of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of the batch with about `most` bytes of text, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(size + 64) - (size + 64)) // SLICE_BYTES
+    part = (np.cumsum(size + 64) - (size + 64)) // most
     cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cut, cut[1:], strict=False):
         if b > a:
