@@ -19,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgermesh.llm.text import texts_of
+from ledgermesh.llm.text import texts_of, tidy
 
 MARK = "▁"
 
 #: Segments that a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Longer segments are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -180,7 +180,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary()), pa.array([table.decode(x) for x in ids], pa.string())], names=[*part.schema.names[:-1], "ids", "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def digest_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
@@ -205,4 +205,4 @@ def digest_documents(docs: DataFrame, model_path: str, keep: tuple[str, ...] = (
                 columns = [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string()), *([pa.array(kept, pa.binary())] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

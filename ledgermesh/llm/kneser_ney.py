@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ledgermesh.llm.text import LOWER, WHITE, mix, rolled, slices, words_of
+from ledgermesh.llm.text import LOWER, WHITE, mix, release, rolled, slices, tidy, words_of
 from ledgermesh.session import cut
 
 BEGIN, END = 0x20, 0x0A
@@ -207,7 +207,7 @@ def count_grams(docs: DataFrame, classes: int, lower: bool) -> DataFrame:
                     for a in range(0, len(keys), 100_000):
                         yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), *(pa.array(counts[a : a + 100_000, c]) for c in range(classes))], names=["key", *names])
 
-    parts = docs.select("text", F.col("class").cast("int").alias("class")).mapInArrow(run, "key long, " + ", ".join(f"{n} long" for n in names))
+    parts = docs.select("text", F.col("class").cast("int").alias("class")).mapInArrow(tidy(run), "key long, " + ", ".join(f"{n} long" for n in names))
     return parts.groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
 
 
@@ -334,8 +334,8 @@ def score(docs: DataFrame, model: DataFrame, lower: bool = False, sums: dict[str
             packed = [_ipc(rows), _pack(words.number), _pack(words.length), zstandard.compress(words.bytes.tobytes(), 1)]
             yield pa.RecordBatch.from_arrays([pa.array([_block_id(batch)]), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "rows", "numbers", "lengths", "bytes"])
 
-    asked = docs.mapInArrow(ask, "block long, key long").join(model, "key").select("block", "key", *(x for c in parts for x in (f"a{c}", f"g{c}")))
-    shipped = docs.mapInArrow(ship, "block long, rows binary, numbers binary, lengths binary, bytes binary")
+    asked = docs.mapInArrow(tidy(ask), "block long, key long").join(model, "key").select("block", "key", *(x for c in parts for x in (f"a{c}", f"g{c}")))
+    shipped = docs.mapInArrow(tidy(ship), "block long, rows binary, numbers binary, lengths binary, bytes binary")
     names = [f.name for f in kept] + ["n_words", "n_symbols", *sums]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long", "n_symbols long", *(f"`{c}` double" for c in sums)])
     types = [to_arrow_type(f.dataType) for f in kept] + [pa.int64(), pa.int64(), *(pa.float64() for _ in sums)]
@@ -357,6 +357,7 @@ def score(docs: DataFrame, model: DataFrame, lower: bool = False, sums: dict[str
             for name, of in sums.items():
                 table = table.append_column(name, pa.array(total(of(ll)).astype(np.float64)))
             out.append(table)
+        release()
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
 
     return asked.groupBy("block").cogroup(shipped.groupBy("block")).applyInArrow(answer, schema)

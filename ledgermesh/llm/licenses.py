@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ledgermesh.llm.license_rules import Rule, rules
-from ledgermesh.llm.text import PUNCT, slices, texts_of, words_of
+from ledgermesh.llm.text import PUNCT, slices, texts_of, tidy, words_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -125,4 +125,4 @@ def scan_documents(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgermesh.llm.text import texts_of
+from ledgermesh.llm.text import texts_of, tidy
 
 # Element ids of the Matroska and EBML specifications (RFC 9559, RFC 8794).
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -337,4 +337,4 @@ def media_documents(docs: DataFrame, with_media: bool = False) -> DataFrame:
                 columns = zip(*(row(x.as_py()) for x in part.column("text")), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=False))], names=names + ["media"] * with_media)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermesh.graph.components import component_members
-from ledgermesh.llm.text import WHITE, mix, shingle_sets, slices, texts_of, words_of
+from ledgermesh.llm.text import WHITE, mix, shingle_sets, slices, texts_of, tidy, words_of
 from ledgermesh.session import cut, stored
 
 #: Orders of the forest and signature values that the sort takes into account.
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 none = count == 0
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(s1, mask=none), pa.array(s2, mask=none), pa.array(packed, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig", "low"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary, low binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, s1 long, s2 long, sig binary, low binary")
 
 
 def _orders(classes: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def _orders(classes: DataFrame) -> DataFrame:
                     turned = np.roll(sig, -4 * LEAST_DEPTH * t, axis=1)[:, : 4 * DEEPEST]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, t, np.int32)), pa.array([x.tobytes() for x in turned], pa.binary()), part.column("id")], names=["tree", "key", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "tree int, key binary, id long")
+    return classes.select("id", "sig").mapInArrow(tidy(run), "tree int, key binary, id long")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def candidates(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(depth.astype(np.int64))], names=["a", "b", "depth"])
 
     ordered = _orders(classes).repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    return ordered.mapInArrow(run, "a long, b long, depth long").filter("a <> b").groupBy("a", "b").agg(F.sum("depth").alias("depth"))
+    return ordered.mapInArrow(tidy(run), "a long, b long, depth long").filter("a <> b").groupBy("a", "b").agg(F.sum("depth").alias("depth"))
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             use = est >= LEAST_ESTIMATE
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[use]) for c in "ab"] + [pa.array(est[use])], names=["a", "b", "est"])
 
-    return joined.mapInArrow(run, "a long, b long, est double")
+    return joined.mapInArrow(tidy(run), "a long, b long, est double")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -147,7 +147,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 use = (both > 0) & (100 * both >= percent * (sizes[0] + sizes[1] - both))
                 yield pa.RecordBatch.from_arrays([pa.array(part.column(c).to_numpy()[use]) for c in "ab"], names=["src", "dst"])
 
-    return joined.mapInArrow(run, "src long, dst long")
+    return joined.mapInArrow(tidy(run), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermesh.llm.text import WHITE, Words, rolled, slices, texts_of, words_of
+from ledgermesh.llm.text import WHITE, Words, rolled, slices, texts_of, tidy, words_of
 
 ANCHOR = 5
 
@@ -59,7 +59,7 @@ def anchors(rows: DataFrame, length: int) -> DataFrame:
                 ids = part.column("doc_id").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[row])], names=["h", "doc_id"])
 
-    return rows.mapInArrow(run, "h long, doc_id long")
+    return rows.mapInArrow(tidy(run), "h long, doc_id long")
 
 
 def _sorted_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def extended(hits: DataFrame, length: int) -> DataFrame:
                 ids = part.column("doc_id").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids[row])], names=["w1", "w2", "doc_id"])
 
-    return hits.mapInArrow(run, "w1 long, w2 long, doc_id long")
+    return hits.mapInArrow(tidy(run), "w1 long, w2 long, doc_id long")
 
 
 def _digest(words: list[bytes]) -> str:
@@ -121,7 +121,7 @@ def _untouched(rows: DataFrame) -> DataFrame:
                 split = [x.as_buffer().to_pybytes().split() for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(w) for w in split], pa.int64()), pa.array([_digest(w) for w in split], pa.string())], names=["doc_id", "n_words", "whole"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, whole string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_words long, whole string")
 
 
 def _cut_out(hits: DataFrame, length: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _cut_out(hits: DataFrame, length: int) -> DataFrame:
                     texts.append(b" ".join(left).decode())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(whole), pa.array(removed, pa.int64()), pa.array(kept), pa.array(texts, pa.string())], names=["doc_id", "whole", "n_removed", "kept_sha256", "kept_text"])
 
-    return hits.mapInArrow(run, "doc_id long, whole string, n_removed long, kept_sha256 string, kept_text string")
+    return hits.mapInArrow(tidy(run), "doc_id long, whole string, n_removed long, kept_sha256 string, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, with_text: bool = False) -> DataFrame:

@@ -6,7 +6,8 @@ shingles are NumPy operations and no Python object is made for a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,11 @@ from pyspark.sql import functions as F
 #: Bytes of text that are handled at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+try:
+    _LIBC = ctypes.CDLL(None)
+except (OSError, TypeError):  # a system without a C library to name
+    _LIBC = None
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -33,6 +39,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def release() -> None:
+    """Give memory that is no longer in use back to the system: a worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, with memory released at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def texts_of(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns of `keep` and `text`, a null text as an empty one."""
     return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
