@@ -15,8 +15,8 @@ FREE, MOST = 2.0, 6.0
 #: Labelled documents at most (by the smallest hashes of doc_id) on which the calibration is fitted.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
-#: Of the calibration: the log-likelihood ratio by word and by root of words, and that of the words that speak for the toxic class.
-FEATURES = ["ratio", "_z", "_rate", "_strong"]
+#: Of the calibration: the log-likelihood ratio by word and by root of words, that of the words that speak for the toxic class, and the words' number.
+FEATURES = ["ratio", "_z", "_rate", "_strong", "_length"]
 
 
 def remainder(doc_id: Column) -> Column:
@@ -55,7 +55,7 @@ def toxicity_documents(docs: DataFrame, labels: DataFrame, threshold: float = TH
     model = build_model(rows.select("text", F.when(~F.col("_fit"), F.col("_toxic")).alias("class")), classes=2, lower=True)
     scored = score(rows, model, lower=True, sums={"llr": lambda ll: ll[2] - ll[1], "strong": lambda ll: np.clip(ll[2] - ll[1] - FREE, 0, MOST)})
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    scored = cut(scored.select("doc_id", "_fit", "_toxic", "n_words", (F.col("llr") / n).alias("ratio"), (F.col("llr") / F.sqrt(n)).alias("_z"), (F.col("strong") / n).alias("_rate"), F.log1p("strong").alias("_strong")))
+    scored = cut(scored.select("doc_id", "_fit", "_toxic", "n_words", (F.col("llr") / n).alias("ratio"), (F.col("llr") / F.sqrt(n)).alias("_z"), (F.col("strong") / n).alias("_rate"), F.log1p("strong").alias("_strong"), F.log1p("n_words").alias("_length")))
     sample = scored.filter("_fit").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(CALIBRATION_ROWS).select(*FEATURES, "_toxic").toPandas()  # CALIBRATION_ROWS rows at most
     if sample["_toxic"].nunique() < 2:
         points = F.lit(0.0)
