@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermesh.llm.kneser_ney import build_model, labelled, score
@@ -12,10 +12,19 @@ from ledgermesh.session import cut
 #: A document is rejected above this quantile of its language's trusted perplexities, times the margin.
 QUANTILE = 0.999
 MARGIN = 1.5
+#: Decimals of the log-perplexity in which quantiles are told apart.
+BIN_DIGITS = 3
 #: A language with fewer trusted documents takes the thresholds of all languages together.
 LEAST_TRUSTED = 30
 
 
+def _quantile(bins: DataFrame, quantile: float) -> DataFrame:
+    """_lang, bin, total: the lowest bin up to which a language has its quantile of rows. Bins are few, whatever the rows are."""
+    own = Window.partitionBy("_lang")
+    reached = F.sum("n").over(own.orderBy("bin")) >= quantile * F.sum("n").over(own)
+    return bins.select("_lang", "bin", reached.alias("reached"), F.sum("n").over(own).alias("total")).filter("reached").groupBy("_lang", "total").agg(F.min("bin").alias("bin"))
+
+
 def perplexity() -> Column:
     return F.when(F.col("n_symbols") > 0, F.exp(-F.col("ll") / F.col("n_symbols")))
 
@@ -45,9 +54,9 @@ def _decided(docs: DataFrame, labels: DataFrame, quantile: float, margin: float)
     scored = score(rows, model).select("doc_id", "lang", "_tag", "n_words", perplexity().alias("perplexity"), (F.col("_quality") == 1).alias("_trusted"))
     scored = cut(scored)
     trusted = scored.filter(F.col("_trusted") & F.col("perplexity").isNotNull())
-    mark = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    by_lang = trusted.groupBy(F.col("lang").alias("_lang")).agg(mark.alias("_own"), F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_TRUSTED).drop("_n")
-    overall = trusted.agg(mark.alias("mark")).first()["mark"]  # one row
+    bins = cut(trusted.groupBy(F.col("lang").alias("_lang"), F.round(F.ln("perplexity"), BIN_DIGITS).alias("bin")).agg(F.count("*").alias("n")))
+    by_lang = _quantile(bins, quantile).filter(F.col("total") >= LEAST_TRUSTED).select("_lang", (F.exp("bin") * margin).alias("_own"))
+    overall = _quantile(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("_lang", F.lit("")), quantile).select((F.exp("bin") * margin).alias("mark")).first()  # one row
     joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    limit = F.coalesce("_own", F.lit(float("inf") if overall is None else overall))
+    limit = F.coalesce("_own", F.lit(float("inf") if overall is None else overall["mark"]))
     return joined.select("doc_id", "lang", "_tag", "n_words", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("keep"))
