@@ -25,7 +25,7 @@ LEAST_DEPTH = 4
 DEEPEST = 12
 SLOTS = ORDERS * LEAST_DEPTH
 #: Next rows of an order that a row meets.
-NEIGHBOURS = 3
+NEIGHBOURS = 8
 #: Rows of a partition of tables that are cut: classes with their signatures, and pairs.
 CLASS_ROWS, PAIR_ROWS = 10_000, 200_000
 #: Candidates below this share of equal signature values aren't confirmed: four deviations below 0.8.
@@ -171,8 +171,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tested = likeliest
     for final in (False, True):  # first each one's likeliest partner with a larger id, then all that are still apart
         left, right = (found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        apart = pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "est")
-        apart = apart.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        # what is apart now was apart before, so settled pairs aren't looked at again
+        pairs = cut(pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "est"), PAIR_ROWS)
+        apart = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         if not final:
             apart = apart.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
             tested = cut(tested.select("a", "b").union(apart.select("a", "b")), PAIR_ROWS)
