@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = cut(classes, CLASS_ROWS)
     pairs = cut(estimated(candidates(classes), classes), PAIR_ROWS)
     likeliest = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")), PAIR_ROWS)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = stored(texts_of(docs, "doc_id").withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"))
     links = cut(confirmed(likeliest, texts, k, percent).distinct(), PAIR_ROWS)
     found = component_members(links)

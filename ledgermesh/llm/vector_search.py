@@ -154,7 +154,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def best(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k rows of largest inner product with q, ties by smaller id, `own` left out. approx comes in q's row order."""
+    """Ids and scores of the k rows of largest inner product with q, ties by smaller id, `own` left out. Products are added up in the order of the components, so equal vectors score equally."""
     score = np.zeros(len(x))
     for d in range(x.shape[1]):
         score += x[:, d] * q[d]
