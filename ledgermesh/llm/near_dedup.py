@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _orders(classes: DataFrame) -> DataFrame:
-    """A row for each class and order: tree, key (the first DEEPEST values of the order), id."""
+    """A row for each class and order: tree, key (the first DEEPEST values of the order), id, low."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,49 +84,36 @@ def _orders(classes: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(part.num_rows, SLOTS * 4)
                 for t in range(ORDERS):
                     turned = np.roll(sig, -4 * LEAST_DEPTH * t, axis=1)[:, : 4 * DEEPEST]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, t, np.int32)), pa.array([x.tobytes() for x in turned], pa.binary()), part.column("id")], names=["tree", "key", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, t, np.int32)), pa.array([x.tobytes() for x in turned], pa.binary()), part.column("id"), part.column("low")], names=["tree", "key", "id", "low"])
 
-    return classes.select("id", "sig").mapInArrow(tidy(run), "tree int, key binary, id long")
+    return classes.select("id", "sig", "low").mapInArrow(tidy(run), "tree int, key binary, id long, low binary")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, depth): pairs of neighbours in any order, a < b, with the sum of their common prefixes' lengths."""
+    """(a, b, est): neighbours in any order, a < b, whose estimated similarity (by one byte of each signature value) is LEAST_ESTIMATE at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, key, ids = np.zeros(0, np.int32), np.zeros((0, DEEPEST), np.uint32), np.zeros(0, np.int64)
+        tree, key, low, ids = np.zeros(0, np.int32), np.zeros((0, DEEPEST), np.uint32), np.zeros((0, SLOTS), np.uint8), np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
+            old = len(ids[-NEIGHBOURS:])
             tree = np.concatenate([tree[-NEIGHBOURS:], batch.column("tree").to_numpy()])
             key = np.concatenate([key[-NEIGHBOURS:], np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint32).reshape(-1, DEEPEST)])
-            old, ids = len(ids[-NEIGHBOURS:]), np.concatenate([ids[-NEIGHBOURS:], batch.column("id").to_numpy()])
+            low = np.concatenate([low[-NEIGHBOURS:], np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, SLOTS)])
+            ids = np.concatenate([ids[-NEIGHBOURS:], batch.column("id").to_numpy()])
             for step in range(1, NEIGHBOURS + 1):
                 right = np.arange(max(old, step), len(ids))
                 left = right - step
-                depth = np.cumprod(key[left] == key[right], axis=1).sum(axis=1)
-                use = (tree[left] == tree[right]) & (depth >= LEAST_DEPTH)
-                left, right, depth = ids[left[use]], ids[right[use]], depth[use]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(depth.astype(np.int64))], names=["a", "b", "depth"])
+                same = (tree[left] == tree[right]) & (key[left, :LEAST_DEPTH] == key[right, :LEAST_DEPTH]).all(axis=1) & (ids[left] != ids[right])
+                left, right = left[same], right[same]
+                est = ((low[left] == low[right]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # unequal values share a byte once in 256
+                like = est >= LEAST_ESTIMATE
+                left, right = ids[left[like]], ids[right[like]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(est[like])], names=["a", "b", "est"])
 
     ordered = _orders(classes).repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    return ordered.mapInArrow(tidy(run), "a long, b long, depth long").filter("a <> b").groupBy("a", "b").agg(F.sum("depth").alias("depth"))
-
-
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, est): estimated similarity of pairs, where it is at least LEAST_ESTIMATE, from one byte of each signature value."""
-    low = classes.select("id", "low")
-    joined = pairs.select("a", "b").join(low.select(F.col("id").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("y")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in "xy")
-            est = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # unequal values share a byte once in 256
-            use = est >= LEAST_ESTIMATE
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[use]) for c in "ab"] + [pa.array(est[use])], names=["a", "b", "est"])
-
-    return joined.mapInArrow(tidy(run), "a long, b long, est double")
+    return ordered.mapInArrow(tidy(run), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -162,7 +149,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sig = cut(signatures(docs, k))
     classes = sig.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "sig", "low")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig"), F.col("m.low").alias("low"), "s1", "s2", "n_shingles")
     classes = cut(classes, CLASS_ROWS)
-    pairs = cut(estimated(candidates(classes), classes), PAIR_ROWS)
+    pairs = cut(candidates(classes), PAIR_ROWS)
     likeliest = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")), PAIR_ROWS)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = stored(texts_of(docs, "doc_id").withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"))
