@@ -3,7 +3,8 @@
 Documents of one shingle set are one class. For each order the classes' signatures are sorted as a whole
 (a range partitioning, so no key can be hot), and each row meets the next rows as long as they share a prefix: the
 common prefix, and so the depth, adapts to how dense the region is. Candidates are confirmed on full sets: first
-each class's likeliest partner with a smaller id, then every other candidate whose ends are still apart.
+each class's likeliest partner with a smaller id, then every other candidate whose ends are still apart. Where more rows share a
+prefix than a row meets, and not all of them are joined by then, the rest of that run's pairs are compared on full sets, block by block.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ DEEPEST = 12
 SLOTS = ORDERS * LEAST_DEPTH
 #: Next rows of an order that a row meets.
 NEIGHBOURS = 8
+#: Rows of a block of a long run; two blocks meet in one task.
+BLOCK_ROWS = 500
+#: Shingles whose counts are taken in one matrix product, and shares that the rows of a run are joined by.
+COLUMNS, SALTS = 4_096, 64
 #: Rows of a partition of tables that are cut: classes with their signatures, and pairs.
 CLASS_ROWS, PAIR_ROWS = 10_000, 200_000
 #: Candidates below this share of equal signature values aren't confirmed: four deviations below 0.8.
@@ -137,6 +142,105 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.mapInArrow(tidy(run), "src long, dst long")
 
 
+def run_blocks(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(tree, prefix, x, y, main, side, id, component) of the rows of runs of a common prefix that are longer than a row meets and not yet of one component.
+
+    A run's main rows are its largest component's. Its other rows, in blocks x, meet main rows in blocks y and (main is false) each other;
+    side is 0 for rows of x, 1 for rows of y, and 2 where x and y are one block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, SLOTS * 4)
+            for t in range(ORDERS):
+                pair = np.ascontiguousarray(sig[:, 4 * LEAST_DEPTH * t : 4 * LEAST_DEPTH * (t + 1)]).view(np.uint64)
+                prefix = mix(mix(pair[:, 0], 31) + pair[:, 1], 32).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(prefix), batch.column("id"), batch.column("component")], names=["tree", "prefix", "id", "component"])
+
+    own = classes.select("id", "sig").join(found, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("component"))
+    rows = own.mapInArrow(tidy(run), "tree int, prefix long, id long, component long")
+    sizes = rows.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
+    runs = sizes.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", -F.col("component"))).alias("chief"))
+    runs = cut(runs.filter((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("most"))), PAIR_ROWS)
+    salted = runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hashed = F.xxhash64("id")
+    rows = rows.withColumn("salt", F.pmod(hashed, F.lit(SALTS)).cast("int")).join(salted, ["tree", "prefix", "salt"])
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    rows = rows.withColumns({"main": F.col("component") == F.col("chief"), "mains": blocks(F.col("most")), "others": blocks(F.col("n") - F.col("most"))})
+    at = F.pmod(F.xxhash64(hashed), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("at", at)
+    meet = lambda x, y, main, side: F.struct(x.alias("x"), y.alias("y"), F.lit(main).alias("main"), side.cast("int").alias("side"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_main = F.transform(each("others"), lambda x: meet(x, F.col("at"), True, F.lit(1)))
+    of_other = F.concat(
+        F.transform(each("mains"), lambda y: meet(F.col("at"), y, True, F.lit(0))),
+        F.transform(each("others"), lambda y: meet(F.least(F.col("at"), y), F.greatest(F.col("at"), y), False, F.when(F.col("at") == y, 2).when(F.col("at") < y, 0).otherwise(1))),
+    )
+    return rows.select("tree", "prefix", "id", "component", F.explode(F.when(F.col("main"), of_main).otherwise(of_other)).alias("b")).select("tree", "prefix", "b.*", "id", "component")
+
+
+def _common(rows: list[np.ndarray], values: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """How many values each row of the first side shares with each of the second."""
+    both = np.intersect1d(values[0], values[1])
+    out = np.zeros(sizes, np.float32)
+    sides = []
+    for r, v in zip(rows, values, strict=True):
+        at = np.searchsorted(both, v)
+        hit = at < len(both)
+        hit[hit] = both[at[hit]] == v[hit]
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((r[hit][order], at[hit][order]))
+    for a in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - a)
+        parts = []
+        for (r, c), n in zip(sides, sizes, strict=True):
+            lo, hi = np.searchsorted(c, [a, a + width])
+            part = np.zeros((n, width), np.float32)
+            part[r[lo:hi], c[lo:hi] - a] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def links_of_blocks(blocks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(src, dst): links that join all of a block pair's components that any of its pairs joins, on full sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, component, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
+        r, v = shingle_sets(words_of(table.column("text").combine_chunks(), WHITE, lower=True), k)
+        size = np.bincount(r, minlength=len(ids))
+        rows, values, own = [], [], []
+        for at in (np.flatnonzero(side != 1), np.flatnonzero(side != 0)):
+            place = np.full(len(ids), -1)
+            place[at] = np.arange(len(at))
+            use = place[r] >= 0
+            rows.append(place[r[use]])
+            values.append(v[use])
+            own.append(at)
+        left, right = own
+        both = _common(rows, values, [len(left), len(right)]).astype(np.int64)
+        linked = (both > 0) & (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (component[left][:, None] != component[right][None, :])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out: list[tuple[int, int]] = []
+        for i, j in np.argwhere(linked).tolist():
+            a, b = left[i], right[j]
+            x, y = root(int(component[a])), root(int(component[b]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(ids[a]), int(ids[b])))
+        return pa.table({"src": pa.array([a for a, _ in out], pa.int64()), "dst": pa.array([b for _, b in out], pa.int64())})
+
+    rows = blocks.join(texts, "id").select("tree", "prefix", "x", "y", "main", "side", "id", "component", "text")
+    return rows.groupBy("tree", "prefix", "x", "y", "main").applyInArrow(run, "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs.
 
@@ -169,6 +273,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if not more.isEmpty():
             links = links.union(more)
             found = component_members(links)
+    blocks = cut(run_blocks(classes, found), PAIR_ROWS)
+    more = cut(links_of_blocks(blocks, texts_of(docs, "doc_id").withColumnRenamed("doc_id", "id"), k, percent).distinct(), PAIR_ROWS)
+    if not more.isEmpty():
+        found = component_members(links.union(more))
     # nodes of one class, and rows of one doc_id in several classes, belong together
     of_class = sig.filter("n_shingles > 0 and doc_id is not null").join(classes.select("s1", "s2", "n_shingles", "id"), ["s1", "s2", "n_shingles"]).select("doc_id", "id").distinct()
     home = of_class.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c"))

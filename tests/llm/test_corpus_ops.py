@@ -72,6 +72,23 @@ def test_near_duplicates_equal_brute_force(spark, k, seed):
         assert (r.n_shingles, r.component_id, r.kept) == (sizes[r.doc_id], wanted[r.doc_id], wanted[r.doc_id] == r.doc_id)
 
 
+def test_near_duplicates_of_a_dense_region(spark):
+    """Hundreds of copies of one text that are mostly a little too far apart to link: more rows share a prefix than a row meets."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    base = rng.choices(vocabulary, k=160)
+    texts = []
+    for _ in range(700):
+        w = list(base)
+        for at in rng.sample(range(160), 3):
+            w[at] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    _, wanted = components(texts, 5, 80)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(spark, texts), 5, 80).collect()}
+    assert 50 < len(set(wanted)) < 650
+    assert got == dict(enumerate(wanted))
+
+
 def test_near_duplicates_awkward(spark):
     docs = awkward(spark)
     rows = near_dedup.near_duplicates(docs).collect()
