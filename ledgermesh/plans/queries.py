@@ -39,6 +39,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return note
 
 
+def whole(name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query over all transitions or transfers, with the SQL of the query `name` over all edges."""
+    return query(_SQL[name].replace(FREQUENT_SQL, ALL_SQL) if name else None)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -73,6 +78,9 @@ FREQUENT = 10
 FREQUENT_SQL = TRANSITIONS_SQL + f""",
 edges AS (SELECT src, dst FROM stats WHERE n >= {FREQUENT})"""
 
+ALL_SQL = TRANSITIONS_SQL + """,
+edges AS (SELECT src, dst FROM stats)"""
+
 TRANSFERS_SQL = """
 tf AS (SELECT 'C' || o_custkey AS srccard, 'S' || l_suppkey AS dstcard, l_extendedprice AS money, o_custkey, l_suppkey, strftime(o_orderdate, '%Y%m%d') AS day, o_orderstatus AS kind
        FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
@@ -91,6 +99,10 @@ def frequent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.transition_stats(transitions(spark, sf_dir)).filter(F.col("n") >= FREQUENT).select("src", "dst")
 
 
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.transition_stats(transitions(spark, sf_dir)).select("src", "dst")
+
+
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(
@@ -108,6 +120,10 @@ def week_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfers(spark, sf_dir).filter(F.col("day").between(*WEEK)).select(F.col("o_custkey").cast("long").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst")).distinct()
 
 
+def transfer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transfers(spark, sf_dir).select(F.col("o_custkey").cast("long").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst")).distinct()
+
+
 # ---------------------------------------------------------------- projections, filters, functions
 
 
@@ -476,6 +492,76 @@ def lpa_last2(spark, sf_dir):
     return propagate_labels(frequent_edges(spark, sf_dir), 4, "changed_twice")
 
 
+# ---------------------------------------------------------------- graphs of all transitions and all transfers
+
+
+@whole("degrees")
+def degrees_all(spark, sf_dir):
+    return G.degrees(all_edges(spark, sf_dir))
+
+
+@whole("out_degrees")
+def out_degrees_all(spark, sf_dir):
+    return G.out_degrees(all_edges(spark, sf_dir))
+
+
+@whole("core_prune")
+def core_prune_all(spark, sf_dir):
+    return G.core(all_edges(spark, sf_dir))[0]
+
+
+@whole("subgraph_triplets")
+def subgraph_triplets_all(spark, sf_dir):
+    vertices = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "id")
+    vertices, edges = G.subgraph(vertices, all_edges(spark, sf_dir), F.col("s_acctbal") > 0)
+    return G.triplets(vertices, edges, "s_nationkey").filter("src_s_nationkey <> dst_s_nationkey").select("src", "dst", "src_s_nationkey", "dst_s_nationkey")
+
+
+@whole()
+def connected_components_all(spark, sf_dir):
+    edges = transfer_edges(spark, sf_dir).persist()
+    return flows.connected_components(G.vertices_of(edges), edges)
+
+
+@whole()
+def left_outer_sizes_all(spark, sf_dir):
+    edges = transfer_edges(spark, sf_dir).persist()
+    return flows.component_sizes(G.vertices_of(edges), edges)
+
+
+@whole()
+def scc_all(spark, sf_dir):
+    return strong_components(all_edges(spark, sf_dir), 10)
+
+
+@whole("khop")
+def khop_all(spark, sf_dir):
+    edges = all_edges(spark, sf_dir).persist()
+    first = G.ends(edges).agg(F.min("id").alias("id")).first()["id"]
+    return k_hop(edges, -1 if first is None else first, 2)
+
+
+@whole("cycles_le3")
+def cycles_le3_all(spark, sf_dir):
+    rows = short_cycles(all_edges(spark, sf_dir), 3)
+    return rows.select("id", F.array_join(F.transform("ancestors", lambda x: x.cast("string")), ",").alias("ancestors"))
+
+
+@whole("lpa_fixed")
+def lpa_fixed_all(spark, sf_dir):
+    return propagate_labels(all_edges(spark, sf_dir), 4)
+
+
+@whole("lpa_last1")
+def lpa_last1_all(spark, sf_dir):
+    return propagate_labels(all_edges(spark, sf_dir), 4, "changed")
+
+
+@whole("lpa_last2")
+def lpa_last2_all(spark, sf_dir):
+    return propagate_labels(all_edges(spark, sf_dir), 4, "changed_twice")
+
+
 # ---------------------------------------------------------------- evidence and features
 
 
