@@ -449,6 +449,16 @@ def pagerank_delta_weighted(spark, sf_dir):
     return _six(delta_pagerank(_weighted(spark, sf_dir), 0.001, 4, weighted=True))
 
 
+@query()
+def pagerank_delta_converged(spark, sf_dir):
+    return _six(delta_pagerank(_weighted(spark, sf_dir), 0.001))
+
+
+@query()
+def pagerank_delta_weighted_converged(spark, sf_dir):
+    return _six(delta_pagerank(_weighted(spark, sf_dir), 0.001, weighted=True))
+
+
 @query(_rank_sql(_E, _ONE, "0.15 / nv + 0.15", "pr", "v.delta > 0.001", _NEW, f"{_NEW} - v.pr", 3))
 def pagerank_modify(spark, sf_dir):
     return _six(modified_pagerank(_weighted(spark, sf_dir), 0.001, 3))

@@ -66,3 +66,23 @@ def test_transfers_are_all_there(spark, rare):
     assert {r.id: r.component for r in run(spark, "connected_components_all", place)} == wanted
     sizes = Counter(wanted.values())
     assert {r.id: (r.component, r.size) for r in run(spark, "left_outer_sizes_all", place)} == {v: (c, sizes[c]) for v, c in wanted.items()}
+
+
+@pytest.mark.parametrize("name, weighted", [("pagerank_delta_converged", False), ("pagerank_delta_weighted_converged", True)])
+def test_delta_ranks_converge(spark, rare, name, weighted):
+    place, _, _ = rare
+    edges = [(r.src, r.dst, r.weight) for r in Q._weighted(spark, place).collect()]
+    out = Counter(a for a, _, _ in edges)
+    rank = {v: 0.15 for a, b, _ in edges for v in (a, b)}
+    delta, active, rounds = dict(rank), set(rank), 0
+    while active and rounds < 200:
+        got = defaultdict(float)
+        for a, b, w in edges:
+            if a in active and delta[a] > 0.001:
+                got[b] += delta[a] * (w if weighted else 1.0) / out[a]
+        for v, m in got.items():
+            delta[v] = 0.85 * m
+            rank[v] += delta[v]
+        active, rounds = set(got), rounds + 1
+    assert rounds > 5
+    assert {r.id: r["rank"] for r in run(spark, name, place)} == {v: pytest.approx(x, abs=2e-6) for v, x in rank.items()}
