@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgermesh.llm.bpe import digest_documents
-from ledgermesh.llm.mixing import mix_documents
+from ledgermesh.llm.mixing import mix_documents, placed
 from ledgermesh.llm.near_dedup import one_of_each
 from ledgermesh.llm.pii import mask_pii
 from ledgermesh.llm.quality import keep_documents
@@ -43,11 +43,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    """Token ids of every document, with digests of the ids and of the text decoded from them, and its position in the mixture.
+
+    Files are read back in any order, so the mixture's order goes on as a column: position is the one that mix sorts by.
+    """
     import public_tokenizers
 
     ship(spark)
-    return digest_documents(docs, public_tokenizers.path(BPE_MODEL), keep=("doc_id", "lang", "source"), with_ids=True)
+    return digest_documents(placed(docs), public_tokenizers.path(BPE_MODEL), keep=("doc_id", "lang", "source", "position"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

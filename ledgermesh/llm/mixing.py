@@ -104,6 +104,12 @@ def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     return _ranked(ids, weights, block).select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
 
 
+def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """All rows and columns of docs, and each row's position in the mixture."""
+    packed = docs.select("doc_id", "source", F.struct("*").alias("_row"))
+    return _ranked(packed, weights, block).select("_row.*", F.col("_position").alias("position"))
+
+
 def mix_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
     """All rows and columns of docs in the order of the mixture: partitions are ranges of it, sorted within."""
     packed = docs.select("doc_id", "source", F.struct("*").alias("_row"))  # so that no column's name can clash

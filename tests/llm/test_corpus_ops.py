@@ -397,3 +397,21 @@ def test_pipeline_stages(spark):
     assert set(out[1]) == set(out[2]) == set(out[3]) == set(out[4])
     assert all(out[3][i] == out[2][i] for i in out[3])
     assert all(out[4][i].decoded_sha256 == hashlib.sha256(out[3][i].text.encode()).hexdigest() for i in out[4])
+
+
+def test_pipeline_rows_hold_the_mixture(spark):
+    import corpus_pipeline
+
+    texts = [f"text {i}" for i in range(3000)]
+    docs = documents(spark, texts).withColumn("source", F.when(F.col("doc_id") % 10 < 7, "a").when(F.col("doc_id") % 10 < 9, "b").otherwise("c"))
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mix"](spark, docs, "").repartition(5)  # as files are read in any order
+    rows = sorted(stages["tokens"](spark, mixed, "").collect(), key=lambda r: r.position)
+    assert len({r.position for r in rows}) == 3000
+    weight = {s: n**mixing.TEMPERATURE for s, n in (("a", 2100), ("b", 600), ("c", 300))}
+    total, seen = sum(weight.values()), Counter()
+    blocks = sorted({(r.position // mixing.BLOCK, r.source) for r in rows})
+    last = min(max(t for t, s in blocks if s == x) for x in weight)
+    for t, s in blocks[: last + 1]:
+        seen[s] += 1
+        assert all(abs(seen[x] - w / total * (t + 1)) < 1.01 for x, w in weight.items())
