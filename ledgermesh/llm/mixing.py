@@ -2,19 +2,19 @@
 
 A source's rows are cut into blocks. With weight w, its block j (from 0) is released at slot floor(j / w) and due at slot
 ceil((j + 1) / w); earliest deadline first over the released blocks keeps every source less than one block from its target
-share. Weights are shares of a period, so the schedule of one period, made on the driver, tells the slot of every block of any
-number of rows.
+share. The schedule is made on the driver with the weights as they are, in whole numbers, over all blocks there are.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period, at least; one for each source at any rate. The driver holds one number a slot.
+#: Slots of a period of whole shares, at least; one for each source at any rate.
 PERIOD = 10_000
 BLOCK = 64
 #: Default weights are the sources' row counts to this power.
@@ -22,8 +22,8 @@ TEMPERATURE = 0.7
 #: Rows of one source that are ranked together.
 RANKED = 2_000
 
-SOURCES = "_i int, _source string, _share long, _groups long"
-SLOTS = "_i int, _k long, _t long"
+SOURCES = "_i int, _source string, _groups long"
+SLOTS = "_i int, _block long, _t long"
 
 
 def shares(weights: list[float], period: int = PERIOD) -> list[int]:
@@ -43,33 +43,45 @@ def shares(weights: list[float], period: int = PERIOD) -> list[int]:
 
 def schedule(parts: list[int]) -> list[list[int]]:
     """The slots of each source in one period of sum(parts) slots, by earliest deadline first."""
+    return block_slots(parts, parts)
+
+
+def block_slots(weights: list[float], blocks: list[int]) -> list[list[int]]:
+    """The slot of each of a source's blocks, by earliest deadline first. The driver holds one number a block."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(x.denominator for x in exact))
+    parts = [int(x * scale) for x in exact]
     period, slots = sum(parts), [[] for _ in parts]
     release = lambda i, j: j * period // parts[i]
     due = lambda i, j: -(-(j + 1) * period // parts[i])
-    waiting = [(0, i, 0) for i in range(len(parts))]
+    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    for t in range(period):
+    t = 0
+    while waiting or ready:
+        if not ready:  # the slots of sources that have no block left stay empty
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             _, i, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due(i, j), i, j))
-        d, i, j = heapq.heappop(ready)  # one is always ready, as the shares fill the period
+        d, i, j = heapq.heappop(ready)
         if d <= t:
             raise AssertionError("a deadline is missed")
         slots[i].append(t)
-        if j + 1 < parts[i]:
+        if j + 1 < blocks[i]:
             heapq.heappush(waiting, (release(i, j + 1), i, j + 1))
+        t += 1
     return slots
 
 
-def _plan(counts: list, weights: dict[str | None, float] | None) -> list[tuple[str | None, int, list[int], int]]:
-    """(source, shares, slots, rank groups) for each source."""
+def _plan(counts: list, weights: dict[str | None, float] | None, block: int) -> list[tuple[str | None, list[int], int]]:
+    """(source, slots, rank groups) for each source."""
     named = weights or {r["source"]: float(r["n"]) ** TEMPERATURE for r in counts}
     rest = [r["source"] for r in counts if named.get(r["source"], 0) <= 0]
     if rest:
         raise ValueError(f"no positive target weight for sources {rest[:5]}")
-    parts = shares([named[r["source"]] for r in counts])
-    return [(r["source"], c, s, max(1, -(-r["n"] // RANKED))) for r, c, s in zip(counts, parts, schedule(parts), strict=True)]
+    slots = block_slots([named[r["source"]] for r in counts], [-(-r["n"] // block) for r in counts])
+    return [(r["source"], s, max(1, -(-r["n"] // RANKED))) for r, s in zip(counts, slots, strict=True)]
 
 
 def _ranked(docs: DataFrame, weights: dict[str | None, float] | None, block: int) -> DataFrame:
@@ -77,19 +89,18 @@ def _ranked(docs: DataFrame, weights: dict[str | None, float] | None, block: int
     spark = docs.sparkSession
     source = F.col("source").cast("string")
     counts = docs.groupBy(source.alias("source")).agg(F.count("*").alias("n")).orderBy("source").collect()  # a row for each source, as the weights are
-    made = _plan(counts, weights) if counts else []
-    plan = F.broadcast(spark.createDataFrame([(i, name, share, groups) for i, (name, share, _, groups) in enumerate(made)], SOURCES))
-    slots = F.broadcast(spark.createDataFrame([(i, k, t) for i, (_, _, own, _) in enumerate(made) for k, t in enumerate(own)], SLOTS))  # a row for each slot of the period
+    made = _plan(counts, weights, block) if counts else []
+    plan = F.broadcast(spark.createDataFrame([(i, name, groups) for i, (name, _, groups) in enumerate(made)], SOURCES))
+    slots = F.broadcast(spark.createDataFrame([(i, j, t) for i, (_, own, _) in enumerate(made) for j, t in enumerate(own)], SLOTS))  # a row for each block
     h = F.xxhash64(F.col("doc_id").cast("string"))
     rows = docs.join(plan, source.eqNullSafe(F.col("_source"))).withColumn("_hash", h).withColumn("_group", F.pmod("_hash", "_groups"))
     groups = docs.select(source.alias("_s"), h.alias("_h")).join(plan, F.col("_s").eqNullSafe(F.col("_source"))).groupBy("_i", F.pmod("_h", "_groups").alias("_group")).agg(F.count("*").alias("_rows"))
     before = groups.select("_i", "_group", (F.sum("_rows").over(Window.partitionBy("_i").orderBy("_group")) - F.col("_rows")).alias("_before"))
     # rank and join deal the rows out by the same keys, once
     rows = rows.withColumn("_within", F.row_number().over(Window.partitionBy("_i", "_group").orderBy("_hash", "doc_id"))).join(before, ["_i", "_group"])
-    rows = rows.withColumn("_rank", F.col("_before") + F.col("_within") - 1).withColumn("_block", F.floor(F.col("_rank") / block).cast("long")).withColumn("_k", F.pmod("_block", "_share"))
-    rows = rows.join(slots, ["_i", "_k"])
-    slot = F.floor(F.col("_block") / F.col("_share")).cast("long") * max(PERIOD, len(counts)) + F.col("_t")
-    return rows.withColumn("_slot", slot).withColumn("_position", F.col("_slot") * block + F.pmod("_rank", F.lit(block)))
+    rows = rows.withColumn("_rank", F.col("_before") + F.col("_within") - 1).withColumn("_block", F.floor(F.col("_rank") / block).cast("long"))
+    rows = rows.join(slots, ["_i", "_block"])
+    return rows.withColumnRenamed("_t", "_slot").withColumn("_position", F.col("_slot") * block + F.pmod("_rank", F.lit(block)))
 
 
 def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:

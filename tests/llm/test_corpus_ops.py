@@ -172,6 +172,23 @@ def test_schedule_is_pfair():
     assert sum(mixing.shares([1e9] + [1.0] * 50, 60)) == 60 and min(mixing.shares([1e9] + [1.0] * 50, 60)) == 1
 
 
+def test_slots_keep_the_weights_as_they_are():
+    """A hot source and nineteen others over many more slots than a period of whole shares has, and more sources than that."""
+    rows = [4_000_000] + [421_053 - 7 * i for i in range(19)]
+    weights = [n**mixing.TEMPERATURE for n in rows]
+    blocks = [-(-n // mixing.BLOCK) for n in rows]
+    slots = mixing.block_slots(weights, blocks)
+    assert [len(s) for s in slots] == blocks and all(s == sorted(s) for s in slots) and len({t for s in slots for t in s}) == sum(blocks)
+    last = min(s[-1] for s in slots)
+    for w, own in zip(weights, slots, strict=True):
+        at = np.array(own)[np.array(own) <= last]
+        exact = w / sum(weights) * np.append(at, last + 1)
+        n = np.arange(len(exact))
+        assert np.abs(n - exact).max() < 1 and np.abs(n[1:] - (exact[:-1] + w / sum(weights))).max() < 1
+    many = mixing.block_slots([10_000.0] + [1.0] * 12_000, [100] + [1] * 12_000)
+    assert many[0][-1] < 250
+
+
 def test_mixture_keeps_weights_and_rows(spark):
     rows = [(i, ["a", "b", "c"][0 if i % 10 < 6 else 1 if i % 10 < 9 else 2]) for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
