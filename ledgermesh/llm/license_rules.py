@@ -1,13 +1,14 @@
 """Ordered licence signature rules over a text's words, lower-cased and joined by one space.
 
-Each rule has a label, a priority, keywords that must all occur before its regex is tried, and
-the regex. `{name}` rules come from the families below, one for each kind of mention; the
+Each rule has a label, a priority, a regex, and keywords derived from it: sets of alternatives, of each of which every match
+holds one, so that the regex is only tried where they occur. `{name}` rules come from the families below, one for each kind of mention; the
 notices are written out one by one.
 """
 
 from __future__ import annotations
 
 import re
+import re._parser as parser
 from dataclasses import dataclass
 
 # The base phrases and their labels.
@@ -17,125 +18,125 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-# label | keyword | name as words | SPDX identifier as words | address as words
+# label | name as words | SPDX identifier as words | address as words
 FAMILIES = """
-mit | mit | (?:mit|expat) | mit | opensource org licenses? mit
-mit-0 | mit | mit no attribution | mit 0 | opensource org licenses? mit 0
-apache-1 | apache | apache(?: software)? license(?: version)? 1(?: [01])? | apache 1 [01] | apache org licenses license 1 [01]
-apache-2 | apache | apache(?: software)?(?: license)?(?: version)? 2(?: 0)? | apache 2 0 | apache org licenses license 2 0
-gpl-1 | gpl | gpl(?: version)? v?1 | gpl 1 0(?: only| or later)? | gnu org licenses gpl 1 0
-gpl-2 | gpl | gpl(?: version)? v?2(?: 0)? | gpl 2 0(?: only| or later)? | gnu org licenses(?: old licenses)? gpl 2 0
-gpl-3 | gpl | gpl(?: version)? v?3(?: 0)? | gpl 3 0(?: only| or later)? | gnu org licenses gpl 3 0
-lgpl-2 | lgpl | lgpl(?: version)? v?2(?: [01])? | lgpl 2 [01](?: only| or later)? | gnu org licenses(?: old licenses)? lgpl 2 [01]
-lgpl-3 | lgpl | lgpl(?: version)? v?3(?: 0)? | lgpl 3 0(?: only| or later)? | gnu org licenses lgpl 3 0
-agpl-3 | agpl | agpl(?: version)? v?3(?: 0)? | agpl 3 0(?: only| or later)? | gnu org licenses agpl 3 0
-gfdl-1 | gfdl | gfdl(?: version)? 1 [123] | gfdl 1 [123](?: only| or later)? | gnu org licenses fdl 1 [123]
-bsd-1 | bsd | (?:1|one) clause bsd | bsd 1 clause | opensource org licenses? bsd 1 clause
-bsd-2 | bsd | (?:(?:2|two) clause|simplified|freebsd) bsd | bsd 2 clause | opensource org licenses? bsd 2 clause
-bsd-3 | bsd | (?:(?:3|three) clause|new|modified|revised) bsd | bsd 3 clause | opensource org licenses? bsd 3 clause
-bsd-4 | bsd | (?:(?:4|four) clause|original) bsd | bsd 4 clause | opensource org licenses? bsd 4 clause
-bsd-0 | bsd | (?:0|zero) clause bsd | 0bsd | opensource org licenses? 0bsd
-isc | isc | isc | isc | opensource org licenses? isc
-mpl-1 | mozilla | mozilla public license(?: version)? 1(?: [01])? | mpl 1 [01] | mozilla org mpl 1 [01]
-mpl-2 | mozilla | mozilla public license(?: version)? 2(?: 0)? | mpl 2 0 | mozilla org mpl 2 0
-epl-1 | eclipse | eclipse public license(?: version)? 1(?: 0)? | epl 1 0 | eclipse org legal epl v10
-epl-2 | eclipse | eclipse public license(?: version)? 2(?: 0)? | epl 2 0 | eclipse org legal epl (?:v20|2 0)
-cddl-1 | cddl | (?:cddl|common development and distribution license)(?: version)? 1(?: [01])? | cddl 1 [01] | opensource org licenses? cddl 1 0
-cpl-1 | common | common public license(?: version)? 1(?: 0)? | cpl 1 0 | opensource org licenses? cpl 1 0
-eupl-1 | european | european union public licen[cs]e(?: version)? 1 [012] | eupl 1 [012] | joinup ec europa eu \\S* eupl
-artistic-1 | artistic | artistic license(?: version)? 1(?: 0)? | artistic 1 0 | opensource org licenses? artistic 1 0
-artistic-2 | artistic | artistic license(?: version)? 2(?: 0)? | artistic 2 0 | opensource org licenses? artistic 2 0
-zlib | zlib | zlib(?: libpng)? | zlib | opensource org licenses? zlib
-libpng | libpng | (?:the )?libpng | libpng(?: 2 0)? | libpng org pub png src libpng license
-boost-1 | boost | boost software license(?: version)? 1(?: 0)? | bsl 1 0 | boost org license 1 0
-unlicense | unlicense | unlicense | unlicense | unlicense org
-wtfpl | wtfpl | wtfpl | wtfpl | wtfpl net
-cc0-1 | cc0 | cc0(?: 1 0)? | cc0 1 0 | creativecommons org publicdomain zero 1 0
-cc-by | by | cc by(?: [1234] [05])? | cc by [1234] [05] | creativecommons org licenses by [1234] [05]
-cc-by-sa | sa | cc by sa(?: [1234] [05])? | cc by sa [1234] [05] | creativecommons org licenses by sa [1234] [05]
-cc-by-nd | nd | cc by nd(?: [1234] [05])? | cc by nd [1234] [05] | creativecommons org licenses by nd [1234] [05]
-cc-by-nc | nc | cc by nc(?: [1234] [05])? | cc by nc [1234] [05] | creativecommons org licenses by nc [1234] [05]
-cc-by-nc-sa | sa | cc by nc sa(?: [1234] [05])? | cc by nc sa [1234] [05] | creativecommons org licenses by nc sa [1234] [05]
-cc-by-nc-nd | nd | cc by nc nd(?: [1234] [05])? | cc by nc nd [1234] [05] | creativecommons org licenses by nc nd [1234] [05]
-odbl-1 | database | open database license(?: version)? 1(?: 0)? | odbl 1 0 | opendatacommons org licenses odbl
-odc-by-1 | odc | open data commons attribution | odc by 1 0 | opendatacommons org licenses by
-pddl-1 | pddl | (?:pddl|public domain dedication and license) | pddl 1 0 | opendatacommons org licenses pddl
-ofl-1 | ofl | (?:sil )?ofl(?: version)? 1 [01] | ofl 1 [01] | scripts sil org ofl
-python-2 | python | python software foundation license(?: version)? 2 | (?:psf|python) 2 0 | python org psf license
-php-3 | php | php license(?: version)? 3(?: 0 ?1?)? | php 3 0 1? | php net license 3 0
-ruby | ruby | ruby | ruby | ruby lang org en about license
-perl | perl | perl | perl | dev perl org licenses
-postgresql | postgresql | postgresql | postgresql | postgresql org about licen[cs]e
-openssl | openssl | openssl | openssl | openssl org source license
-curl | curl | curl | curl | curl se docs copyright
-ntp | ntp | ntp | ntp | opensource org licenses? ntp
-ncsa | ncsa | (?:university of illinois )?ncsa | ncsa | opensource org licenses? ncsa
-afl-3 | academic | academic free license(?: version)? [123] \\d | afl [123] \\d | opensource org licenses? afl 3 0
-osl-3 | osl | open software license(?: version)? [123] \\d | osl [123] \\d | opensource org licenses? osl 3 0
-apsl-2 | apple | apple public source license(?: version)? [12] \\d | apsl [12] \\d | opensource apple com apsl
-ms-pl | microsoft | microsoft public | ms pl | opensource org licenses? ms pl
-ms-rl | microsoft | microsoft reciprocal | ms rl | opensource org licenses? ms rl
-sspl-1 | sspl | (?:sspl|server side public license)(?: version)? 1 | sspl 1 0 | mongodb com licensing server side public license
-busl-1 | busl | business source license(?: version)? 1 1 | busl 1 1 | mariadb com bsl11
-elastic-2 | elastic | elastic license(?: version)? 2(?: 0)? | elastic 2 0 | elastic co licensing elastic license
-upl-1 | upl | universal permissive license(?: version)? 1 0 | upl 1 0 | opensource org licenses? upl
-qpl-1 | qpl | q public license(?: version)? 1 0 | qpl 1 0 | opensource org licenses? qpl 1 0
-vim | vim | vim | vim | vimdoc sourceforge net
-x11 | x11 | x11 | x11 | x org releases
-blueoak-1 | blue | blue oak model license(?: version)? 1 0 0 | blueoak 1 0 0 | blueoakcouncil org license 1 0 0
-mulan-2 | mulan | mulan permissive software license(?: v2)? | mulanpsl 2 0 | license coscl org cn mulanpsl2
+mit | (?:mit|expat) | mit | opensource org licenses? mit
+mit-0 | mit no attribution | mit 0 | opensource org licenses? mit 0
+apache-1 | apache(?: software)? license(?: version)? 1(?: [01])? | apache 1 [01] | apache org licenses license 1 [01]
+apache-2 | apache(?: software)?(?: license)?(?: version)? 2(?: 0)? | apache 2 0 | apache org licenses license 2 0
+gpl-1 | gpl(?: version)? v?1 | gpl 1 0(?: only| or later)? | gnu org licenses gpl 1 0
+gpl-2 | gpl(?: version)? v?2(?: 0)? | gpl 2 0(?: only| or later)? | gnu org licenses(?: old licenses)? gpl 2 0
+gpl-3 | gpl(?: version)? v?3(?: 0)? | gpl 3 0(?: only| or later)? | gnu org licenses gpl 3 0
+lgpl-2 | lgpl(?: version)? v?2(?: [01])? | lgpl 2 [01](?: only| or later)? | gnu org licenses(?: old licenses)? lgpl 2 [01]
+lgpl-3 | lgpl(?: version)? v?3(?: 0)? | lgpl 3 0(?: only| or later)? | gnu org licenses lgpl 3 0
+agpl-3 | agpl(?: version)? v?3(?: 0)? | agpl 3 0(?: only| or later)? | gnu org licenses agpl 3 0
+gfdl-1 | gfdl(?: version)? 1 [123] | gfdl 1 [123](?: only| or later)? | gnu org licenses fdl 1 [123]
+bsd-1 | (?:1|one) clause bsd | bsd 1 clause | opensource org licenses? bsd 1 clause
+bsd-2 | (?:(?:2|two) clause|simplified|freebsd) bsd | bsd 2 clause | opensource org licenses? bsd 2 clause
+bsd-3 | (?:(?:3|three) clause|new|modified|revised) bsd | bsd 3 clause | opensource org licenses? bsd 3 clause
+bsd-4 | (?:(?:4|four) clause|original) bsd | bsd 4 clause | opensource org licenses? bsd 4 clause
+bsd-0 | (?:0|zero) clause bsd | 0bsd | opensource org licenses? 0bsd
+isc | isc | isc | opensource org licenses? isc
+mpl-1 | mozilla public license(?: version)? 1(?: [01])? | mpl 1 [01] | mozilla org mpl 1 [01]
+mpl-2 | mozilla public license(?: version)? 2(?: 0)? | mpl 2 0 | mozilla org mpl 2 0
+epl-1 | eclipse public license(?: version)? 1(?: 0)? | epl 1 0 | eclipse org legal epl v10
+epl-2 | eclipse public license(?: version)? 2(?: 0)? | epl 2 0 | eclipse org legal epl (?:v20|2 0)
+cddl-1 | (?:cddl|common development and distribution license)(?: version)? 1(?: [01])? | cddl 1 [01] | opensource org licenses? cddl 1 0
+cpl-1 | common public license(?: version)? 1(?: 0)? | cpl 1 0 | opensource org licenses? cpl 1 0
+eupl-1 | european union public licen[cs]e(?: version)? 1 [012] | eupl 1 [012] | joinup ec europa eu \\S* eupl
+artistic-1 | artistic license(?: version)? 1(?: 0)? | artistic 1 0 | opensource org licenses? artistic 1 0
+artistic-2 | artistic license(?: version)? 2(?: 0)? | artistic 2 0 | opensource org licenses? artistic 2 0
+zlib | zlib(?: libpng)? | zlib | opensource org licenses? zlib
+libpng | (?:the )?libpng | libpng(?: 2 0)? | libpng org pub png src libpng license
+boost-1 | boost software license(?: version)? 1(?: 0)? | bsl 1 0 | boost org license 1 0
+unlicense | unlicense | unlicense | unlicense org
+wtfpl | wtfpl | wtfpl | wtfpl net
+cc0-1 | cc0(?: 1 0)? | cc0 1 0 | creativecommons org publicdomain zero 1 0
+cc-by | cc by(?: [1234] [05])? | cc by [1234] [05] | creativecommons org licenses by [1234] [05]
+cc-by-sa | cc by sa(?: [1234] [05])? | cc by sa [1234] [05] | creativecommons org licenses by sa [1234] [05]
+cc-by-nd | cc by nd(?: [1234] [05])? | cc by nd [1234] [05] | creativecommons org licenses by nd [1234] [05]
+cc-by-nc | cc by nc(?: [1234] [05])? | cc by nc [1234] [05] | creativecommons org licenses by nc [1234] [05]
+cc-by-nc-sa | cc by nc sa(?: [1234] [05])? | cc by nc sa [1234] [05] | creativecommons org licenses by nc sa [1234] [05]
+cc-by-nc-nd | cc by nc nd(?: [1234] [05])? | cc by nc nd [1234] [05] | creativecommons org licenses by nc nd [1234] [05]
+odbl-1 | open database license(?: version)? 1(?: 0)? | odbl 1 0 | opendatacommons org licenses odbl
+odc-by-1 | open data commons attribution | odc by 1 0 | opendatacommons org licenses by
+pddl-1 | (?:pddl|public domain dedication and license) | pddl 1 0 | opendatacommons org licenses pddl
+ofl-1 | (?:sil )?ofl(?: version)? 1 [01] | ofl 1 [01] | scripts sil org ofl
+python-2 | python software foundation license(?: version)? 2 | (?:psf|python) 2 0 | python org psf license
+php-3 | php license(?: version)? 3(?: 0 ?1?)? | php 3 0 1? | php net license 3 0
+ruby | ruby | ruby | ruby lang org en about license
+perl | perl | perl | dev perl org licenses
+postgresql | postgresql | postgresql | postgresql org about licen[cs]e
+openssl | openssl | openssl | openssl org source license
+curl | curl | curl | curl se docs copyright
+ntp | ntp | ntp | opensource org licenses? ntp
+ncsa | (?:university of illinois )?ncsa | ncsa | opensource org licenses? ncsa
+afl-3 | academic free license(?: version)? [123] \\d | afl [123] \\d | opensource org licenses? afl 3 0
+osl-3 | open software license(?: version)? [123] \\d | osl [123] \\d | opensource org licenses? osl 3 0
+apsl-2 | apple public source license(?: version)? [12] \\d | apsl [12] \\d | opensource apple com apsl
+ms-pl | microsoft public | ms pl | opensource org licenses? ms pl
+ms-rl | microsoft reciprocal | ms rl | opensource org licenses? ms rl
+sspl-1 | (?:sspl|server side public license)(?: version)? 1 | sspl 1 0 | mongodb com licensing server side public license
+busl-1 | business source license(?: version)? 1 1 | busl 1 1 | mariadb com bsl11
+elastic-2 | elastic license(?: version)? 2(?: 0)? | elastic 2 0 | elastic co licensing elastic license
+upl-1 | universal permissive license(?: version)? 1 0 | upl 1 0 | opensource org licenses? upl
+qpl-1 | q public license(?: version)? 1 0 | qpl 1 0 | opensource org licenses? qpl 1 0
+vim | vim | vim | vimdoc sourceforge net
+x11 | x11 | x11 | x org releases
+blueoak-1 | blue oak model license(?: version)? 1 0 0 | blueoak 1 0 0 | blueoakcouncil org license 1 0 0
+mulan-2 | mulan permissive software license(?: v2)? | mulanpsl 2 0 | license coscl org cn mulanpsl2
 """
 
 # {n}: the family's name; kinds in falling order of priority
 MENTIONS = {
-    90: ("spdx", "spdx license identifier {s}"),
-    80: ("", "{u}"),
-    60: ("licen", "(?:licensed|released|distributed|available|published|provided|covered) (?:to you )?(?:under|by) (?:the )?(?:terms of the )?{n}(?: licen[cs]e)?"),
-    50: ("licen", "(?:under|governed by) (?:the )?(?:terms of )?(?:the )?{n} licen[cs]e"),
-    40: ("licen", "licen[cs]e (?:is )?(?:the )?{n}"),
-    30: ("licen", "(?:the )?{n} licen[cs]e"),
+    90: "spdx license identifier {s}",
+    80: "{u}",
+    60: "(?:licensed|released|distributed|available|published|provided|covered) (?:to you )?(?:under|by) (?:the )?(?:terms of the )?{n}(?: licen[cs]e)?",
+    50: "(?:under|governed by) (?:the )?(?:terms of )?(?:the )?{n} licen[cs]e",
+    40: "licen[cs]e (?:is )?(?:the )?{n}",
+    30: "(?:the )?{n} licen[cs]e",
 }
 
-# label | priority | keywords | regex
+# label | priority | regex
 NOTICES = """
-mit | 70 | permission charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-mit | 68 | copyright software | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
-isc | 70 | permission copy | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted
-bsd-2 | 66 | redistribution binary | redistribution and use in source and binary forms with or without modification are permitted
-bsd-3 | 70 | endorse | neither the names? of .{1,120}? nor the names of (?:its|their) contributors may be used to endorse or promote products
-bsd-4 | 70 | advertising | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
-apache-2 | 70 | apache licensed | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
-apache-2 | 66 | apache | apache license version 2
-gpl-2 | 70 | gnu redistribute | redistribute it and or modify it under the terms of the gnu general public license .{0,60}?version 2
-gpl-3 | 70 | gnu redistribute | redistribute it and or modify it under the terms of the gnu general public license .{0,60}?version 3
-lgpl-2 | 70 | gnu lesser | gnu (?:lesser|library) general public license .{0,60}?version 2
-lgpl-3 | 70 | gnu lesser | gnu lesser general public license .{0,60}?version 3
-agpl-3 | 70 | gnu affero | gnu affero general public license .{0,60}?version 3
-gpl | 28 | gnu general | gnu general public licen[cs]e
-lgpl | 28 | gnu | gnu (?:lesser|library) general public licen[cs]e
-agpl | 28 | gnu affero | gnu affero general public licen[cs]e
-gfdl | 28 | gnu documentation | gnu free documentation licen[cs]e
-mpl-2 | 70 | source mozilla | this source code form is subject to the terms of the mozilla public license v 2 0
-epl-1 | 70 | eclipse accompanying | this program and the accompanying materials are made available under the terms of the eclipse public license v1 0
-epl-2 | 70 | eclipse accompanying | this program and the accompanying materials are made available under the terms of the eclipse public license 2 0
-zlib | 70 | warranty altered | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
-boost-1 | 70 | boost | distributed under the boost software license version 1 0
-unlicense | 70 | unencumbered | this is free and unencumbered software released into the public domain
-wtfpl | 70 | fuck | do what the fuck you want to public license
-cc0-1 | 70 | waived | (?:has waived|waives?) all copyright and related (?:or|and) neighbou?ring rights
-ofl-1 | 70 | font sil | this font software is licensed under the sil open font license version 1 1
-cc-by | 62 | commons attribution | creative commons attribution(?: [1234] [05])?(?: international)? licen[cs]e
-cc-by-sa | 64 | commons share | creative commons attribution share ?alike(?: [1234] [05])?
-cc-by-nd | 64 | commons deriv | creative commons attribution no ?deriv(?:ative)?s?(?: works)?
-cc-by-nc | 64 | commons commercial | creative commons attribution non ?commercial(?: [1234] [05])?
-cc-by-nc-sa | 66 | commons share commercial | creative commons attribution non ?commercial share ?alike
-cc-by-nc-nd | 66 | commons deriv commercial | creative commons attribution non ?commercial no ?deriv(?:ative)?s?
-public-domain | 40 | public domain | (?:released|placed|dedicated|is) (?:in|into|to) the public domain
-proprietary | 40 | rights reserved | all rights reserved
-proprietary | 44 | confidential proprietary | (?:confidential and proprietary|proprietary and confidential)
-proprietary | 42 | prohibited | unauthori[sz]ed (?:copying|use|distribution|reproduction) .{0,60}?strictly prohibited
-copyright-notice | 20 | copyright | copyright(?: c)? (?:19|20)\\d\\d(?: (?:19|20)\\d\\d)?
-no-warranty | 15 | warranty | provided as is without warranty of any kind
+mit | 70 | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit | 68 | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+isc | 70 | permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted
+bsd-2 | 66 | redistribution and use in source and binary forms with or without modification are permitted
+bsd-3 | 70 | neither the names? of .{1,120}? nor the names of (?:its|their) contributors may be used to endorse or promote products
+bsd-4 | 70 | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+apache-2 | 70 | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+apache-2 | 66 | apache license version 2
+gpl-2 | 70 | redistribute it and or modify it under the terms of the gnu general public license .{0,60}?version 2
+gpl-3 | 70 | redistribute it and or modify it under the terms of the gnu general public license .{0,60}?version 3
+lgpl-2 | 70 | gnu (?:lesser|library) general public license .{0,60}?version 2
+lgpl-3 | 70 | gnu lesser general public license .{0,60}?version 3
+agpl-3 | 70 | gnu affero general public license .{0,60}?version 3
+gpl | 28 | gnu general public licen[cs]e
+lgpl | 28 | gnu (?:lesser|library) general public licen[cs]e
+agpl | 28 | gnu affero general public licen[cs]e
+gfdl | 28 | gnu free documentation licen[cs]e
+mpl-2 | 70 | this source code form is subject to the terms of the mozilla public license v 2 0
+epl-1 | 70 | this program and the accompanying materials are made available under the terms of the eclipse public license v1 0
+epl-2 | 70 | this program and the accompanying materials are made available under the terms of the eclipse public license 2 0
+zlib | 70 | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+boost-1 | 70 | distributed under the boost software license version 1 0
+unlicense | 70 | this is free and unencumbered software released into the public domain
+wtfpl | 70 | do what the fuck you want to public license
+cc0-1 | 70 | (?:has waived|waives?) all copyright and related (?:or|and) neighbou?ring rights
+ofl-1 | 70 | this font software is licensed under the sil open font license version 1 1
+cc-by | 62 | creative commons attribution(?: [1234] [05])?(?: international)? licen[cs]e
+cc-by-sa | 64 | creative commons attribution share ?alike(?: [1234] [05])?
+cc-by-nd | 64 | creative commons attribution no ?deriv(?:ative)?s?(?: works)?
+cc-by-nc | 64 | creative commons attribution non ?commercial(?: [1234] [05])?
+cc-by-nc-sa | 66 | creative commons attribution non ?commercial share ?alike
+cc-by-nc-nd | 66 | creative commons attribution non ?commercial no ?deriv(?:ative)?s?
+public-domain | 40 | (?:released|placed|dedicated|is) (?:in|into|to) the public domain
+proprietary | 40 | all rights reserved
+proprietary | 44 | (?:confidential and proprietary|proprietary and confidential)
+proprietary | 42 | unauthori[sz]ed (?:copying|use|distribution|reproduction) .{0,60}?strictly prohibited
+copyright-notice | 20 | copyright(?: c)? (?:19|20)\\d\\d(?: (?:19|20)\\d\\d)?
+no-warranty | 15 | provided as is without warranty of any kind
 """
 
 
@@ -144,21 +145,50 @@ class Rule:
     order: int
     label: str
     priority: int
-    keywords: tuple[bytes, ...]
+    keywords: tuple[frozenset[bytes], ...]
     regex: re.Pattern
     base: bool = False
 
 
+#: Shorter pieces are keywords only of rules that have no longer ones.
+LEAST_KEYWORD = 3
+
+
+def _required(parts: list) -> list[frozenset[str]]:
+    """Sets of pieces of words; every match of the parsed regex holds a piece of each set."""
+    out: list[frozenset[str]] = []
+    run = ""
+    for op, value in [*parts, (None, None)]:
+        if op is parser.LITERAL:
+            run += chr(value)
+            continue
+        out += [frozenset([x]) for x in run.split()]
+        run = ""
+        if op is parser.SUBPATTERN:
+            out += _required(value[-1])
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0:
+            out += _required(value[2])
+        elif op is parser.BRANCH:
+            ways = [_required(x) for x in value[1]]
+            if all(ways):
+                out.append(frozenset().union(*(max(w, key=lambda s: min(map(len, s))) for w in ways)))
+    return out
+
+
+def keywords_of(regex: str) -> tuple[frozenset[bytes], ...]:
+    found = set(_required(list(parser.parse(regex))))
+    long = [s for s in found if min(map(len, s)) >= LEAST_KEYWORD]
+    return tuple(frozenset(x.encode() for x in s) for s in sorted(long or found, key=sorted))
+
+
 def rules() -> list[Rule]:
     """All rules, in falling order of priority, the base phrases first."""
-    found: list[tuple[int, str, tuple[str, ...], str, bool]] = [(100, label, tuple(phrase.split()), phrase, True) for phrase, label in BASE.items()]
+    found: list[tuple[int, str, str, bool]] = [(100, label, phrase, True) for phrase, label in BASE.items()]
     for line in FAMILIES.strip().splitlines():
-        label, key, name, spdx, url = (x.strip().replace("\\\\", "\\") for x in line.split(" | "))
-        for priority, (keyword, shape) in MENTIONS.items():
-            first = url.split()[0].split("(")[0] if "{u}" in shape else key
-            found.append((priority, label, tuple(x for x in (keyword, first) if x), shape.format(n=f"(?:{name})", s=f"(?:{spdx})", u=url), False))
+        label, name, spdx, url = (x.strip().replace("\\\\", "\\") for x in line.split(" | "))
+        found += [(priority, label, shape.format(n=f"(?:{name})", s=f"(?:{spdx})", u=url), False) for priority, shape in MENTIONS.items()]
     for line in NOTICES.strip().splitlines():
-        label, priority, keys, regex = (x.strip().replace("\\\\", "\\") for x in line.split(" | "))
-        found.append((int(priority), label, tuple(keys.split()), regex, False))
+        label, priority, regex = (x.strip().replace("\\\\", "\\") for x in line.split(" | "))
+        found.append((int(priority), label, regex, False))
     found.sort(key=lambda x: -x[0])
-    return [Rule(k, label, p, tuple(w.encode() for w in keys), re.compile(f"(?<= )(?:{regex})(?= )".encode()), base) for k, (p, label, keys, regex, base) in enumerate(found)]
+    return [Rule(k, label, p, keywords_of(regex), re.compile(f"(?<= )(?:{regex})(?= )".encode()), base) for k, (p, label, regex, base) in enumerate(found)]

@@ -17,17 +17,6 @@ from ledgermesh.llm.text import PUNCT, slices, texts_of, tidy, words_of
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-#: The prefilter: a text without one of these, and without "cc" followed by the word "by", isn't scanned. Rules of names,
-#: notices and addresses hold one of them each.
-ANCHORS = tuple(
-    x.encode()
-    for x in (
-        "licen copyright spdx .org .net .com .edu .co/ .eu .se/ permission redistribut endorse advertising warrant"
-        " reserved confidential prohibited unencumbered public waive gnu"
-    ).split()
-)
-
-
 @dataclass(frozen=True)
 class Detection:
     label: str
@@ -44,33 +33,30 @@ class Scanner:
     def __init__(self) -> None:
         self.rules: list[Rule] = rules()
         self.keywords = ahocorasick.Automaton()
-        for k in sorted({w for r in self.rules for w in r.keywords}):
+        for k in sorted({w for r in self.rules for s in r.keywords for w in s}):
             self.keywords.add_word(k.decode(), k)
         self.keywords.make_automaton()
-        self.anchors = ANCHORS
-        self.cc = re.compile(rb"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by[\x00-\x2F\x3A-\x60\x7B-\x7F]")
+
+    def possible(self, low: bytes) -> list[Rule]:
+        """The rules whose keywords stand in the lower-cased text."""
+        have = {k for _, k in self.keywords.iter(low.decode("latin-1"))}
+        return [r for r in self.rules if not any(have.isdisjoint(s) for s in r.keywords)] if have else []
 
     def gate(self, low: bytes) -> bool:
-        """Whether any rule may match: one of the anchors stands in the text."""
-        return any(a in low for a in self.anchors) or bool(self.cc.search(low))
+        """Whether any rule may match."""
+        return bool(self.possible(low))
 
     def scan(self, low: bytes) -> list[Detection]:
         """Detections in the lower-cased text that no other one suppresses, in word order."""
-        if not self.gate(low):
+        tried = self.possible(low)
+        if not tried:
             return []
-        words = WORD.findall(low)
-        joined = b" " + b" ".join(words) + b" "
-        text = joined.decode("utf-8")
-        if len(text) == len(joined):
-            have = {k for _, k in self.keywords.iter(text)}
-        else:
-            have = {k for _, k in self.keywords.iter(joined.decode("latin-1"))}
+        joined = b" " + b" ".join(WORD.findall(low)) + b" "
         found = []
-        for r in self.rules:
-            if have.issuperset(r.keywords):
-                for m in r.regex.finditer(joined):
-                    a = joined.count(b" ", 0, m.start()) - 1
-                    found.append(Detection(r.label, r.order, r.priority, a, a + m.group().count(b" "), r.base))
+        for r in tried:
+            for m in r.regex.finditer(joined):
+                a = joined.count(b" ", 0, m.start()) - 1
+                found.append(Detection(r.label, r.order, r.priority, a, a + m.group().count(b" "), r.base))
         return suppress(found)
 
 

@@ -101,6 +101,42 @@ def test_license_rules_and_suppression():
     assert [r.priority for r in rules()] == sorted((r.priority for r in rules()), reverse=True)
 
 
+def example(parts, most):
+    """A match of a parsed regex: its first alternatives and least repeats, or the last and all optional parts."""
+    out = ""
+    for op, value in parts:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            kind, arg = value[-1 if most else 0]
+            out += chr(arg) if str(kind) == "LITERAL" else "1" if str(arg).endswith("DIGIT") else "x"
+        elif name == "ANY":
+            out += "x"
+        elif name == "SUBPATTERN":
+            out += example(value[-1], most)
+        elif name == "BRANCH":
+            out += example(value[1][-1 if most else 0], most)
+        else:
+            assert name.endswith("REPEAT")
+            out += example(value[2], most) * (max(value[0], int(most)))
+    return out
+
+
+def test_license_rules_match_their_own_texts():
+    scanner = licenses.Scanner()
+    for r in scanner.rules:
+        for most in (False, True):
+            text = example(re._parser.parse(r.regex.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )")), most).encode()
+            assert r.regex.search(b" " + text + b" ")
+            assert scanner.gate(text) and r in scanner.possible(text), (r.label, text)
+    label = lambda t: [d.label for d in scanner.scan(t.lower().encode())]
+    for name, text in (("mpl-2", "MPL-2.0"), ("epl-2", "EPL-2.0"), ("eupl-1", "EUPL-1.2"), ("boost-1", "BSL-1.0"), ("ms-pl", "MS-PL")):
+        assert label(f"SPDX-License-Identifier: {text}") == [name]
+    assert label("released under the GPL version 3") == ["gpl-3"] and label("available under CC BY 4.0") == ["cc-by"]
+    assert label("the Common Development and Distribution License 1.0 license") == ["cddl-1"]
+
+
 def test_license_awkward(spark):
     assert licenses.scan_documents(awkward(spark)).count() == len(TEXTS) + 4
     assert licenses.scan_documents(empty(spark)).count() == 0
