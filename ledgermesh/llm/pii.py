@@ -29,9 +29,9 @@ MAY_HOLD = {
     "card": lambda t: F.rlike(t, F.lit(r"[0-9](?:[\x20-]?[0-9]){15}")),
     "phone": lambda t: F.rlike(t, F.lit(r"\+[0-9]")),
 }
-#: A label, its connector, and a value of 4 to 80 characters.
+#: A label, its connector, and a value of 4 characters or more, up to its delimiter.
 LABEL = r"([A-Za-z][A-Za-z_-]{1,30}+)(\x20?[:=#]\x20?[\x22']?)"
-VALUE = r"([^\s\x22',;<>\x01]{4,80}+)"
+VALUE = r"([^\s\x22',;<>\x01]{4,}+)"
 #: Shape of values that are seeds besides base entities: hexadecimal strings and access keys.
 KEY_SHAPE = r"^(?:(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}|AKIA[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})$"
 ROUNDS = 3

@@ -224,6 +224,16 @@ def test_pii_discovers_and_masks(spark):
     assert masked[9].text == "mail [EMAIL] and [IP]!" and masked[8].text is None and masked[7].text == texts[7]
 
 
+def test_pii_takes_long_secrets_whole(spark):
+    hexes = [digest(str(i)) * 3 for i in range(6)]
+    long = "x1Y." * 50
+    docs = documents(spark, [f"use api_key = {h} now" for h in hexes] + [f"use api_key = {long}{x}, then" for x in ("one", "two")])
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert got[0].spans == "secret:14:206" and got[6].spans == got[7].spans == "secret:14:217"
+    masked = {r.doc_id: r.text for r in pii.mask_pii(docs).collect()}
+    assert masked[0] == "use api_key = [SECRET] now" and masked[6] == masked[7] == "use api_key = [SECRET], then"
+
+
 def test_pii_awkward(spark):
     docs = awkward(spark)
     assert pii.find_pii(docs).count() == len(TEXTS) + 4
