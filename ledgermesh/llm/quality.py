@@ -1,62 +1,78 @@
-"""Quality classifier: perplexity under a Kneser-Ney model of trusted text, against quantiles of each language."""
+"""Quality classifier: perplexity under a Kneser-Ney model of trusted text, against quantiles of each language.
+
+The model is counted on most of the trusted documents, as byte n-grams of whole texts that run over word boundaries. The rest of the
+trusted documents, a fifth by a hash of the text, is held out: the thresholds are quantiles of its perplexities, so what the model has
+seen doesn't lower them. Short texts have widely spread perplexities, so a language has a quantile for each band of lengths.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermesh.llm.kneser_ney import build_model, labelled, score
 from ledgermesh.llm.text import texts_of
 from ledgermesh.session import cut
 
-#: A document is rejected above this quantile of its language's trusted perplexities, times the margin.
-QUANTILE = 0.999
-MARGIN = 1.5
-#: Decimals of the log-perplexity in which quantiles are told apart.
-BIN_DIGITS = 3
-#: A language with fewer trusted documents takes the thresholds of all languages together.
+#: A document is rejected above this quantile of the perplexities that held-out trusted documents of its language and length have.
+QUANTILE = 0.995
+#: One trusted document in so many is held out.
+HELD_OUT = 5
+#: Lengths in symbols at which the bands of a language begin.
+BANDS = (64, 256, 1024)
+#: Decimals of the log-perplexity in which quantiles are told apart, so that an aggregate holds few values.
+DIGITS = 3
+#: With fewer held-out documents a band takes its language's quantile, a language its band's over all languages, and that one the quantile of all.
 LEAST_TRUSTED = 30
 
 
-def _quantile(bins: DataFrame, quantile: float) -> DataFrame:
-    """_lang, bin, total: the lowest bin up to which a language has its quantile of rows. Bins are few, whatever the rows are."""
-    own = Window.partitionBy("_lang")
-    reached = F.sum("n").over(own.orderBy("bin")) >= quantile * F.sum("n").over(own)
-    return bins.select("_lang", "bin", reached.alias("reached"), F.sum("n").over(own).alias("total")).filter("reached").groupBy("_lang", "total").agg(F.min("bin").alias("bin"))
-
-
 def perplexity() -> Column:
     return F.when(F.col("n_symbols") > 0, F.exp(-F.col("ll") / F.col("n_symbols")))
 
 
-def quality_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def band() -> Column:
+    """Number of the document's length band."""
+    return reduce(lambda a, b: a + b, ((F.col("n_symbols") >= n).cast("int") for n in BANDS))
+
+
+def quality_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold and keep of each row of docs.
 
-    Trusted text is that of rows labelled with quality 1; all of it is counted, and the thresholds are
-    quantiles over all of it. A null lang is a language of its own. A text that is null, empty or
-    white space has no perplexity and isn't kept. Without any trusted text no threshold exists and every
-    text with words is kept. Repeated rows repeat; columns other than doc_id, text and lang are left out.
+    Trusted text is that of rows labelled with quality 1: the model is counted on it but for one text in HELD_OUT, and the
+    thresholds are quantiles over those. A null lang is a language of its own. A text that is null, empty or
+    white space has no perplexity and isn't kept. Without any held-out text no threshold exists and every
+    text with words is kept. Repeated rows repeat, and equal texts are held out together; columns other than doc_id, text and lang are left out.
     """
-    return _decided(docs, labels, quantile, margin).drop("_tag")
+    return _decided(docs, labels, quantile).drop("_tag")
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def keep_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The rows of docs, with all their columns, that quality_documents keeps."""
-    kept = _decided(docs, labels, quantile, margin).filter("keep").select("doc_id", "lang", "_tag").distinct()
+    kept = _decided(docs, labels, quantile).filter("keep").select("doc_id", "lang", "_tag").distinct()
     rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_own"))
     same = F.col("_row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("_row.lang").eqNullSafe(F.col("lang")) & (F.col("_own") == F.col("_tag"))
     return rows.join(kept, same, "left_semi").select("_row.*")
 
 
-def _decided(docs: DataFrame, labels: DataFrame, quantile: float, margin: float) -> DataFrame:
+def _mark(held: DataFrame, quantile: float, name: str, *by: str) -> DataFrame:
+    """The groups' quantiles of the log-perplexity where enough documents are held out. Tasks send one histogram a group."""
+    found = held.groupBy(*(F.col(c).alias(f"{name}_{c}") for c in by)).agg(F.percentile("_bin", quantile).alias(name), F.count("*").alias("_n"))
+    return found.filter(F.col("_n") >= (LEAST_TRUSTED if by else 1)).drop("_n")
+
+
+def _decided(docs: DataFrame, labels: DataFrame, quantile: float) -> DataFrame:
     rows = labelled(texts_of(docs, "doc_id", "lang"), labels, "quality").withColumn("_tag", F.xxhash64("text"))
-    model = build_model(rows.select("text", F.when(F.col("_quality") == 1, 0).alias("class")))
-    scored = score(rows, model).select("doc_id", "lang", "_tag", "n_words", perplexity().alias("perplexity"), (F.col("_quality") == 1).alias("_trusted"))
-    scored = cut(scored)
-    trusted = scored.filter(F.col("_trusted") & F.col("perplexity").isNotNull())
-    bins = cut(trusted.groupBy(F.col("lang").alias("_lang"), F.round(F.ln("perplexity"), BIN_DIGITS).alias("bin")).agg(F.count("*").alias("n")))
-    by_lang = _quantile(bins, quantile).filter(F.col("total") >= LEAST_TRUSTED).select("_lang", (F.exp("bin") * margin).alias("_own"))
-    overall = _quantile(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("_lang", F.lit("")), quantile).select((F.exp("bin") * margin).alias("mark")).first()  # one row
-    joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    limit = F.coalesce("_own", F.lit(float("inf") if overall is None else overall["mark"]))
+    trusted, held = F.coalesce(F.col("_quality") == 1, F.lit(False)), F.pmod(F.col("_tag"), F.lit(HELD_OUT)) == 0
+    model = build_model(rows.select("text", F.when(trusted & ~held, 0).alias("class")), words=False)
+    scored = score(rows.withColumn("_held", trusted & held).drop("_quality"), model, words=False)
+    scored = cut(scored.select("doc_id", "lang", "_tag", "_held", "n_words", perplexity().alias("perplexity"), band().alias("band")))
+    bins = scored.filter(F.col("_held") & F.col("perplexity").isNotNull()).withColumn("_bin", F.ceil(F.ln("perplexity") * 10**DIGITS) / 10**DIGITS)
+    joined = scored
+    for name, by in (("own", ("lang", "band")), ("of_lang", ("lang",)), ("of_band", ("band",))):
+        marks = F.broadcast(_mark(bins, quantile, name, *by))  # a row for each language and band
+        joined = joined.join(marks, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{name}_{c}")) for c in by)), "left")
+    of_all = _mark(bins, quantile, "of_all").first()  # one row
+    limit = F.exp(F.coalesce("own", "of_lang", "of_band", F.lit(float("inf") if of_all is None else of_all["of_all"])))
     return joined.select("doc_id", "lang", "_tag", "n_words", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("keep"))

@@ -278,56 +278,100 @@ def test_search_awkward(spark):
 # ---------------------------------------------------------------- language models
 
 
-def plain_model(texts, order=kneser_ney.ORDER):
-    """Interpolated modified Kneser-Ney over words' bytes, by dictionaries."""
-    raw = Counter()
-    for t in texts:
-        for w in words(t):
-            s = b" " + w.encode() + b"\n"
-            for i in range(1, len(s)):
-                raw[s[max(0, i - order + 1) : i + 1]] += 1
+def readings(text, streams, order=kneser_ney.ORDER):
+    """(symbols, place of the first predicted one) of a text's words, or of the text as a stream."""
+    own = words(text)
+    if streams:
+        return [(b"\n" * (order - 1) + b" ".join(w.encode() for w in own) + b"\n", order - 1)]
+    return [(b" " + w.encode() + b"\n", 1) for w in own]
+
+
+def plain_model(texts, order=kneser_ney.ORDER, streams=False, classes=None):
+    """Interpolated modified Kneser-Ney over bytes, by dictionaries. classes: the class of each text; then loglik takes a class too (None: all)."""
+    raw, of_class = Counter(), {}
+    for i, t in enumerate(texts):
+        for s, first in readings(t, streams):
+            for i_ in range(first, len(s)):
+                g = s[max(0, i_ - order + 1) : i_ + 1]
+                raw[g] += 1
+                if classes:
+                    of_class.setdefault(classes[i], Counter())[g] += 1
     grams = {g[j:] for g in raw for j in range(len(g))}
     before = Counter(g[1:] for g in grams if len(g) > 1)
-    count = {g: sum(c for r, c in raw.items() if r == g) if len(g) == order or g[:1] == b" " else before[g] for g in grams}
-    disc, stats = {}, {}
-    for k in range(1, order + 1):
-        disc[k] = kneser_ney.discounts([sum(1 for g in grams if len(g) == k and count[g] == i) for i in range(1, 5)])
-    off = lambda g: 0 if not count[g] else disc[len(g)][min(count[g], 3) - 1]
-    for g in grams:
-        s = stats.setdefault(g[:-1], [0, 0.0])
-        s[0] += count[g]
-        s[1] += off(g)
-
-    def prob(context, byte):
+    own_count = lambda g: len(g) == order or (not streams and g[:1] == b" ")
+
+    def tables(counts):
+        count = {g: counts(g) for g in grams}
+        disc = {k: kneser_ney.discounts([sum(1 for g in grams if len(g) == k and count[g] == i) for i in range(1, 5)]) for k in range(1, order + 1)}
+        off = {g: 0 if not count[g] else disc[len(g)][min(count[g], 3) - 1] for g in grams}
+        stats = {}
+        for g in grams:
+            s = stats.setdefault(g[:-1], [0, 0.0])
+            s[0] += count[g]
+            s[1] += off[g]
+        return count, off, stats
+
+    common = tables(lambda g: raw[g] if own_count(g) else before[g])
+    by_class = {c: tables(lambda g, r=r: r[g] if own_count(g) else 0) for c, r in of_class.items()}
+
+    def step(table, h, byte, p):
+        count, off, stats = table
+        if h not in stats or not stats[h][0]:
+            return p
+        g = h + byte
+        return ((count[g] - off[g]) if g in grams else 0) / stats[h][0] + stats[h][1] / stats[h][0] * p
+
+    def prob(context, byte, cls):
         p = kneser_ney.UNIFORM
         for j in range(len(context), -1, -1):
-            h = context[j:]
-            if h in stats and stats[h][0]:
-                g = h + byte
-                p = ((count[g] - off(g)) if g in grams else 0) / stats[h][0] + stats[h][1] / stats[h][0] * p
-        return p
+            h, lower = context[j:], p
+            p = step(common, h, byte, lower)
+        return p if cls is None else step(by_class[cls], context, byte, p)  # a class has its own table of the highest order; it hands down to the common one
 
-    def loglik(text):
+    def loglik(text, cls=None):
         total = 0.0
-        for w in words(text):
-            s = b" " + w.encode() + b"\n"
-            for i in range(1, len(s)):
-                total += np.log(max(prob(s[max(0, i - order + 1) : i], s[i : i + 1]), 1e-12))
+        for s, first in readings(text, streams):
+            for i in range(first, len(s)):
+                total += np.log(max(prob(s[max(0, i - order + 1) : i], s[i : i + 1], cls), 1e-12))
         return total
 
     return loglik
 
 
-def test_kneser_ney_equals_plain_version(spark):
+@pytest.mark.parametrize("streams", [False, True])
+def test_kneser_ney_equals_plain_version(spark, streams):
     rng = random.Random(11)
     texts = [" ".join("".join(rng.choices("abcé", k=rng.randint(1, 7))) for _ in range(rng.randint(1, 30))) for _ in range(40)]
-    docs = documents(spark, texts + ["zzz abca éé", ""]).select("doc_id", "text")
-    model = kneser_ney.build_model(docs.filter("doc_id < 40").select("text", F.lit(0).alias("class")))
-    loglik = plain_model(texts)
-    for r in kneser_ney.score(docs, model).collect():
-        t = (texts + ["zzz abca éé", ""])[r.doc_id]
-        assert r.n_symbols == sum(len(w.encode()) + 1 for w in words(t))
-        assert r.ll == pytest.approx(loglik(t), rel=1e-4, abs=1e-6)
+    more = texts + ["zzz abca  éé", "", "ab\tab ab"]
+    docs = documents(spark, more).select("doc_id", "text")
+    model = kneser_ney.build_model(docs.filter("doc_id < 40").select("text", F.lit(0).alias("class")), words=not streams)
+    loglik = plain_model(texts, streams=streams)
+    for r in kneser_ney.score(docs, model, words=not streams).collect():
+        t = more[r.doc_id]
+        assert r.n_words == len(words(t)) and r.n_symbols == sum(len(w.encode()) + 1 for w in words(t))
+        assert r.ll == pytest.approx(loglik(t) if words(t) else 0.0, rel=1e-4, abs=1e-6)
+
+
+def test_class_models_equal_plain_version(spark):
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choices(["ab", "ba", "cd"][i % 2 :], k=rng.randint(1, 3))) for _ in range(rng.randint(1, 30))) for i in range(40)]
+    classes = [int(i % 3 == 0) for i in range(40)]
+    docs = documents(spark, texts).select("doc_id", "text")
+    model = kneser_ney.build_model(docs.select("text", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("class")), classes=2)
+    got = kneser_ney.score(docs, model, sums={"zero": lambda ll: ll[1], "one": lambda ll: ll[2]}).collect()
+    loglik = plain_model(texts, classes=classes)
+    for r in got:
+        for value, c in ((r.ll, None), (r.zero, 0), (r.one, 1)):
+            assert value == pytest.approx(loglik(texts[r.doc_id], c), rel=1e-4, abs=1e-6)
+
+
+def test_a_block_without_answers_raises():
+    import pyarrow as pa
+
+    known = pa.table({"key": pa.array([], pa.int64()), "a": pa.array([], pa.float32()), "g": pa.array([], pa.float32())})
+    with pytest.raises(RuntimeError):
+        kneser_ney._answers(known, [""], 1, False)
+    assert len(kneser_ney._answers(known, [""], 1, True)[0]) == 0
 
 
 def word_list(rng, stems, n):
@@ -336,13 +380,48 @@ def word_list(rng, stems, n):
 
 def test_quality_rejects_junk(spark):
     rng = random.Random(12)
-    clean = [word_list(rng, ["th", "er", "on", "an"], 80) for _ in range(80)]
-    junk = ["".join(rng.choices("#$%&!*QXZ", k=200)) for _ in range(10)]
-    docs = documents(spark, clean + junk)
-    got = {r.doc_id: r for r in quality.quality_documents(docs, labels(spark, [(i, 1, 0) for i in range(60)] + [(80, 0, 0)])).collect()}
-    assert all(got[i].keep for i in range(80)) and not any(got[i].keep for i in range(80, 90))
-    left = quality.keep_documents(docs, labels(spark, [(i, 1, 0) for i in range(60)]))
-    assert left.columns == docs.columns and left.count() == 80
+    clean = [word_list(rng, ["th", "er", "on", "an"], 80) for _ in range(400)]
+    noise = ["".join(rng.choices("#$%&!*QXZ", k=200)) for _ in range(10)]
+    over = [" ".join(["thonanerth".upper()] * 60) for _ in range(5)]  # a word over and over
+    marked = [" | ".join(word_list(rng, ["th", "er", "on", "an"], 80).split()) for _ in range(5)]
+    docs = documents(spark, clean + noise + over + marked)
+    own = labels(spark, [(i, 1, 0) for i in range(300)] + [(400, 0, 0)])
+    got = {r.doc_id: r for r in quality.quality_documents(docs, own).collect()}
+    assert sum(got[i].keep for i in range(400)) >= 392 and not any(got[i].keep for i in range(400, 420))
+    left = quality.keep_documents(docs, own)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i in got if got[i].keep}
+
+
+def test_word_order_counts(spark):
+    """The same words in another order have another perplexity: n-grams run over word boundaries."""
+    docs = documents(spark, ["on the hill by the sea"] * 30 + ["the on hill the by sea"])
+    got = {r.doc_id: r.perplexity for r in quality.quality_documents(docs, labels(spark, [(i, 1, 0) for i in range(25)])).collect()}
+    assert got[30] is not None and (got[0] == got[29])
+    texts = ["on the hill by the sea"] * 20
+    model = kneser_ney.build_model(documents(spark, texts).select("text", F.lit(0).alias("class")), words=False)
+    a, b = (r.ll for r in kneser_ney.score(documents(spark, [texts[0], "the on hill the by sea"]).select("doc_id", "text"), model, words=False).orderBy("doc_id").collect())
+    assert a > b + 1
+
+
+def test_quality_thresholds_equal_plain_version(spark):
+    """Thresholds are quantiles by language and length band of trusted documents that the model wasn't counted on."""
+    rng = random.Random(22)
+    texts = [word_list(rng, ["th", "er", "on", "an"], rng.choice([2, 8, 40])) for _ in range(500)]
+    docs = documents(spark, texts)  # languages en, de and null by turns
+    rows = {r.doc_id: r for r in quality.quality_documents(docs, labels(spark, [(i, 1, 0) for i in range(450)])).collect()}
+    tags = {r.doc_id: r.t for r in docs.select("doc_id", F.xxhash64("text").alias("t")).collect()}
+    held = [i for i in range(450) if tags[i] % quality.HELD_OUT == 0]
+    loglik = plain_model([texts[i] for i in range(450) if i not in held], streams=True)
+    size = {i: sum(len(w.encode()) + 1 for w in words(texts[i])) for i in rows}
+    own = {i: -loglik(texts[i]) / size[i] for i in rows if i in held or i % 20 == 0}
+    assert all(np.log(rows[i].perplexity) == pytest.approx(x, rel=1e-4) for i, x in own.items())
+    which = {i: (["en", "de", None][i % 3], sum(size[i] >= n for n in quality.BANDS)) for i in rows}
+    logs = {i: np.ceil(np.log(rows[i].perplexity) * 1000) / 1000 for i in held}
+    for i, r in rows.items():
+        groups = [[x for j, x in logs.items() if which[j] == which[i]], [x for j, x in logs.items() if which[j][0] == which[i][0]], [x for j, x in logs.items() if which[j][1] == which[i][1]]]
+        of = next((g for g in groups if len(g) >= quality.LEAST_TRUSTED), list(logs.values()))
+        assert np.log(r.threshold) == pytest.approx(np.quantile(of, quality.QUANTILE), abs=1e-6)
+        assert r.keep == (r.perplexity <= r.threshold)
 
 
 def test_quality_awkward(spark):
