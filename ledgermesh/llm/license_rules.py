@@ -137,6 +137,177 @@ proprietary | 44 | (?:confidential and proprietary|proprietary and confidential)
 proprietary | 42 | unauthori[sz]ed (?:copying|use|distribution|reproduction) .{0,60}?strictly prohibited
 copyright-notice | 20 | copyright(?: c)? (?:19|20)\\d\\d(?: (?:19|20)\\d\\d)?
 no-warranty | 15 | provided as is without warranty of any kind
+gpl-1 | 71 | gnu general public licen[cs]e (?:as published by the free software foundation )?(?:either )?v(?:ersion)? ?1(?: 0)?
+gpl-2 | 71 | gnu general public licen[cs]e (?:as published by the free software foundation )?(?:either )?v(?:ersion)? ?2(?: 0)?
+gpl-3 | 71 | gnu general public licen[cs]e (?:as published by the free software foundation )?(?:either )?v(?:ersion)? ?3(?: 0)?
+gpl-2 | 72 | version 2 of the (?:gnu general public licen[cs]e|gpl)
+gpl-3 | 72 | version 3 of the (?:gnu general public licen[cs]e|gpl)
+gpl-2-or-later | 74 | (?:gnu general public licen[cs]e|gpl) .{0,80}?version 2 (?:of the licen[cs]e )?or (?:at your option )?any later version
+gpl-3-or-later | 74 | (?:gnu general public licen[cs]e|gpl) .{0,80}?version 3 (?:of the licen[cs]e )?or (?:at your option )?any later version
+gpl-2 | 58 | gplv2
+gpl-3 | 58 | gplv3
+gpl | 57 | gpl compatible
+gpl-2-classpath | 75 | linking this library statically or dynamically with other modules is making a combined work
+gpl-gcc-exception | 75 | gcc runtime library exception
+gpl-bison-exception | 75 | as a special exception you may create a larger work that contains part or all of the bison parser skeleton
+gpl-font-exception | 75 | if you create a document which uses this font and embed this font or unaltered portions of this font into the document
+gpl-openssl-exception | 75 | permission to link (?:the code of (?:this program|portions of this program) )?with the openssl (?:project s )?(?:library|toolkit)
+gpl | 45 | you should have received a copy of the gnu general public licen[cs]e along with (?:this|the) [a-z]{1,20}
+lgpl | 45 | you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e
+agpl | 45 | you should have received a copy of the gnu affero general public licen[cs]e
+gpl | 44 | this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e
+lgpl | 46 | this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e
+agpl | 46 | interacting with it remotely through a computer network .{0,80}?opportunity to receive the corresponding source
+lgpl-2-1 | 72 | (?:lgpl|gnu lesser general public licen[cs]e) v(?:ersion)? ?2 1
+lgpl-3 | 72 | (?:lgpl|gnu lesser general public licen[cs]e) v(?:ersion)? ?3
+lgpl-2-1-or-later | 74 | gnu lesser general public licen[cs]e .{0,60}?version 2 1 (?:of the licen[cs]e )?or (?:at your option )?any later version
+agpl-3 | 72 | (?:agpl|agplv3|gnu affero general public licen[cs]e) v?(?:ersion )?3
+gfdl-1-3 | 72 | gnu free documentation licen[cs]e version 1 3
+gfdl-1-2 | 72 | gnu free documentation licen[cs]e version 1 2
+gfdl | 60 | with no invariant sections no front cover texts and no back cover texts
+gpl | 18 | free software foundation inc (?:51 franklin st(?:reet)?|59 temple place|675 mass ave)
+mit | 61 | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+mit-0 | 73 | permission is hereby granted .{0,400}?to permit persons to whom the software is furnished to do so the software is provided
+mit-x11 | 62 | except as contained in this notice the name of the x consortium shall not be used in advertising
+mit | 36 | mit style licen[cs]e
+mit | 34 | dual licensed under (?:the )?mit
+mit-or-apache-2 | 73 | licensed under either of apache licen[cs]e version 2 0 .{0,80}?or mit licen[cs]e
+mit-or-apache-2 | 72 | (?:mit|apache 2 0) or (?:apache 2 0|mit)
+mit-or-gpl | 72 | dual licensed under the mit (?:and|or) gpl(?: version 2)? licen[cs]es?
+hpnd | 70 | permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted
+hpnd-sell | 71 | permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee
+ntp | 71 | permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted
+isc | 66 | the software is provided as is and (?:the author|isc|internet systems consortium) disclaims all warranties
+bsd-0 | 72 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is
+bsd-2 | 58 | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd-2 | 57 | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+bsd-3 | 69 | (?:neither )?the name of (?:the )?.{1,80}? may not be used to endorse or promote products derived from this software without specific prior written permission
+bsd-3 | 68 | neither the name of the university nor the names of its contributors
+bsd-3-clear | 76 | no express or implied licenses to any party s patent rights are granted by this licen[cs]e
+bsd-4 | 69 | this product includes software developed by the university of california berkeley and its contributors
+bsd-4 | 60 | this product includes software developed by
+bsd-patent | 72 | bsd (?:2 clause )?plus patent(?: licen[cs]e)?
+bsd-protection | 72 | bsd protection licen[cs]e
+bsd | 38 | bsd style licen[cs]e
+bsd | 35 | berkeley software distribution licen[cs]e
+bsd | 30 | use of this source code is governed by a bsd (?:style )?licen[cs]e
+apache-2 | 69 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2 | 67 | you may obtain a copy of the license at (?:http|https) www apache org licenses license 2 0
+apache-2 | 65 | licensed to the apache software foundation asf under one or more contributor license agreements
+apache-2 | 59 | apache v2(?: 0)?
+apache-2-llvm | 77 | apache licen[cs]e v(?:ersion )?2 0 with llvm exceptions?
+apache-1-1 | 70 | the end user documentation included with the redistribution if any must include the following acknowledge?ment
+apache-1 | 66 | products derived from this software may not be called apache nor may apache appear in their names
+apache | 33 | apache software foundation licen[cs]e
+mpl-1-1 | 72 | the contents of this file are subject to the mozilla public license version 1 1
+mpl-1 | 71 | the contents of this file are subject to the mozilla public license version 1 0
+mpl-2-no-copyleft | 75 | this source code form is incompatible with secondary licenses as defined by the mozilla public license
+mpl-gpl-lgpl | 76 | alternatively the contents of this file may be used under the terms of either the gnu general public license
+npl-1 | 70 | netscape public license version 1 [01]
+sissl | 70 | sun industry standards source license
+cddl-1 | 70 | subject to the terms of the common development and distribution license
+cddl-gpl | 76 | common development and distribution license cddl .{0,80}?gnu general public license version 2
+epl-2 | 72 | this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0
+edl-1 | 70 | eclipse distribution license v ?1 0
+cpl-1 | 70 | this program and the accompanying materials are made available under the terms of the common public license v1 0
+ipl-1 | 70 | ibm public license version 1 0
+eupl-1-2 | 72 | licensed under the eupl version 1 2
+eupl | 60 | european union public licen[cs]e
+cecill-2 | 70 | this software is governed by the cecill license under french law
+cecill-b | 72 | governed by the cecill b license under french law
+cecill-c | 72 | governed by the cecill c license under french law
+artistic-1 | 70 | you may distribute under the terms of either the gnu general public license or the artistic license
+perl | 71 | you can redistribute it and or modify it under the same terms as perl (?:5 )?itself
+zlib | 68 | the origin of this software must not be misrepresented you must not claim that you wrote the original software
+zlib | 66 | this software is provided as is without any express or implied warranty in no event will the authors be held liable
+libpng | 70 | the png reference library is supplied as is
+ijg | 70 | this software is based in part on the work of the independent jpeg group
+libtiff | 70 | the names of sam leffler and silicon graphics may not be used in any advertising
+freetype | 70 | portions of this software are copyright .{0,40}?the freetype project
+bzip2 | 70 | the origin of this software must not be misrepresented .{0,120}?bzip2
+curl | 70 | copyright c 1996 (?:20\\d\\d )?daniel stenberg
+openssl | 70 | this product includes software developed by the openssl project for use in the openssl toolkit
+ssleay | 70 | this product includes cryptographic software written by eric young
+postgresql | 70 | in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages
+python-2 | 70 | psf is making python available to licensee on an as is basis
+python-2 | 69 | python software foundation license version 2
+python-cnri | 70 | cnri open source license agreement
+php-3-01 | 70 | this product includes php software freely available from
+zend-2 | 70 | the zend engine license version 2
+ruby | 70 | you can redistribute it and or modify it under either the terms of the 2 clause bsdl
+tcl | 70 | the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose
+vim | 70 | vim is charityware
+unicode | 70 | unicode inc license agreement data files and software
+w3c | 70 | w3c software (?:and document )?notice and license
+icu | 70 | icu license icu 1 8 1 and later
+ofl-1 | 68 | the fonts and derivatives however cannot be released under any other type of license
+bitstream-vera | 70 | fonts are c bitstream .{0,40}?bitstream vera is a trademark
+ubuntu-font | 70 | ubuntu font licen[cs]e(?: version)? 1 0
+unlicense | 68 | anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl | 68 | you just do what the fuck you want to
+beerware | 70 | if we meet some day and you think this stuff is worth it you can buy me a beer
+json | 70 | the software shall be used for good not evil
+cc0-1 | 68 | to the extent possible under law .{0,120}?waived all copyright and related (?:or|and) neighbou?ring rights
+cc0-1 | 66 | cc0 1 0 universal
+cc-by-4 | 72 | creative commons attribution 4 0(?: international)?
+cc-by-3 | 72 | creative commons attribution 3 0(?: unported)?
+cc-by-2-5 | 72 | creative commons attribution 2 5(?: generic)?
+cc-by-sa-4 | 73 | creative commons attribution share ?alike 4 0(?: international)?
+cc-by-sa-3 | 73 | creative commons attribution share ?alike 3 0(?: unported)?
+cc-by-nc-4 | 73 | creative commons attribution non ?commercial 4 0(?: international)?
+cc-by-nd-4 | 73 | creative commons attribution no ?deriv(?:ative)?s 4 0(?: international)?
+cc-by-nc-sa-4 | 74 | creative commons attribution non ?commercial share ?alike 4 0(?: international)?
+cc-by-nc-nd-4 | 74 | creative commons attribution non ?commercial no ?deriv(?:ative)?s 4 0(?: international)?
+cc-public-domain | 66 | creative commons public domain (?:mark|dedication)
+cc | 26 | creative commons licen[cs]e
+odbl-1 | 70 | made available under the open database licen[cs]e
+odc-by-1 | 70 | made available under the open data commons attribution licen[cs]e
+ogl-uk-3 | 70 | contains public sector information licensed under the open government licen[cs]e v3 0
+ogl-uk | 50 | open government licen[cs]e
+etalab-2 | 60 | licence ouverte(?: open licen[cs]e)? v(?:ersion)? ?2(?: 0)?
+cdla-permissive | 60 | community data licen[cs]e agreement permissive(?: version)? [12] 0
+cdla-sharing | 60 | community data licen[cs]e agreement sharing(?: version)? 1 0
+sspl-1 | 70 | offering the program as a service .{0,60}?service source code
+busl-1 | 70 | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
+elastic-2 | 70 | you may not provide the software to third parties as a hosted or managed service
+commons-clause | 72 | commons clause licen[cs]e condition v ?1 0
+polyform-nc | 70 | polyform noncommercial licen[cs]e 1 0 0
+polyform-small | 70 | polyform small business licen[cs]e 1 0 0
+prosperity | 70 | prosperity public licen[cs]e(?: version)? 3 0 0
+rail | 60 | responsible ai licen[cs]e
+openrail-m | 64 | (?:creativeml )?open ?rail m
+llama-2 | 66 | llama 2 community licen[cs]e(?: agreement)?
+llama-3 | 66 | (?:meta )?llama 3(?: [123])? community licen[cs]e(?: agreement)?
+gemma | 60 | gemma terms of use
+oracle-bcl | 70 | oracle binary code licen[cs]e agreement
+sun-bcl | 70 | sun microsystems inc binary code licen[cs]e agreement
+ms-eula | 60 | microsoft software licen[cs]e terms
+intel-simplified | 70 | intel simplified software licen[cs]e
+nvidia | 60 | nvidia (?:software|cuda toolkit) (?:end user )?licen[cs]e agreement
+proprietary | 46 | trade secrets? .{0,60}?(?:may not be|shall not be) disclosed
+proprietary | 43 | no part of this (?:publication|work|document|book) may be reproduced
+proprietary | 41 | for internal use only
+proprietary | 41 | end user licen[cs]e agreement
+proprietary | 39 | licensed material property of
+no-redistribution | 46 | redistribution (?:is )?(?:strictly )?(?:prohibited|forbidden|not permitted)
+no-commercial-use | 46 | (?:for )?non ?commercial (?:use|purposes) only
+no-commercial-use | 45 | not for commercial (?:use|purposes)
+research-only | 46 | for (?:academic )?research (?:use|purposes) only
+no-ai-training | 60 | (?:may not|must not|shall not) be used (?:to train|for training) (?:any )?(?:artificial intelligence|ai|machine learning|large language) (?:systems?|models?)
+public-domain | 48 | (?:has|have) been (?:placed|released|dedicated) (?:in|into|to) the public domain
+public-domain | 47 | works? of the united states government
+public-domain | 44 | no copyright is claimed
+shareware | 30 | shareware
+freeware | 30 | freeware
+royalty-free | 25 | royalty free licen[cs]e
+dual-license | 24 | (?:dual|multi) licensed
+see-license | 16 | see (?:the )?(?:file )?licen[cs]e(?: (?:txt|md|file))? for (?:the )?(?:details|more information|licen[cs]e (?:details|terms))
+see-license | 15 | licensed under the terms (?:found )?in the licen[cs]e file
+copyright-notice | 21 | copyright(?: c)? (?:by )?[a-z]{2,30} (?:19|20)\\d\\d
+copyright-notice | 19 | spdx filecopyrighttext
+no-warranty | 14 | without even the implied warranty of merchantability or fitness for a particular purpose
+no-warranty | 13 | in no event shall the (?:authors?|copyright holders?|copyright owners?|regents) (?:or (?:contributors|copyright holders) )?be liable
+no-warranty | 12 | use at your own risk
 """
 
 

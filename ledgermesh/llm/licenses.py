@@ -32,15 +32,20 @@ class Scanner:
 
     def __init__(self) -> None:
         self.rules: list[Rule] = rules()
+        anchored: dict[str, list[int]] = {}
+        for r in self.rules:  # the set whose shortest piece is longest is seldom met, so it is looked for first
+            for k in max(r.keywords, key=lambda s: min(map(len, s))):
+                anchored.setdefault(k.decode(), []).append(r.order)
         self.keywords = ahocorasick.Automaton()
-        for k in sorted({w for r in self.rules for s in r.keywords for w in s}):
-            self.keywords.add_word(k.decode(), k)
+        for k in sorted(anchored):
+            self.keywords.add_word(k, anchored[k])
         self.keywords.make_automaton()
 
     def possible(self, low: bytes) -> list[Rule]:
-        """The rules whose keywords stand in the lower-cased text."""
-        have = {k for _, k in self.keywords.iter(low.decode("latin-1"))}
-        return [r for r in self.rules if not any(have.isdisjoint(s) for s in r.keywords)] if have else []
+        """The rules whose keywords stand in the lower-cased text, in their order."""
+        met = {id(orders): orders for _, orders in self.keywords.iter(low.decode("latin-1"))}
+        tried = sorted({k for orders in met.values() for k in orders})
+        return [r for r in map(self.rules.__getitem__, tried) if all(any(k in low for k in s) for s in r.keywords)]
 
     def gate(self, low: bytes) -> bool:
         """Whether any rule may match."""
@@ -52,20 +57,35 @@ class Scanner:
         if not tried:
             return []
         joined = b" " + b" ".join(WORD.findall(low)) + b" "
-        found = []
-        for r in tried:
-            for m in r.regex.finditer(joined):
-                a = joined.count(b" ", 0, m.start()) - 1
-                found.append(Detection(r.label, r.order, r.priority, a, a + m.group().count(b" "), r.base))
-        return suppress(found)
+        places = [(r, m.start(), m.end()) for r in tried for m in r.regex.finditer(joined)]
+        if not places:
+            return []
+        blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
+        first = np.searchsorted(blanks, [a for _, a, _ in places]) - 1
+        last = np.searchsorted(blanks, [b for _, _, b in places]) - 1
+        return suppress([Detection(r.label, r.order, r.priority, a, b, r.base) for (r, _, _), a, b in zip(places, first.tolist(), last.tolist(), strict=True)])
 
 
 def suppress(found: list[Detection]) -> list[Detection]:
-    """Drop a detection that lies within a kept one of higher priority, or of equal priority and an earlier rule or longer; base ones stay."""
+    """Drop a detection that lies within a kept one of higher priority, or of equal priority and an earlier rule or longer; base ones stay.
+
+    What lies within a dropped one lies within a kept one too, so a detection is held against the furthest end of all before it that
+    begin no later: a tree of maxima over the begins keeps it.
+    """
+    begins = {w: i + 1 for i, w in enumerate(sorted({d.first_word for d in found}))}
+    furthest = [-1] * (len(begins) + 1)
     kept: list[Detection] = []
     for d in sorted(found, key=lambda d: (-d.priority, d.first_word - d.last_word, d.rule, d.first_word)):
-        if d.base or not any(k.first_word <= d.first_word and d.last_word <= k.last_word for k in kept):
+        end, i = -1, begins[d.first_word]
+        while i:
+            end = max(end, furthest[i])
+            i &= i - 1
+        if d.base or end < d.last_word:
             kept.append(d)
+        i = begins[d.first_word]
+        while i < len(furthest):
+            furthest[i] = max(furthest[i], d.last_word)
+            i += i & -i
     return sorted(kept, key=lambda d: (d.first_word, d.last_word, d.rule))
 
 
