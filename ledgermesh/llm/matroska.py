@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
+from array import array
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgermesh.llm.text import texts_of, tidy
 
@@ -27,6 +29,10 @@ DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x23E383, 0xE
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
+# The elements that end a segment and a cluster of unknown size (besides those above: seek head, chapters, attachments, tags).
+SEEK_HEAD, CHAPTERS, ATTACHMENTS, TAGS = 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367
+MAY_BE_OPEN = {SEGMENT: {EBML, SEGMENT}, CLUSTER: {EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, ATTACHMENTS, TAGS}}
+
 #: The padded length of a payload is a multiple of this: one frame of 8 kHz samples lasts 24 ms.
 FRAME = 192
 FRAME_MS = 24
@@ -120,27 +126,33 @@ def read_vint(data: bytes, at: int, marker: bool = False) -> tuple[int, int, boo
     return raw if marker else bare, at + width, bare == (1 << 7 * width) - 1
 
 
+def _open_end(data: bytes, n: int, at: int, end: int) -> int:
+    """Where a segment or cluster of unknown size ends: at the next element that it cannot hold."""
+    if n not in MAY_BE_OPEN:
+        raise ValueError(f"element {n:#x} at byte {at} may not be of unknown size")
+    while at < end:
+        child, body, _ = read_vint(data, at, marker=True)
+        if child in MAY_BE_OPEN[n]:
+            return at
+        size, body, unknown = read_vint(data, body)
+        at = _open_end(data, child, body, end) if unknown else body + size
+    return end
+
+
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, start of body, end of body) of each element; one of unknown size ends with what holds it."""
+    """(id, start of body, end of body) of each element; a segment or cluster of unknown size ends before the next element that it cannot hold."""
     while at < end:
         n, at, _ = read_vint(data, at, marker=True)
         size, at, unknown = read_vint(data, at)
-        stop = end if unknown else at + size
+        stop = _open_end(data, n, at, end) if unknown else at + size
         if stop > end:
             raise ValueError(f"element {n:#x} at byte {at} is cut")
         yield n, at, stop
         at = stop
 
 
-@dataclass
-class Packet:
-    track: int
-    timestamp_ns: int
-    start: int
-    end: int
-    keyframe: bool
-    cluster: int
-    lacing: int
+#: Columns of a packet table, all of 64-bit integers; cluster: its number in the file; lacing: 0 none, 1 Xiph, 2 fixed, 3 EBML.
+Packet = namedtuple("Packet", ["track", "timestamp_ns", "start", "end", "keyframe", "cluster", "lacing"])
 
 
 @dataclass
@@ -149,9 +161,28 @@ class Media:
     duration: float = 0.0
     tracks: dict[int, dict] = field(default_factory=dict)
     clusters: list[tuple[int, int]] = field(default_factory=list)  # (position in the segment, timestamp)
-    packets: list[Packet] = field(default_factory=list)
+    table: dict[str, array] = field(default_factory=lambda: {c: array("q") for c in Packet._fields})
     cues: list[tuple[int, int, int]] = field(default_factory=list)  # (timestamp, track, position in the segment)
 
+    def __len__(self) -> int:
+        return len(self.table["track"])
+
+    @property
+    def packets(self) -> Iterator[Packet]:
+        return map(Packet._make, zip(*self.table.values(), strict=True))
+
+    def column(self, name: str) -> np.ndarray:
+        return np.array(self.table[name], np.int64)
+
+    def payload(self, data: bytes) -> bytes:
+        """The bytes of all packets, one after another."""
+        return b"".join(data[a:b] for a, b in zip(self.table["start"], self.table["end"], strict=True))
+
+    def cued(self) -> set[int]:
+        """Numbers of the clusters that a cue points at."""
+        at = {p for _, _, p in self.cues}
+        return {i for i, (p, _) in enumerate(self.clusters) if p in at}
+
     def cues_hold(self) -> bool:
         """Whether each cue points at a cluster with the cue's own timestamp or an earlier one."""
         at = dict(self.clusters)
@@ -275,8 +306,13 @@ def _read_block(data: bytes, a: int, b: int, cluster_time: int, keyframe: bool,
     time = (cluster_time + int.from_bytes(data[at : at + 2], "big", signed=True)) * out.timestamp_scale
     lacing = data[at + 2] >> 1 & 3
     step = out.tracks.get(track, {}).get("default_ns", 0)
-    for k, (s, e) in enumerate(frame_ranges(data, at + 3, b, lacing)):
-        out.packets.append(Packet(track, time + k * step, s, e, keyframe, len(out.clusters) - 1, lacing))
+    frames = frame_ranges(data, at + 3, b, lacing)
+    n, own = len(frames), out.table
+    for name, value in (("track", track), ("keyframe", int(keyframe)), ("cluster", len(out.clusters) - 1), ("lacing", lacing)):
+        own[name].extend([value] * n)
+    own["timestamp_ns"].extend(range(time, time + n * step, step) if step else [time] * n)
+    own["start"].extend(s for s, _ in frames)
+    own["end"].extend(e for _, e in frames)
 
 
 def _read_cue(data: bytes, a: int, b: int, out: Media) -> None:
@@ -300,12 +336,12 @@ def padded(text: bytes) -> bytes:
 
 def features(media: Media, samples: np.ndarray) -> str:
     """Figures of the packet table and of the samples, as key=value by commas."""
-    lacings = Counter(p.lacing for p in media.packets)
+    n = len(media)
     centred = samples.astype(np.float64) - 128.0
     crossings = int(np.count_nonzero((centred[1:] >= 0) != (centred[:-1] >= 0)))
     return (
-        f"tracks={len(media.tracks)},clusters={len(media.clusters)},packets={len(media.packets)},cues={len(media.cues)},cues_hold={int(media.cues_hold())},"
-        f"laced={sum(v for k, v in lacings.items() if k)},last_ns={media.packets[-1].timestamp_ns if media.packets else 0},"
+        f"tracks={len(media.tracks)},clusters={len(media.clusters)},packets={n},cues={len(media.cues)},cues_hold={int(media.cues_hold())},"
+        f"laced={np.count_nonzero(media.column('lacing'))},last_ns={media.table['timestamp_ns'][-1] if n else 0},"
         f"mean={centred.mean():.4f},rms={np.sqrt((centred**2).mean()):.4f},peak={np.abs(centred).max():.0f},crossings={crossings}"
     )
 
@@ -326,9 +362,9 @@ def media_documents(docs: DataFrame, with_media: bool = False) -> DataFrame:
         raw = text.encode()
         stored = write_audio(padded(raw))
         media = read(stored)
-        back = b"".join([stored[p.start : p.end] for p in media.packets])
+        back = media.payload(stored)
         samples = np.frombuffer(back, dtype=np.uint8)
-        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(media, samples), len(media.packets), int(media.duration), *([stored] if with_media else [])
+        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(media, samples), len(media), int(media.duration), *([stored] if with_media else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,3 +374,56 @@ def media_documents(docs: DataFrame, with_media: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=False))], names=names + ["media"] * with_media)
 
     return rows.mapInArrow(tidy(run), schema)
+
+
+PACKET_SCHEMA = "packet long, track long, timestamp_ns long, start long, end long, keyframe boolean, cluster long, cluster_position long, cluster_timestamp_ns long, cued boolean, lacing int, error string"
+#: Packets of one Arrow batch.
+PACKETS_AT_ONCE = 100_000
+
+
+def packet_batches(data: bytes) -> Iterator[list[pa.Array]]:
+    """The packet table of a file in the columns of PACKET_SCHEMA; what cannot be read is one row with the error."""
+    try:
+        media = read(data)
+    except ValueError as error:
+        yield [pa.nulls(1, k) for k in (pa.int64(),) * 5 + (pa.bool_(),) + (pa.int64(),) * 3 + (pa.bool_(), pa.int32())] + [pa.array([str(error)])]
+        return
+    clusters = np.array([*media.clusters, (0, 0)], np.int64).reshape(-1, 2)
+    cued = np.isin(np.arange(len(clusters)), list(media.cued()))
+    table = {c: media.column(c) for c in Packet._fields}
+    for a in range(0, len(media), PACKETS_AT_ONCE):
+        own = {c: x[a : a + PACKETS_AT_ONCE] for c, x in table.items()}
+        k = own["cluster"]
+        yield [
+            pa.array(np.arange(a, a + len(k))),
+            *(pa.array(own[c]) for c in ("track", "timestamp_ns", "start", "end")),
+            pa.array(own["keyframe"] > 0),
+            pa.array(k),
+            pa.array(clusters[k, 0]),
+            pa.array(clusters[k, 1] * media.timestamp_scale),
+            pa.array(cued[k]),
+            pa.array(own["lacing"].astype(np.int32)),
+            pa.nulls(len(k), pa.string()),
+        ]
+
+
+def packet_table(files: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
+    """A row for each packet of each Matroska file: key, its number, track, timestamp, byte range, keyframe, cluster with position and time, whether a cue points there, and lacing.
+
+    files: key and the files' bytes. A null file has no rows; one that cannot be parsed has one row with its error and nulls, and a file
+    without packets none. Repeated rows repeat. Other columns are left out.
+    """
+    rows = files.select(key, column).filter(F.col(column).isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column(1)):
+                for columns in packet_batches(data.as_py()):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(columns[0]), i))), *columns], names=[key, *(x.split()[0] for x in PACKET_SCHEMA.split(", "))])
+
+    return rows.mapInArrow(tidy(run), f"`{key}` {rows.schema[0].dataType.simpleString()}, {PACKET_SCHEMA}")
+
+
+def media_packets(docs: DataFrame) -> DataFrame:
+    """The packet tables of the files that media_documents stores for the texts."""
+    return packet_table(media_documents(docs, with_media=True))

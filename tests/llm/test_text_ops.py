@@ -49,6 +49,66 @@ def test_cut_media_raise():
             matroska.read(stored[:n])
 
 
+def open_sizes(stored, ids):
+    """The file with the sizes of these elements set to unknown, in as many bytes."""
+    out = bytearray(stored)
+
+    def walk(at, end):
+        while at < end:
+            n, body, _ = matroska.read_vint(stored, at, marker=True)
+            size, start, _ = matroska.read_vint(stored, body)
+            if n == matroska.SEGMENT:
+                walk(start, start + size)
+            if n in ids:
+                width = start - body
+                out[body:start] = ((1 << 7 * width + 1) - 1).to_bytes(width, "big")
+            at = start + size
+
+    walk(0, len(stored))
+    return bytes(out)
+
+
+@pytest.mark.parametrize("ids", [[matroska.CLUSTER], [matroska.SEGMENT], [matroska.SEGMENT, matroska.CLUSTER]])
+def test_unknown_sizes(ids):
+    stored = matroska.write_audio(matroska.padded(b"x" * (192 * 600)))
+    whole, media = matroska.read(stored), matroska.read(open_sizes(stored, ids))
+    assert len(media) == len(whole) == 600 and len(media.clusters) == len(media.cues) == 3
+    assert list(media.packets) == list(whole.packets) and media.clusters == whole.clusters and media.cues == whole.cues
+    with pytest.raises(ValueError):
+        matroska.read(open_sizes(stored, [matroska.SEGMENT, matroska.CUES]))
+
+
+def test_block_groups_and_tracks():
+    """A file by hand: two tracks, block groups with and without references, and no cues."""
+    e, u = matroska._element, matroska._uint
+    tracks = e(matroska.TRACKS, b"".join(e(matroska.TRACK_ENTRY, u(matroska.TRACK_NUMBER, n) + u(matroska.DEFAULT_DURATION, 5_000_000 * n)) for n in (1, 2)))
+    flags, body = matroska.lace([b"ab", b"c"], "ebml")
+    blocks = e(matroska.BLOCK_GROUP, e(matroska.BLOCK, b"\x81\x00\x07" + bytes([flags]) + body)) + e(matroska.BLOCK_GROUP, e(matroska.BLOCK, b"\x82\xff\xff\x00xyz") + u(0xFB, 1)) + e(matroska.SIMPLE_BLOCK, b"\x82\x00\x01\x00q")
+    stored = e(matroska.EBML, b"") + e(matroska.SEGMENT, tracks + e(matroska.CLUSTER, u(matroska.TIMESTAMP, 100) + blocks))
+    got = [(p.track, p.timestamp_ns, stored[p.start : p.end], bool(p.keyframe), p.lacing) for p in matroska.read(stored).packets]
+    assert got == [(1, 107_000_000, b"ab", True, 3), (1, 112_000_000, b"c", True, 3), (2, 99_000_000, b"xyz", False, 0), (2, 101_000_000, b"q", False, 0)]
+
+
+def test_packet_table(spark):
+    """The packets as a DataFrame, against what the writer wrote."""
+    texts = ["", "x" * 192, "y" * (192 * 600 - 7), None]
+    docs = documents(spark, texts)
+    files = {r.doc_id: r.media for r in matroska.media_documents(docs, with_media=True).collect()}
+    rows = sorted(matroska.media_packets(docs).collect(), key=lambda r: (r.doc_id, r.packet))
+    for i, t in enumerate(texts):
+        own = [r for r in rows if r.doc_id == i]
+        payload = matroska.padded((t or "").encode())
+        assert [r.packet for r in own] == list(range(len(payload) // 192))
+        assert b"".join(files[i][r.start : r.end] for r in own) == payload
+        for r in own:
+            assert (r.track, r.timestamp_ns, r.keyframe, r.cluster, r.cued, r.error) == (1, r.packet * 24_000_000, True, r.packet // 256, True, None)
+            assert r.cluster_timestamp_ns == r.cluster * 256 * 24_000_000
+    odd = spark.createDataFrame([(1, b"\x1aE\xdf\xa3\x80junk"), (2, None), (3, b"")], "doc_id long, media binary")
+    (bad,) = matroska.packet_table(odd).collect()
+    assert bad.doc_id == 1 and bad.error and bad.packet is None
+    assert matroska.media_packets(empty(spark)).count() == 0 and matroska.media_packets(awkward(spark)).count() > len(TEXTS)
+
+
 def test_media_documents(spark):
     rows = matroska.media_documents(awkward(spark)).collect()
     assert len(rows) == len(TEXTS) + 4
