@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows at most on which partitions and network are fitted, by the smallest hashes of vec_id.
-SAMPLE = 8_000
-PARTS = 16
+SAMPLE = 16_000
+#: Rows of the sample that a part has at least, and sample rows that are kept from fitting to measure recall on.
+PART_ROWS = 64
+MEASURED = 400
 GRAPH_NEIGHBOURS = 10
 HIDDEN = 64
 EPOCHS = 12
@@ -114,20 +116,25 @@ class Router:
         return np.argsort(-(np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3]), axis=1, kind="stable")
 
 
-def fit_index(x: np.ndarray, k: int, parts: int = PARTS, aim: float = AIM) -> tuple[Router, int]:
-    """The router and the number of parts to probe: the fewest with the aimed recall of k neighbours on the sample, between the sample's own rows."""
-    parts = 1 << max(0, min(parts, max(1, len(x) // 64)).bit_length() - 1)
+def parts_for(rows: int, sample: int) -> int:
+    """A power of two: half the root of the rows, as far as the sample has PART_ROWS for each."""
+    return 1 << max(0, min(int(np.sqrt(rows) / 2), sample // PART_ROWS).bit_length() - 1)
+
+
+def fit_index(x: np.ndarray, k: int, parts: int, aim: float = AIM) -> tuple[Router, int]:
+    """The router and the number of parts to probe: the fewest with the aimed recall of k neighbours, for sample rows that neither partition nor router were fitted on."""
+    parts = 1 << max(0, min(parts, max(1, len(x) // PART_ROWS)).bit_length() - 1)
     if parts < 2:
         return Router([np.zeros((x.shape[1], HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)]), 1
-    part = balanced_parts(x, neighbour_graph(x, GRAPH_NEIGHBOURS), parts)
-    router = Router.fit(x, part, parts)
+    asked = np.arange(min(MEASURED, len(x) // 8))
+    seen = x[len(asked) :]
+    part = balanced_parts(seen, neighbour_graph(seen, GRAPH_NEIGHBOURS), parts)
+    router = Router.fit(seen, part, parts)
     order = router.ranked(x)
-    home = order[:, 0]
-    some = np.arange(0, len(x), max(1, len(x) // 500))
-    near = neighbour_graph_of(x, some, k)
+    near = neighbour_graph_of(x, asked, k)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(parts)[None, :], axis=1)
-    needed = place[some[:, None], home[near]]
+    needed = place[asked[:, None], order[:, 0][near]]
     recall = [(needed < m).mean() for m in range(1, parts + 1)]
     return router, int(next(m for m, r in enumerate(recall, 1) if r >= aim or m == parts))
 
@@ -184,12 +191,13 @@ def top_of_block(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids:
     return out_q, out_v, out_s
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, column: str = "embedding", parts: int = PARTS, aim: float = AIM, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, column: str = "embedding", parts: int | None = None, aim: float = AIM, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows found for each row whose vec_id is divisible by `every`.
 
     Nearness is the largest inner product, in double precision, ties by smaller vec_id; the query's own row (any row of its vec_id) is left out.
     Null, zero, empty and non-finite vectors and null ids take no part, nor do vectors of another length than the most frequent one.
     A query id that repeats is searched once, with the largest of its vectors. Equal rows are told apart by vec_id only. Fewer than k candidates: all of them.
+    A query is asked of as many parts as hold k candidates, whatever the aim. parts: parts_for the rows by default.
     """
     rows = usable(vectors, column).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -199,23 +207,34 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, column: str = "emb
     dim, total = int(sizes["d"]), int(sizes["n"])
     rows = rows.filter(F.size("v") == dim)
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()  # `sample` rows at most
-    router, probes = fit_index(np.stack(drawn["v"].to_numpy()).astype(np.float64), k, parts, aim)
+    router, probes = fit_index(np.stack(drawn["v"].to_numpy()).astype(np.float64), k, parts or parts_for(total, len(drawn)), aim)
     weights = router.weights
 
-    def routed(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = Router(weights)
         for batch in batches:
             if batch.num_rows:
-                order = here.ranked(_matrix(batch.column("v"), dim))[:, :m]
-                width = order.shape[1]
-                again = pa.array(np.repeat(np.arange(batch.num_rows), width))
-                yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32)), batch.column("vec_id").take(again), batch.column("v").take(again)], names=["part", "vec_id", "v"])
+                home = here.ranked(_matrix(batch.column("v"), dim))[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), batch.column("vec_id"), batch.column("v")], names=["part", "vec_id", "v"])
 
     shape = "part int, vec_id long, v array<double>"
-    index = rows.mapInArrow(lambda b: routed(b, 1), shape)
-    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
-    queries = asked.mapInArrow(lambda b: routed(b, probes), shape)
-    held = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}  # `parts` rows
+    index = rows.mapInArrow(at_home, shape)
+    held = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each part
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = Router(weights)
+        for batch in batches:
+            if batch.num_rows:
+                order = here.ranked(_matrix(batch.column("v"), dim))
+                inside = np.cumsum(np.array([held.get(p, 0) for p in range(order.shape[1])])[order], axis=1)
+                short = inside < (k + batch.column("own").to_numpy())[:, None]  # the parts so far hold too few others
+                width = np.minimum(np.maximum(short.sum(axis=1) + 1, probes), order.shape[1])
+                again = np.repeat(np.arange(batch.num_rows), width)
+                nth = np.arange(len(again)) - np.repeat(np.cumsum(width) - width, width)
+                yield pa.RecordBatch.from_arrays([pa.array(order[again, nth].astype(np.int32)), batch.column("vec_id").take(pa.array(again)), batch.column("v").take(pa.array(again))], names=["part", "vec_id", "v"])
+
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"), F.count("*").alias("own"))
+    queries = asked.mapInArrow(routed, shape)
     posed = {r["part"]: r["n"] for r in queries.groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = [(p, -(-held[p] // BLOCK_ROWS), -(-posed[p] // BLOCK_ROWS)) for p in held if posed.get(p)]
     if not blocks:
