@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,31 +95,65 @@ def _orders(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig", "low").mapInArrow(tidy(run), "tree int, key binary, id long, low binary")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, est): neighbours in any order, a < b, whose estimated similarity (by one byte of each signature value) is LEAST_ESTIMATE at least."""
+SCANNED = "a long, b long, est double, place long, tree int, key binary, id long, low binary"
+
+
+def _scan(batches: Iterator[pa.RecordBatch], borders: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of sorted rows (tree, key, id, low) that are NEIGHBOURS rows apart at most and share the prefix.
+
+    borders: the partition's number; then its first and last NEIGHBOURS rows are returned too, with their place among those
+    of all partitions. None: rows come with `place`, and only pairs of different partitions are returned.
+    """
+    names = [x.split()[0] for x in SCANNED.split(", ")]
+    none = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
+    tree, key, low, ids, part = np.zeros(0, np.int32), np.zeros((0, DEEPEST), np.uint32), np.zeros((0, SLOTS), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    seen, tail = 0, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        old = len(ids[-NEIGHBOURS:])
+        tree = np.concatenate([tree[-NEIGHBOURS:], batch.column("tree").to_numpy()])
+        key = np.concatenate([key[-NEIGHBOURS:], np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint32).reshape(-1, DEEPEST)])
+        low = np.concatenate([low[-NEIGHBOURS:], np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, SLOTS)])
+        ids = np.concatenate([ids[-NEIGHBOURS:], batch.column("id").to_numpy()])
+        part = np.concatenate([part[-NEIGHBOURS:], batch.column("place").to_numpy() >> 32 if borders is None else np.zeros(n, np.int64)])
+        for step in range(1, NEIGHBOURS + 1):
+            right = np.arange(max(old, step), len(ids))
+            left = right - step
+            same = (tree[left] == tree[right]) & (key[left, :LEAST_DEPTH] == key[right, :LEAST_DEPTH]).all(axis=1) & (ids[left] != ids[right])
+            if borders is None:
+                same &= part[left] != part[right]
+            left, right = left[same], right[same]
+            est = ((low[left] == low[right]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # unequal values share a byte once in 256
+            like = est >= LEAST_ESTIMATE
+            left, right = ids[left[like]], ids[right[like]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(est[like]), *none(len(left), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())], names=names)
+        if borders is not None:
+            own = batch.select(["tree", "key", "id", "low"]).append_column("place", pa.array((borders << 32) + seen + np.arange(n)))
+            head = own.slice(0, max(0, NEIGHBOURS - seen))
+            if head.num_rows:
+                yield pa.RecordBatch.from_arrays([*none(head.num_rows, pa.int64(), pa.int64(), pa.float64()), *(head.column(c) for c in names[3:])], names=names)
+            rest = own.slice(head.num_rows)
+            tail = pa.Table.from_batches([rest] if tail is None else [*tail.to_batches(), rest])
+            tail = tail.slice(max(0, tail.num_rows - NEIGHBOURS))
+            seen += n
+    if tail is not None and tail.num_rows:
+        yield pa.RecordBatch.from_arrays([*none(tail.num_rows, pa.int64(), pa.int64(), pa.float64()), *(tail.column(c).combine_chunks() for c in names[3:])], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, key, low, ids = np.zeros(0, np.int32), np.zeros((0, DEEPEST), np.uint32), np.zeros((0, SLOTS), np.uint8), np.zeros(0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            old = len(ids[-NEIGHBOURS:])
-            tree = np.concatenate([tree[-NEIGHBOURS:], batch.column("tree").to_numpy()])
-            key = np.concatenate([key[-NEIGHBOURS:], np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint32).reshape(-1, DEEPEST)])
-            low = np.concatenate([low[-NEIGHBOURS:], np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, SLOTS)])
-            ids = np.concatenate([ids[-NEIGHBOURS:], batch.column("id").to_numpy()])
-            for step in range(1, NEIGHBOURS + 1):
-                right = np.arange(max(old, step), len(ids))
-                left = right - step
-                same = (tree[left] == tree[right]) & (key[left, :LEAST_DEPTH] == key[right, :LEAST_DEPTH]).all(axis=1) & (ids[left] != ids[right])
-                left, right = left[same], right[same]
-                est = ((low[left] == low[right]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # unequal values share a byte once in 256
-                like = est >= LEAST_ESTIMATE
-                left, right = ids[left[like]], ids[right[like]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(est[like])], names=["a", "b", "est"])
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b, est): neighbours in any order, a < b, whose estimated similarity (by one byte of each signature value) is LEAST_ESTIMATE at least.
+
+    An order is cut into range partitions. Each hands on its first and last rows, which one task scans in order for the pairs that
+    the cuts part: 2 * NEIGHBOURS rows a partition, so their number is bounded by that of partitions, and the scan holds NEIGHBOURS of them.
+    """
     ordered = _orders(classes).repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    return ordered.mapInArrow(tidy(run), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+    scanned = cut(ordered.mapInArrow(tidy(lambda batches: _scan(batches, TaskContext.get().partitionId())), SCANNED))
+    ends = scanned.filter("place is not null").select("place", "tree", "key", "id", "low").coalesce(1).sortWithinPartitions("place")
+    parted = ends.mapInArrow(tidy(lambda batches: _scan(batches, None)), SCANNED)
+    pairs = scanned.filter("place is null").select("a", "b", "est").union(parted.select("a", "b", "est"))
+    return pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

@@ -89,6 +89,40 @@ def test_near_duplicates_of_a_dense_region(spark):
     assert got == dict(enumerate(wanted))
 
 
+def test_candidates_do_not_depend_on_partitions(spark):
+    """Pairs at the borders of range partitions are found, whatever the partitions are; the window is brute force over each whole order."""
+    rng = random.Random(31)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(25)]
+    texts = []
+    for b in base:
+        for _ in range(5):
+            own = list(b)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(60)] = f"v{rng.randrange(3000)}"
+            texts.append(" ".join(own))
+    sig = near_dedup.signatures(documents(spark, texts), 4).select(F.col("doc_id").alias("id"), "sig", "low").persist()
+    rows = {r.id: (np.frombuffer(r.sig, ">u4"), np.frombuffer(r.low, np.uint8)) for r in sig.collect()}
+    wanted = {}
+    for t in range(near_dedup.ORDERS):
+        order = sorted((tuple(np.roll(s, -near_dedup.LEAST_DEPTH * t)[: near_dedup.DEEPEST].tolist()), i) for i, (s, _) in rows.items())
+        for x in range(len(order)):
+            for y in range(x + 1, min(len(order), x + 1 + near_dedup.NEIGHBOURS)):
+                if order[x][0][: near_dedup.LEAST_DEPTH] == order[y][0][: near_dedup.LEAST_DEPTH]:
+                    a, b = sorted((order[x][1], order[y][1]))
+                    est = ((rows[a][1] == rows[b][1]).mean() - 1 / 256) / (1 - 1 / 256)
+                    if est >= near_dedup.LEAST_ESTIMATE:
+                        wanted[(a, b)] = round(est, 9)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 8, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.enabled", n == 1)
+            assert {(r.a, r.b): round(r.est, 9) for r in near_dedup.candidates(sig).collect()} == wanted, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+
+
 def test_near_duplicates_awkward(spark):
     docs = awkward(spark)
     rows = near_dedup.near_duplicates(docs).collect()
@@ -265,6 +299,21 @@ def test_search_recall(spark):
     assert sum(got.values()) / (20 * len(wanted)) >= 0.9
 
 
+@pytest.mark.parametrize("small", [12, 20])
+def test_search_returns_k_of_uneven_clusters(spark, small):
+    """A small cluster has fewer rows than k: its queries go on to other parts."""
+    rng = np.random.default_rng(small)
+    centres = 5 * np.eye(8)[:2]
+    rows = [(i, (centres[int(i >= 180)] + 0.1 * rng.normal(size=8)).tolist()) for i in range(180 + small)]
+    rows += [(20, rows[20][1])] * 30  # an id many times: its rows are no candidates of its own
+    got = Counter(r.query_id for r in vector_search.nearest(vectors(spark, rows), parts=16).collect())
+    assert set(got.values()) == {20} and set(got) == set(range(0, 180 + small, 20))
+
+
+def test_parts_grow_with_the_rows():
+    assert [vector_search.parts_for(n, min(n, vector_search.SAMPLE)) for n in (10, 1_000, 10_000, 100_000, 10_000_000)] == [1, 8, 32, 128, 128]
+
+
 def test_search_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, None), (4, []), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [0.0, 0.0]), (None, [1.0, 1.0]), (8, [1.0, None]), (9, [1.0, 1.0]), (9, [1.0, 1.0]), (10, [1.0, 2.0, 3.0])]
