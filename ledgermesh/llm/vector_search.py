@@ -36,10 +36,10 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     n = len(x)
     k = min(k, n - 1)
     out = np.empty((n, k), np.int64)
-    for a in range(0, n, 1024):
-        s = x[a : a + 1024] @ x.T
+    for a in range(0, n, 256):
+        s = x[a : a + 256] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        out[a : a + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else out[a : a + 1024]
+        out[a : a + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else out[a : a + 256]
     return out
 
 
