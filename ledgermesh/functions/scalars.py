@@ -28,8 +28,17 @@ def _c(c: ColumnOrName) -> Column:
 
 
 def bkdr_hash(text: ColumnOrName) -> Column:
-    """131-multiplier string hash kept to 37 bits; characters of the basic plane count as their code."""
-    return F.aggregate(F.split(_c(text), ""), F.lit(0).cast("long"), lambda h, ch: (h * 131 + F.ascii(ch)).bitwiseAND(F.lit((1 << 37) - 1)))
+    """131-multiplier string hash kept to 37 bits, over UTF-16 units: a character beyond the basic plane counts as its two surrogates."""
+
+    def add(h: Column, unit: Column) -> Column:
+        return (h * 131 + unit).bitwiseAND(F.lit((1 << 37) - 1))
+
+    def step(h: Column, ch: Column) -> Column:
+        code = F.ascii(ch)
+        pair = add(add(h, F.lit(0xD800) + F.shiftright(code - 0x10000, 10)), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF)))
+        return F.when(code >= 0x10000, pair).otherwise(add(h, code))
+
+    return F.aggregate(F.split(_c(text), ""), F.lit(0).cast("long"), step)
 
 
 def md5_long(text: ColumnOrName) -> Column:
@@ -55,11 +64,19 @@ def day_of_week(day: ColumnOrName) -> Column:
 
 
 def delta_time(start: ColumnOrName, end: ColumnOrName, unit: str = "seconds") -> Column:
-    """Time from start to end, both MMddHHmmss without a year, in seconds, mins or hours; NaN for what can't be read."""
+    """Time from start to end, both MMddHHmmss without a year, in seconds, mins or hours; NaN for what isn't ten digits.
+
+    Fields beyond their range roll over, as a lenient reader has it: month 13 is the next January, minute 75 the next hour's 15.
+    """
     per = {"seconds": 1.0, "mins": 60.0, "hours": 3600.0}
     if unit not in per:
         raise ValueError(f"unit {unit!r} is none of {sorted(per)}")
-    at = lambda c: F.try_to_timestamp(F.concat(F.lit("1970"), _c(c)), F.lit("yyyyMMddHHmmss")).cast("long")
+
+    def at(c: ColumnOrName) -> Column:
+        month, day, hour, minute, second = (F.substring(_c(c), 2 * i + 1, 2).try_cast("int") for i in range(5))
+        days = F.unix_date(F.add_months(F.to_date(F.lit("1970-01-01")), month - 1)) + day - 1
+        return F.when(F.rlike(_c(c), F.lit("^[0-9]{10}$")), days.cast("long") * 86_400 + hour * 3_600 + minute * 60 + second)
+
     return F.coalesce((at(end) - at(start)) / F.lit(per[unit]), F.lit(float("nan")))
 
 

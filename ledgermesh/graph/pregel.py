@@ -11,10 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermesh.session import cut
-
-#: Vertices of one partition of a round's state.
-STATE_ROWS = 200_000
+from ledgermesh.session import discard, last_stored, stored
 
 
 def pregel(
@@ -30,17 +27,21 @@ def pregel(
     messages: from a state, one row for each id that gets a message.
     update: new attributes of a vertex that got one, from its own and the message's columns.
     every_vertex_active: all vertices send in every round, and one without a message takes a null one.
+    A round's state is a table in the checkpoint folder; the one before goes as soon as the next one is written.
     """
+    spark = state.sparkSession
     names = [c for c in state.columns if c not in ("id", "active")]
-    state = cut(state, STATE_ROWS)
+    state, path = stored(state), last_stored()
     for _ in range(rounds):
         sent = messages(state).withColumn("_got", F.lit(True))
         joined = state.join(sent, "id", "left")
         got = F.coalesce("_got", F.lit(False))
         takes = F.lit(True) if every_vertex_active else got
         new = joined.select("id", *(F.when(takes, update[c]).otherwise(F.col(c)).alias(c) if c in update else F.col(c) for c in names), (F.lit(True) if every_vertex_active else got).alias("active"))
-        new = cut(new, STATE_ROWS)
+        new, next_path = stored(new), last_stored()
         if not every_vertex_active and new.filter("active").isEmpty():
+            discard(spark, next_path)
             return state
-        state = new
+        discard(spark, path)
+        state, path = new, next_path
     return state

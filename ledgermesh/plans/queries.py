@@ -23,6 +23,7 @@ from ledgermesh.ml import features as M
 from ledgermesh.ml.isolation_forest import fit_forest
 from ledgermesh.operators import relational as R
 from ledgermesh.plans import flows
+from ledgermesh.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -39,11 +40,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return note
 
 
-def whole(name: str | None = None) -> Callable[[Query], Query]:
-    """Register a query over all transitions or transfers, with the SQL of the query `name` over all edges."""
-    return query(_SQL[name].replace(FREQUENT_SQL, ALL_SQL) if name else None)
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -74,20 +70,21 @@ ends AS (SELECT max(n) AS hn, min(cards) AS lc, max(cards) AS hc, min(t) AS lt,
 norms AS (SELECT src, dst, (n - 1) / nullif(CAST(hn - 1 AS DOUBLE), 0) AS n1, (cards - lc) / nullif(CAST(hc - lc AS DOUBLE), 0) AS n2, (t - lt) / nullif(ht - lt, 0) AS n3 FROM timed, ends),
 weighted AS (SELECT src, dst, n1, coalesce(n1 + n2 + n3, 'NaN'::DOUBLE) AS weight FROM norms WHERE n1 > 0)"""
 
-FREQUENT = 10
-FREQUENT_SQL = TRANSITIONS_SQL + f""",
-edges AS (SELECT src, dst FROM stats WHERE n >= {FREQUENT})"""
-
-ALL_SQL = TRANSITIONS_SQL + """,
+EDGES_SQL = TRANSITIONS_SQL + """,
 edges AS (SELECT src, dst FROM stats)"""
 
 TRANSFERS_SQL = """
 tf AS (SELECT 'C' || o_custkey AS srccard, 'S' || l_suppkey AS dstcard, l_extendedprice AS money, o_custkey, l_suppkey, strftime(o_orderdate, '%Y%m%d') AS day, o_orderstatus AS kind
        FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 
-WEEK = ("19950101", "19950107")
-WEEK_SQL = TRANSFERS_SQL + f""",
-edges AS (SELECT DISTINCT o_custkey AS src, {SUPPLIER} + l_suppkey AS dst FROM tf WHERE day BETWEEN '{WEEK[0]}' AND '{WEEK[1]}')"""
+#: Labels are handed on in so many rounds by the SQL; the graph of transfers is far less wide.
+LABEL_ROUNDS = 12
+COMPONENTS_SQL = TRANSFERS_SQL + f""",
+links AS MATERIALIZED (SELECT DISTINCT o_custkey AS a, {SUPPLIER} + l_suppkey AS b FROM tf),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+r0 AS MATERIALIZED (SELECT DISTINCT a AS id, a AS low FROM ways)""" + "".join(f""",
+r{i} AS MATERIALIZED (SELECT r.id, least(r.low, m.low) AS low FROM r{i - 1} r JOIN (SELECT w.b AS id, min(x.low) AS low FROM ways w JOIN r{i - 1} x ON x.id = w.a GROUP BY w.b) m USING (id))""" for i in range(1, LABEL_ROUNDS + 1)) + f""",
+comp AS (SELECT id, low AS component FROM r{LABEL_ROUNDS})"""
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +92,6 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("time_diff", F.abs("time_diff"))
 
 
-def frequent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.transition_stats(transitions(spark, sf_dir)).filter(F.col("n") >= FREQUENT).select("src", "dst")
-
-
 def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.transition_stats(transitions(spark, sf_dir)).select("src", "dst")
 
@@ -116,10 +109,6 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def week_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfers(spark, sf_dir).filter(F.col("day").between(*WEEK)).select(F.col("o_custkey").cast("long").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst")).distinct()
-
-
 def transfer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfers(spark, sf_dir).select(F.col("o_custkey").cast("long").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst")).distinct()
 
@@ -324,14 +313,14 @@ def union_all(spark, sf_dir):
 # ---------------------------------------------------------------- graphs
 
 
-@query("WITH" + FREQUENT_SQL + " SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY ALL")
+@query("WITH" + EDGES_SQL + " SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY ALL")
 def degrees(spark, sf_dir):
-    return G.degrees(frequent_edges(spark, sf_dir))
+    return G.degrees(all_edges(spark, sf_dir))
 
 
-@query("WITH" + FREQUENT_SQL + " SELECT src AS id, count(*) AS out_degree FROM edges GROUP BY ALL")
+@query("WITH" + EDGES_SQL + " SELECT src AS id, count(*) AS out_degree FROM edges GROUP BY ALL")
 def out_degrees(spark, sf_dir):
-    return G.out_degrees(frequent_edges(spark, sf_dir))
+    return G.out_degrees(all_edges(spark, sf_dir))
 
 
 _DEG = """,
@@ -339,9 +328,9 @@ deg AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM edges UNION ALL SEL
 kept AS (SELECT src, dst FROM edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst WHERE a.d + b.d > 2)"""
 
 
-@query("WITH" + FREQUENT_SQL + _DEG + " SELECT id, count(*) AS degree FROM (SELECT src AS id FROM kept UNION ALL SELECT dst FROM kept) GROUP BY ALL")
+@query("WITH" + EDGES_SQL + _DEG + " SELECT id, count(*) AS degree FROM (SELECT src AS id FROM kept UNION ALL SELECT dst FROM kept) GROUP BY ALL")
 def core_prune(spark, sf_dir):
-    return G.core(frequent_edges(spark, sf_dir))[0]
+    return G.core(all_edges(spark, sf_dir))[0]
 
 
 @query("WITH" + WEIGHTS_SQL + " SELECT src AS id, round(sum(weight), 7) AS out_weight FROM weighted GROUP BY ALL")
@@ -354,56 +343,50 @@ def merge_parallel_edges(spark, sf_dir):
     return G.merge_parallel(transitions(spark, sf_dir).select(F.col("last_mchnt").alias("src"), F.col("mchnt").alias("dst"), "time_diff"), gap="time_diff")
 
 
-@query("WITH" + FREQUENT_SQL + " SELECT src, dst, a.s_nationkey AS src_s_nationkey, b.s_nationkey AS dst_s_nationkey FROM edges JOIN supplier a ON a.s_suppkey = src JOIN supplier b ON b.s_suppkey = dst WHERE a.s_acctbal > 0 AND b.s_acctbal > 0 AND a.s_nationkey <> b.s_nationkey")
+@query("WITH" + EDGES_SQL + " SELECT src, dst, a.s_nationkey AS src_s_nationkey, b.s_nationkey AS dst_s_nationkey FROM edges JOIN supplier a ON a.s_suppkey = src JOIN supplier b ON b.s_suppkey = dst WHERE a.s_acctbal > 0 AND b.s_acctbal > 0 AND a.s_nationkey <> b.s_nationkey")
 def subgraph_triplets(spark, sf_dir):
     vertices = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "id")
-    vertices, edges = G.subgraph(vertices, frequent_edges(spark, sf_dir), F.col("s_acctbal") > 0)
+    vertices, edges = G.subgraph(vertices, all_edges(spark, sf_dir), F.col("s_acctbal") > 0)
     return G.triplets(vertices, edges, "s_nationkey").filter("src_s_nationkey <> dst_s_nationkey").select("src", "dst", "src_s_nationkey", "dst_s_nationkey")
 
 
-_REACH = """,
-both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
-reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
-comp AS (SELECT a AS id, least(a, min(b)) AS component FROM reach GROUP BY a)"""
-
-
-@query("WITH RECURSIVE" + WEEK_SQL + _REACH + " SELECT id, component FROM comp")
+@query("WITH" + COMPONENTS_SQL + " SELECT id, component FROM comp")
 def connected_components(spark, sf_dir):
-    edges = week_edges(spark, sf_dir).persist()
+    edges = cut(transfer_edges(spark, sf_dir))
     return flows.connected_components(G.vertices_of(edges), edges)
 
 
-@query("WITH RECURSIVE" + WEEK_SQL + _REACH + " SELECT id, component, size FROM comp JOIN (SELECT component, count(*) AS size FROM comp GROUP BY ALL) USING (component)")
+@query("WITH" + COMPONENTS_SQL + " SELECT id, component, size FROM comp JOIN (SELECT component, count(*) AS size FROM comp GROUP BY ALL) USING (component)")
 def left_outer_sizes(spark, sf_dir):
-    edges = week_edges(spark, sf_dir).persist()
+    edges = cut(transfer_edges(spark, sf_dir))
     return flows.component_sizes(G.vertices_of(edges), edges)
 
 
-@query("WITH RECURSIVE" + FREQUENT_SQL + """,
+@query("WITH RECURSIVE" + EDGES_SQL + """,
 reach(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON e.src = r.b),
 vertex AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)
 SELECT id, coalesce((SELECT min(r.b) FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a WHERE r.a = id), id) AS component FROM vertex""")
 def scc(spark, sf_dir):
-    return strong_components(frequent_edges(spark, sf_dir), 10)
+    return strong_components(all_edges(spark, sf_dir), 10)
 
 
-@query("WITH" + FREQUENT_SQL + """,
+@query("WITH" + EDGES_SQL + """,
 b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT min(a) AS id FROM b),
 one AS (SELECT DISTINCT b.b AS id FROM b JOIN s ON b.a = s.id), two AS (SELECT DISTINCT b.b AS id FROM b JOIN one ON b.a = one.id)
 SELECT id, CAST(max(v) AS INTEGER) AS "left" FROM (SELECT id, 2 AS v FROM s UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 0 FROM two) WHERE id IS NOT NULL GROUP BY id""")
 def khop(spark, sf_dir):
-    edges = frequent_edges(spark, sf_dir).persist()
+    edges = cut(all_edges(spark, sf_dir))
     first = G.ends(edges).agg(F.min("id").alias("id")).first()["id"]
     return k_hop(edges, -1 if first is None else first, 2)
 
 
-@query("WITH" + FREQUENT_SQL + """,
+@query("WITH" + EDGES_SQL + """,
 e AS (SELECT DISTINCT src, dst FROM edges),
 w2 AS (SELECT DISTINCT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src), w3 AS (SELECT DISTINCT x.src, y.dst FROM w2 x JOIN e y ON x.dst = y.src),
 p AS (SELECT src, dst FROM e UNION SELECT src, dst FROM w2 UNION SELECT src, dst FROM w3)
 SELECT dst AS id, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS ancestors FROM p WHERE dst IN (SELECT src FROM p WHERE src = dst) GROUP BY dst""")
 def cycles_le3(spark, sf_dir):
-    rows = short_cycles(frequent_edges(spark, sf_dir), 3)
+    rows = short_cycles(all_edges(spark, sf_dir), 3)
     return rows.select("id", F.array_join(F.transform("ancestors", lambda x: x.cast("string")), ",").alias("ancestors"))
 
 
@@ -475,7 +458,7 @@ def pagerank_modify_standard(spark, sf_dir):
 
 
 def _label_sql(rounds: int, send: str) -> str:
-    out = f"""WITH {FREQUENT_SQL},
+    out = f"""WITH {EDGES_SQL},
 b AS MATERIALIZED (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 v0 AS MATERIALIZED (SELECT DISTINCT src AS id, src AS label, 0::BIGINT AS last, 0::BIGINT AS last2, true AS act FROM b)"""
     for i in range(1, rounds + 1):
@@ -489,86 +472,16 @@ v{i} AS MATERIALIZED (SELECT v.id, coalesce(x.m, v.label) AS label, CASE WHEN x.
 
 @query(_label_sql(4, "true"))
 def lpa_fixed(spark, sf_dir):
-    return propagate_labels(frequent_edges(spark, sf_dir), 4)
+    return propagate_labels(all_edges(spark, sf_dir), 4)
 
 
 @query(_label_sql(4, "s.label <> s.last"))
 def lpa_last1(spark, sf_dir):
-    return propagate_labels(frequent_edges(spark, sf_dir), 4, "changed")
+    return propagate_labels(all_edges(spark, sf_dir), 4, "changed")
 
 
 @query(_label_sql(4, "s.label <> s.last2"))
 def lpa_last2(spark, sf_dir):
-    return propagate_labels(frequent_edges(spark, sf_dir), 4, "changed_twice")
-
-
-# ---------------------------------------------------------------- graphs of all transitions and all transfers
-
-
-@whole("degrees")
-def degrees_all(spark, sf_dir):
-    return G.degrees(all_edges(spark, sf_dir))
-
-
-@whole("out_degrees")
-def out_degrees_all(spark, sf_dir):
-    return G.out_degrees(all_edges(spark, sf_dir))
-
-
-@whole("core_prune")
-def core_prune_all(spark, sf_dir):
-    return G.core(all_edges(spark, sf_dir))[0]
-
-
-@whole("subgraph_triplets")
-def subgraph_triplets_all(spark, sf_dir):
-    vertices = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "id")
-    vertices, edges = G.subgraph(vertices, all_edges(spark, sf_dir), F.col("s_acctbal") > 0)
-    return G.triplets(vertices, edges, "s_nationkey").filter("src_s_nationkey <> dst_s_nationkey").select("src", "dst", "src_s_nationkey", "dst_s_nationkey")
-
-
-@whole()
-def connected_components_all(spark, sf_dir):
-    edges = transfer_edges(spark, sf_dir).persist()
-    return flows.connected_components(G.vertices_of(edges), edges)
-
-
-@whole()
-def left_outer_sizes_all(spark, sf_dir):
-    edges = transfer_edges(spark, sf_dir).persist()
-    return flows.component_sizes(G.vertices_of(edges), edges)
-
-
-@whole()
-def scc_all(spark, sf_dir):
-    return strong_components(all_edges(spark, sf_dir), 10)
-
-
-@whole("khop")
-def khop_all(spark, sf_dir):
-    edges = all_edges(spark, sf_dir).persist()
-    first = G.ends(edges).agg(F.min("id").alias("id")).first()["id"]
-    return k_hop(edges, -1 if first is None else first, 2)
-
-
-@whole("cycles_le3")
-def cycles_le3_all(spark, sf_dir):
-    rows = short_cycles(all_edges(spark, sf_dir), 3)
-    return rows.select("id", F.array_join(F.transform("ancestors", lambda x: x.cast("string")), ",").alias("ancestors"))
-
-
-@whole("lpa_fixed")
-def lpa_fixed_all(spark, sf_dir):
-    return propagate_labels(all_edges(spark, sf_dir), 4)
-
-
-@whole("lpa_last1")
-def lpa_last1_all(spark, sf_dir):
-    return propagate_labels(all_edges(spark, sf_dir), 4, "changed")
-
-
-@whole("lpa_last2")
-def lpa_last2_all(spark, sf_dir):
     return propagate_labels(all_edges(spark, sf_dir), 4, "changed_twice")
 
 
@@ -687,6 +600,37 @@ def merchant_ranks_by_count(spark, sf_dir):
 
 
 @query()
+def merchant_ranks_converged(spark, sf_dir):
+    """The flagship as it is run: merchants by their digests' numbers, up to the tolerance, 1,000 rounds at most."""
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("mchnt"), F.col("s_name").alias("name"))
+    rows = transitions(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("mchnt", "last_mchnt")})
+    return flows.merchant_ranks(rows, names).select("id", F.round("rank", 6).alias("rank"), "name")
+
+
+_HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: (a * 131 + c) & 137438953471)"
+
+
+# Money goes from cards to merchants only, so no vertex reaches itself again and each is a component by itself.
+@query("WITH" + TRANSFERS_SQL + """,
+sums AS (SELECT DISTINCT srccard, dstcard FROM tf),
+deg AS (SELECT id, count(*) AS d FROM (SELECT srccard AS id FROM sums UNION ALL SELECT dstcard FROM sums) GROUP BY ALL),
+kept AS (SELECT srccard, dstcard FROM sums JOIN deg a ON a.id = srccard JOIN deg b ON b.id = dstcard WHERE a.d + b.d > 2),
+vertex AS (SELECT srccard AS v FROM kept UNION SELECT dstcard FROM kept)
+SELECT """ + _HASH.format("v") + " AS id, id AS component FROM vertex")
 def transfer_components(spark, sf_dir):
-    """Strong components of the pruned graph of a week's transfers, by account hashes."""
-    return flows.transfer_strong_components(transfers(spark, sf_dir).filter(F.col("day").between(*WEEK)))
+    """Strong components of the pruned graph of transfers, by account hashes."""
+    return flows.transfer_strong_components(transfers(spark, sf_dir))
+
+
+@query("WITH" + EDGES_SQL + _DEG + """,
+own AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM kept UNION ALL SELECT dst FROM kept) GROUP BY ALL)
+SELECT id, coalesce(degree, 0) AS degree FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) LEFT JOIN own USING (id)""")
+def vertex_attributes_with_defaults(spark, sf_dir):
+    return flows.graph_with_degrees(all_edges(spark, sf_dir)).withColumn("degree", F.col("degree").cast("long"))
+
+
+@query("WITH" + EDGES_SQL + " SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS vertices, (SELECT count(*) FROM edges) AS edges")
+def graph_counts(spark, sf_dir):
+    edges = all_edges(spark, sf_dir)
+    vertices, n = G.counts(G.vertices_of(edges), edges)  # one row
+    return spark.createDataFrame([(vertices, n)], "vertices long, edges long")

@@ -75,9 +75,23 @@ def stored(df: DataFrame) -> DataFrame:
 _STORED: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that stored() wrote and nothing will read again."""
+    _STORED.remove(path)
+    _delete(spark, path)
+
+
+def last_stored() -> str:
+    """Path of the table that stored() wrote last."""
+    return _STORED[-1]
+
+
 def _drop(spark: SparkSession) -> None:
     with contextlib.suppress(Exception):  # the JVM may have gone first
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in _STORED:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(spark, path)

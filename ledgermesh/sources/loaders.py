@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermesh.functions.scalars import bank_code, day_of_week, fill_empty, region_code
@@ -53,13 +55,11 @@ def edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def raw_days(spark: SparkSession, paths: dict[str, str], names: list[str] | str) -> DataFrame:
-    """Raw records of several days: fields between `","`, the outer quotes off, and pdate. paths: day -> path."""
+    """Raw records of several days: fields between `","`, the outer quotes off, and pdate. paths: day -> path, each read by itself."""
     columns = S.names_of(names)
-    days = spark.createDataFrame([(d, p) for d, p in paths.items()], "_day string, _path string")
-    lines = spark.read.text(list(paths.values())).select("value", F.col("_metadata.file_path").alias("_file"))
-    lines = lines.join(F.broadcast(days), F.contains("_file", F.col("_path")))  # a row for each day asked for
     parts = F.split(F.regexp_replace("value", '^"|"$', ""), '","')
-    return lines.select(*(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)), F.col("_day").alias("pdate"))
+    days = [spark.read.text(path).select(*(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)), F.lit(day).alias("pdate")) for day, path in paths.items()]
+    return reduce(DataFrame.unionByName, days)
 
 
 def split_codes(raw: DataFrame) -> DataFrame:
@@ -131,8 +131,10 @@ def doubles_csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 
 def headed_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, all but its first column, as doubles."""
+    """A CSV with a header, all but its first column, as doubles. A line that repeats the header is dropped."""
     rows = spark.read.option("header", True).csv(path)
+    header = [F.col(f"`{c}`").eqNullSafe(F.lit(c)) for c in rows.columns]
+    rows = rows.filter(~reduce(Column.__and__, header))
     return rows.select(*(F.col(f"`{c}`").try_cast("double").alias(c) for c in rows.columns[1:]))
 
 

@@ -48,9 +48,10 @@ def test_days(spark):
 
 @pytest.mark.parametrize("unit, wanted", [("seconds", 3661.0), ("mins", 3661 / 60), ("hours", 3661 / 3600)])
 def test_delta_time(spark, unit, wanted):
-    rows = spark.createDataFrame([("1001000000", "1001010101"), ("bad", "1001010101"), ("0229000000", "0301000000")], "a string, b string")
+    rows = spark.createDataFrame([("1001000000", "1001010101"), ("bad", "1001010101"), ("0229000000", "0301000000"), ("1332000000", "0201007501")], "a string, b string")
     got = [r.v for r in rows.select(S.delta_time("a", "b", unit).alias("v")).collect()]
-    assert got[0] == pytest.approx(wanted) and math.isnan(got[1]) and math.isnan(got[2])
+    assert got[3] * {"seconds": 1, "mins": 60, "hours": 3600}[unit] == pytest.approx(-365 * 86_400 + 75 * 60 + 1)  # 1332: the 32nd of the next January
+    assert got[0] == pytest.approx(wanted) and math.isnan(got[1]) and got[2] == 0.0  # 29 February rolls over in a year of 28
     with pytest.raises(ValueError):
         S.delta_time("a", "b", "weeks")
 

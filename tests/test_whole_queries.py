@@ -51,21 +51,21 @@ def reach(edges):
 def test_transitions_are_all_there(spark, rare):
     place, edges, _ = rare
     degree = Counter(x for e in edges for x in e)
-    assert {r.id: r.degree for r in run(spark, "degrees_all", place)} == degree
-    assert {r.id: r.out_degree for r in run(spark, "out_degrees_all", place)} == Counter(a for a, _ in edges)
+    assert {r.id: r.degree for r in run(spark, "degrees", place)} == degree
+    assert {r.id: r.out_degree for r in run(spark, "out_degrees", place)} == Counter(a for a, _ in edges)
     pruned = Counter(x for a, b in edges if degree[a] + degree[b] > 2 for x in (a, b))
-    assert {r.id: r.degree for r in run(spark, "core_prune_all", place)} == pruned
+    assert {r.id: r.degree for r in run(spark, "core_prune", place)} == pruned
     to = reach(edges)
-    assert {r.id: r.component for r in run(spark, "scc_all", place)} == {v: min(w for w in to[v] if v in to[w]) for v in to}
+    assert {r.id: r.component for r in run(spark, "scc", place)} == {v: min(w for w in to[v] if v in to[w]) for v in to}
 
 
 def test_transfers_are_all_there(spark, rare):
     place, _, transfers = rare
     to = reach(transfers | {(b, a) for a, b in transfers})
     wanted = {v: min(to[v]) for v in to}
-    assert {r.id: r.component for r in run(spark, "connected_components_all", place)} == wanted
+    assert {r.id: r.component for r in run(spark, "connected_components", place)} == wanted
     sizes = Counter(wanted.values())
-    assert {r.id: (r.component, r.size) for r in run(spark, "left_outer_sizes_all", place)} == {v: (c, sizes[c]) for v, c in wanted.items()}
+    assert {r.id: (r.component, r.size) for r in run(spark, "left_outer_sizes", place)} == {v: (c, sizes[c]) for v, c in wanted.items()}
 
 
 @pytest.mark.parametrize("name, weighted", [("pagerank_delta_converged", False), ("pagerank_delta_weighted_converged", True)])
