@@ -41,10 +41,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from ledgermesh.plans import source_queries  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -153,7 +156,8 @@ def day_of_week(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.day_of_week(F.date_format("o_orderdate", "yyyyMMdd")).alias("d"))
 
 
-_AT = "try_strptime('1970' || strftime({}, '%m%d%H%M%S'), '%Y%m%d%H%M%S')"
+# a day beyond its month rolls over: 29 February without a year is 1 March
+_AT = "(TIMESTAMP '1970-01-01' + to_months(CAST(month({0}) - 1 AS INTEGER)) + to_days(CAST(day({0}) - 1 AS INTEGER)) + (CAST({0} AS TIMESTAMP) - date_trunc('day', CAST({0} AS TIMESTAMP))))"
 
 
 @query(f"SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(date_diff('second', {_AT.format('o_orderdate')}, {_AT.format('l_shipdate')}) / 3600.0, -1) AS hours FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
