@@ -175,16 +175,19 @@ def without_repeats(texts, length=13):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_passages_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, steer", [(3, {}), (4, {}), (4, {"sampled": 1, "least": 2}), (3, {"sampled": 2, "least": 3})])
+def test_passages_equal_brute_force(spark, seed, steer):
+    """Whichever values count as common (none, all that are shared, or some), the rows are the same."""
     texts = TEXTS + random_texts(seed) + ["x y " * 40, "x y " * 30]
     wanted = without_repeats(texts)
-    for r in substring_dedup.remove_repeats(documents(spark, texts)).collect():
+    for r in substring_dedup.remove_repeats(documents(spark, texts), **steer).collect():
         assert (r.n_words, r.n_removed, r.kept_sha256) == wanted[r.doc_id]
 
 
 def test_passages_awkward(spark):
     rows = substring_dedup.remove_repeats(awkward(spark), with_text=True).collect()
+    steered = substring_dedup.remove_repeats(awkward(spark), with_text=True, sampled=1, least=2).collect()
+    assert sorted(map(str, steered)) == sorted(map(str, rows))
     assert len(rows) == len(TEXTS) + 4
     assert {r.n_removed for r in rows if r.doc_id in (0, None)} == {0}
     assert [r.kept_text for r in rows if r.doc_id == 1] == [""]
