@@ -16,12 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermesh.llm.text import WHITE, Words, rolled, slices, texts_of, tidy, words_of
-from ledgermesh.session import stored
+from ledgermesh.llm.text import WHITE, Words, mix, rolled, slices, texts_of, tidy, words_of
 
 ANCHOR = 5
-#: One document of SAMPLED (by hash) tells which values are common: those of LEAST_COMMON sampled documents or more, the MOST_COMMON commonest.
-SAMPLED, LEAST_COMMON, MOST_COMMON = 64, 8, 100_000
 
 
 def _windows(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,18 +48,45 @@ def _distinct(row: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [x[new] for x in columns]
 
 
+def _span(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each element the smallest and the largest id among those of equal keys."""
+    if not len(ids):
+        return ids, ids
+    order = np.lexsort((ids, *keys[::-1]))
+    new = np.ones(len(ids), bool)
+    new[1:] = np.logical_or.reduce([(k := x[order])[1:] != k[:-1] for x in keys])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(ids)) - 1
+    low, high = np.empty_like(ids), np.empty_like(ids)
+    group = np.cumsum(new) - 1
+    low[order], high[order] = ids[order][first][group], ids[order][last][group]
+    return low, high
+
+
+def _salts(ids: np.ndarray, settled: np.ndarray) -> np.ndarray:
+    """0 for what is open, and an odd number of the id for what is settled."""
+    return np.where(settled, (mix(ids.view(np.uint64), 23) | np.uint64(1)).view(np.int64), 0)
+
+
 def anchors(rows: DataFrame, length: int) -> DataFrame:
-    """(h, doc_id): the distinct anchors of each document."""
+    """(h, doc_id, salt): the distinct anchors of each document.
+
+    salt is 0 unless another doc_id of the slice has the anchor; the smallest of these has a row of salt 0 besides its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 _, row, anchor = _windows(words_of(part.column("text"), WHITE), length)
                 row, anchor = _distinct(row, anchor)
-                ids = part.column("doc_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[row])], names=["h", "doc_id"])
+                ids = part.column("doc_id").to_numpy()[row]
+                low, high = _span(ids, anchor)
+                salt = _salts(ids, low < high)
+                for_all = (low < high) & (ids == low)
+                columns = [np.concatenate([x, x[for_all]]) for x in (anchor.view(np.int64), ids)] + [np.concatenate([salt, np.zeros(for_all.sum(), np.int64)])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "doc_id", "salt"])
 
-    return rows.mapInArrow(tidy(run), "h long, doc_id long")
+    return rows.mapInArrow(tidy(run), "h long, doc_id long, salt long")
 
 
 def _sorted_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +119,10 @@ def _window_hashes(words: Words, start: np.ndarray, length: int) -> tuple[np.nda
 
 
 def extended(hits: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, doc_id): the distinct windows around the anchors that a document shares. hits: doc_id, text, anchors."""
+    """(w1, w2, doc_id, salt): the distinct windows around the anchors that a document shares. hits: doc_id, text, anchors.
+
+    salt is 0 unless a smaller doc_id of the slice has the window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,29 +132,11 @@ def extended(hits: DataFrame, length: int) -> DataFrame:
                 use = _member(row, anchor, *_sorted_lists(part.column("anchors")))
                 w1, w2 = _window_hashes(words, start[use], length)
                 row, w1, w2 = _distinct(row[use], w1, w2)
-                ids = part.column("doc_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids[row])], names=["w1", "w2", "doc_id"])
-
-    return hits.mapInArrow(tidy(run), "w1 long, w2 long, doc_id long")
-
-
-def common_values(rows: DataFrame, length: int, sampled: int = SAMPLED, least: int = LEAST_COMMON) -> DataFrame:
-    """(v1, v2): anchors (v1, v2 null) and windows (v1 and v2) of `least` sampled rows with different doc_ids; MOST_COMMON rows at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                words = words_of(part.column("text"), WHITE)
-                start, row, anchor = _windows(words, length)
-                ids = part.column("doc_id").to_numpy()
-                own, anchor = _distinct(row, anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.nulls(len(own), pa.int64()), pa.array(ids[own])], names=["v1", "v2", "doc_id"])
-                own, w1, w2 = _distinct(row, *_window_hashes(words, start, length))
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids[own])], names=["v1", "v2", "doc_id"])
+                ids = part.column("doc_id").to_numpy()[row]
+                salt = _salts(ids, _span(ids, w1, w2)[0] < ids)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1.view(np.int64), w2.view(np.int64), ids, salt)], names=["w1", "w2", "doc_id", "salt"])
 
-    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(sampled)) == 0)
-    counted = some.mapInArrow(tidy(run), "v1 long, v2 long, doc_id long").groupBy("v1", "v2").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    return counted.filter((F.col("n") >= least) & (F.col("low") < F.col("high"))).orderBy(F.desc("n"), "v1", "v2").limit(MOST_COMMON).select("v1", "v2")
+    return hits.mapInArrow(tidy(run), "w1 long, w2 long, doc_id long, salt long")
 
 
 def _digest(words: list[bytes]) -> str:
@@ -174,30 +183,22 @@ def _cut_out(hits: DataFrame, length: int) -> DataFrame:
     return hits.mapInArrow(tidy(run), "doc_id long, whole string, n_removed long, kept_sha256 string, kept_text string")
 
 
-def remove_repeats(docs: DataFrame, length: int = 13, with_text: bool = False, sampled: int = SAMPLED, least: int = LEAST_COMMON) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 13, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of docs, without passages that a smaller doc_id holds.
 
     Words are runs of anything but ASCII white space, unchanged. A word goes if a window of `length` words over it
     starts in a document with a smaller doc_id as well; windows are those of the input. A null text counts as empty, and a
     text of fewer words than a window keeps all. A row with a null doc_id keeps all and takes nothing from others.
     Rows that repeat a doc_id take nothing from each other and lose the same windows. Other columns are left out.
-    with_text: kept_text too, null for a row that loses nothing. sampled, least: which values count as common; no row depends on them.
+    with_text: kept_text too, null for a row that loses nothing.
     """
     rows = texts_of(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = rows.filter("doc_id is not null")
-    common = stored(common_values(named, length, sampled, least))
-    spread = lambda flag: F.when(flag, F.xxhash64("doc_id").bitwiseOR(F.lit(1))).otherwise(0)
-    known = F.broadcast(common.filter("v2 is null").select(F.col("v1").alias("h"), F.lit(True).alias("often")))
     by_anchor = Window.partitionBy("h", "salt")
-    salted = anchors(named, length).join(known, "h", "left").select("h", "doc_id", spread(F.col("often")).alias("salt"))
-    shared = salted.withColumns({"low": F.min("doc_id").over(by_anchor), "high": F.max("doc_id").over(by_anchor)}).filter("salt <> 0 or low < high")
+    shared = anchors(named, length).withColumns({"low": F.min("doc_id").over(by_anchor), "high": F.max("doc_id").over(by_anchor)}).filter("salt <> 0 or low < high")
     hits = named.join(shared.groupBy("doc_id").agg(F.collect_list("h").alias("anchors")), "doc_id").select("doc_id", "text", "anchors")
-    windows = extended(hits, length)
-    known = F.broadcast(common.filter("v2 is not null").select(F.col("v1").alias("w1"), F.col("v2").alias("w2")))
-    firsts = F.broadcast(windows.join(known, ["w1", "w2"], "left_semi").groupBy("w1", "w2").agg(F.min("doc_id").alias("first")))
     by_window = Window.partitionBy("w1", "w2", "salt")
-    apart = windows.join(firsts, ["w1", "w2"], "left").filter("first is null or first < doc_id").select("w1", "w2", "doc_id", spread(F.col("first").isNotNull()).alias("salt"))
-    repeats = apart.withColumn("low", F.min("doc_id").over(by_window)).filter("salt <> 0 or low < doc_id").select("w1", "doc_id")
+    repeats = extended(hits, length).withColumn("low", F.min("doc_id").over(by_window)).filter("salt <> 0 or low < doc_id")
     losing = named.join(repeats.groupBy("doc_id").agg(F.collect_list("w1").alias("repeats")), "doc_id").select("doc_id", "text", "repeats")
     cut_out = _cut_out(losing, length)
     if not with_text:

@@ -175,19 +175,34 @@ def without_repeats(texts, length=13):
     return out
 
 
-@pytest.mark.parametrize("seed, steer", [(3, {}), (4, {}), (4, {"sampled": 1, "least": 2}), (3, {"sampled": 2, "least": 3})])
-def test_passages_equal_brute_force(spark, seed, steer):
-    """Whichever values count as common (none, all that are shared, or some), the rows are the same."""
+@pytest.mark.parametrize("seed, parts", [(3, 1), (3, 40), (4, 7)])
+def test_passages_equal_brute_force(spark, seed, parts):
+    """Whatever documents meet in a slice, the rows are the same."""
     texts = TEXTS + random_texts(seed) + ["x y " * 40, "x y " * 30]
     wanted = without_repeats(texts)
-    for r in substring_dedup.remove_repeats(documents(spark, texts), **steer).collect():
+    for r in substring_dedup.remove_repeats(documents(spark, texts).repartition(parts)).collect():
+        assert (r.n_words, r.n_removed, r.kept_sha256) == wanted[r.doc_id]
+
+
+def test_common_passage_brings_one_row_a_slice(spark):
+    """A window that all documents share is compared once a slice; every other row of it is spread."""
+    texts = [f"{i} before " + " ".join(f"p{j}" for j in range(13)) + f" after {i}" for i in range(400)]
+    docs = documents(spark, texts).select("doc_id", "text").repartition(5)
+    found = substring_dedup.anchors(docs, 13).cache()
+    common = found.groupBy("h").agg(F.count_distinct("doc_id").alias("n")).filter("n = 400").select("h")
+    rows = found.join(common, "h").groupBy("h", "salt").count().agg(F.max("count")).first()[0]
+    assert common.count() >= 1
+    assert rows <= 5
+    windows = substring_dedup.extended(docs.join(found.groupBy("doc_id").agg(F.collect_list("h").alias("anchors")), "doc_id"), 13)
+    most = windows.groupBy("w1", "w2", "salt").count().agg(F.max("count")).first()[0]
+    assert most <= 5  # one slice a partition
+    wanted = without_repeats(texts)
+    for r in substring_dedup.remove_repeats(docs).collect():
         assert (r.n_words, r.n_removed, r.kept_sha256) == wanted[r.doc_id]
 
 
 def test_passages_awkward(spark):
     rows = substring_dedup.remove_repeats(awkward(spark), with_text=True).collect()
-    steered = substring_dedup.remove_repeats(awkward(spark), with_text=True, sampled=1, least=2).collect()
-    assert sorted(map(str, steered)) == sorted(map(str, rows))
     assert len(rows) == len(TEXTS) + 4
     assert {r.n_removed for r in rows if r.doc_id in (0, None)} == {0}
     assert [r.kept_text for r in rows if r.doc_id == 1] == [""]
