@@ -16,25 +16,35 @@ EULER = 0.5772156649
 
 @dataclass
 class Tree:
-    """Nodes as arrays: split column (-1 for a leaf), split value, left and right child, rows of a leaf."""
+    """Nodes as arrays: split column (-1 for a leaf), split value, left and right child, rows of a leaf, ends of the node's values in the split column."""
 
     column: np.ndarray
     value: np.ndarray
     left: np.ndarray
     right: np.ndarray
     size: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
-    def depth(self, x: np.ndarray, cost) -> np.ndarray:
-        at, steps = np.zeros(len(x), np.int64), np.zeros(len(x))
+    def depth(self, x: np.ndarray, cost, ends: bool = True) -> np.ndarray:
+        """Path lengths. ends: a value beyond the ends of a node's values is set apart there by as much of the chance as its distance is
+        of the range with it, as a split would do had the row been drawn; otherwise it goes with the outermost values, however far it is."""
+        at, steps, there = np.zeros(len(x), np.int64), np.zeros(len(x)), np.ones(len(x))
         while True:
             inner = self.column[at] >= 0
             if not inner.any():
                 break
             i = np.flatnonzero(inner)
             node = at[i]
-            at[i] = np.where(x[i, self.column[node]] < self.value[node], self.left[node], self.right[node])
-            steps[i] += 1
-        return steps + np.array([cost(s) if s > 1 else 1.0 for s in self.size])[at]
+            v = x[i, self.column[node]]
+            at[i] = np.where(v < self.value[node], self.left[node], self.right[node])
+            steps[i] += there[i]
+            if ends:
+                beyond = np.maximum(self.low[node] - v, v - self.high[node])
+                out = np.flatnonzero(beyond > 0)
+                with np.errstate(divide="ignore", over="ignore"):  # a range of 0: the row is set apart for certain
+                    there[i[out]] /= 1 + beyond[out] / (self.high - self.low)[node[out]]
+        return steps + there * np.array([cost(s) if s > 1 else 1.0 for s in self.size])[at] + (1 - there)
 
 
 def average_path(n: int) -> float:
@@ -52,13 +62,14 @@ def grow(x: np.ndarray, height: int, rng: np.random.Generator) -> Tree:
 
     def add(rows: np.ndarray, depth: int) -> int:
         me = len(nodes)
-        nodes.append([-1, 0.0, 0, 0, len(rows)])
+        nodes.append([-1, 0.0, 0, 0, len(rows), 0.0, 0.0])
         if depth < height and len(rows) > 1:
             c = int(rng.integers(x.shape[1]))
             low, high = x[rows, c].min(), x[rows, c].max()
             split = low + rng.random() * (high - low)
             below = x[rows, c] < split
             nodes[me][:2] = c, split
+            nodes[me][5:] = low, high
             nodes[me][2] = add(rows[below], depth + 1)
             nodes[me][3] = add(rows[~below], depth + 1)
         return me
@@ -76,13 +87,13 @@ class Forest:
 
     def score(self, frame: DataFrame, out: str = "score") -> DataFrame:
         """frame with the score: 2 ** (-mean path / average path), near 1 for what is easily set apart. A null or non-number counts as 0."""
-        trees, cost = self.trees, whole_path if self.whole else average_path
+        trees, cost, ends = self.trees, whole_path if self.whole else average_path, not self.whole
         scale, names = cost(self.rows) or 1.0, self.columns
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 x = np.nan_to_num(batch[names].to_numpy(dtype=np.float64))
-                yield batch.assign(**{out: 2.0 ** -(np.mean([t.depth(x, cost) for t in trees], axis=0) / scale) if len(x) else np.zeros(0)})
+                yield batch.assign(**{out: 2.0 ** -(np.mean([t.depth(x, cost, ends) for t in trees], axis=0) / scale) if len(x) else np.zeros(0)})
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
         return frame.mapInPandas(run, f"{kinds}, `{out}` double")
@@ -92,7 +103,7 @@ def fit_forest(frame: DataFrame, columns: list[str], trees: int = 10, sample: in
     """A forest of trees grown on `sample` rows each: what reaches the driver is trees * sample rows at most.
 
     published: one sample for all trees, natural-logarithm height, whole path costs by the number of all rows, as the published
-    pipeline has it; otherwise the algorithm as its authors describe it.
+    pipeline has it; otherwise the algorithm as its authors describe it, save that a row beyond the drawn values is set apart by its distance.
     """
     n = frame.count()
     x = frame.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
@@ -103,5 +114,5 @@ def fit_forest(frame: DataFrame, columns: list[str], trees: int = 10, sample: in
     grown = []
     for _ in range(trees):
         own = drawn if published or len(drawn) <= sample else drawn[rng.choice(len(drawn), sample, replace=False)]
-        grown.append(grow(np.nan_to_num(own), height, rng) if len(own) else Tree(*(np.array([v]) for v in (-1, 0.0, 0, 0, 0))))
+        grown.append(grow(np.nan_to_num(own), height, rng) if len(own) else Tree(*(np.array([v]) for v in (-1, 0.0, 0, 0, 0, 0.0, 0.0))))
     return Forest(columns, grown, n if published else min(sample, max(len(drawn), 1)), published)

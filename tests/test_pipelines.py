@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.ml import evidence as E
 from ledgermesh.ml import features as M
-from ledgermesh.ml.isolation_forest import average_path, fit_forest, whole_path
+from ledgermesh.ml.isolation_forest import Forest, average_path, fit_forest, grow, whole_path
 from ledgermesh.operators import relational as R
 from ledgermesh.plans import flows
 from ledgermesh.sources import loaders as L
@@ -159,6 +159,23 @@ def test_models(spark):
     assert average_path(2) == 1.0 and whole_path(256) == 11.0
 
 
+def test_rows_beyond_what_was_drawn_are_set_apart(spark):
+    x = np.random.default_rng(2).random((4000, 4)) * [50, 1e5, 0.1, 0.08]
+    for seed in range(12):  # an outlier that no tree saw; which samples missed it was a matter of the seed
+        rng = np.random.default_rng(seed)
+        trees = [grow(x[rng.choice(len(x), 256, replace=False)], 8, rng) for _ in range(10)]
+        steps = np.mean([t.depth(np.vstack([x, [[1e9] * 4], [[-1e9] * 4]]), average_path) for t in trees], axis=0)
+        assert steps[-2:].max() < steps[:-2].min()
+    plain = trees[0].depth(x, average_path, ends=False)
+    within = np.abs(trees[0].depth(x, average_path) - plain) < 1e-12
+    assert within.mean() > 0.5 and (plain == plain.round()).any()
+    same = grow(np.ones((9, 1)), 3, rng)  # a range of 0
+    assert same.depth(np.array([[1.0], [1.5], [0.5]]), average_path)[1:].tolist() == [2.0, 2.0]
+    frame = spark.createDataFrame(x[:500].tolist() + [[1e9] * 4], "a double, b double, c double, d double")
+    scored = Forest(list("abcd"), trees, 256).score(frame).collect()
+    assert max(scored, key=lambda r: r.score).a == 1e9
+
+
 def test_streamed_transfers(spark, tmp_path):
     from ledgermesh.streaming.transfers import windowed_transfers
 
