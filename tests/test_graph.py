@@ -2,14 +2,16 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgermesh.graph import core as G
 from ledgermesh.graph.components import connected_components
 from ledgermesh.graph.labels import propagate_labels
 from ledgermesh.graph.pagerank import delta_pagerank, modified_pagerank, static_pagerank
 from ledgermesh.graph.scc import strong_components
-from ledgermesh.graph.search import k_hop, short_cycles
+from ledgermesh.graph.search import ancestors, k_hop, short_cycles
 from ledgermesh.plans.flows import component_sizes
 
 CYCLIC = [(0, 1), (0, 2), (1, 3), (2, 5), (3, 4), (4, 2), (5, 4), (5, 6), (6, 0), (6, 2)]
@@ -68,6 +70,40 @@ def test_search(graphs):
     assert cycles == {2: [0, 1, 2, 3, 4, 5, 6], 4: [0, 1, 2, 3, 4, 5, 6], 5: [0, 2, 3, 4, 5, 6], 6: [0, 2, 4, 5, 6]}
 
 
+def test_cycles_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([[0, -1, 2**62, -(2**62)], rng.integers(-(2**62), 2**62, 146)]).tolist()
+    edges = [(ids[int(a)], ids[int(b)]) for a, b in rng.integers(0, 150, (260, 2))]
+    frame = spark.createDataFrame(edges + edges[:9] + [(None, 0), (0, None), (None, None)], "src long, dst long").repartition(7)
+    for longest in (1, 3):
+        pairs = walk = set(edges)
+        for _ in range(longest - 1):
+            walk = {(a, c) for a, b in walk for x, c in edges if x == b}
+            pairs = pairs | walk
+        assert {(r.ancestor, r.id) for r in ancestors(frame, longest).collect()} == pairs
+        wanted = {v: sorted(a for a, b in pairs if b == v) for v in ids if (v, v) in pairs}
+        assert by_id(short_cycles(frame, longest), "ancestors") == wanted
+    named = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "src string, dst string")
+    assert by_id(short_cycles(named), "ancestors") == {"a": ["a", "b", "c"], "b": ["a", "b", "c"]}
+
+
+def test_cycles_of_a_dense_graph_join_few_rows(spark):
+    n, store, sc = 160, spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc()
+    before = store.executionsCount()
+    edges = spark.range(n).select(F.col("id").alias("src")).crossJoin(spark.range(n).select(F.col("id").alias("dst")))
+    assert by_id(short_cycles(edges), "ancestors") == {v: list(range(n)) for v in range(n)}
+    sc.listenerBus().waitUntilEmpty()
+    rows, runs = [], store.executionsList()
+    for i in range(before, runs.size()):
+        run = runs.apply(i).executionId()
+        nodes, told = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "Join" in node.name() and "Cartesian" not in node.name():
+                counts = (node.metrics().apply(j) for j in range(node.metrics().size()))
+                rows += [int(told.apply(m.accumulatorId()).replace(",", "")) for m in counts if m.name() == "number of output rows" and told.contains(m.accumulatorId())]
+    assert rows and max(rows) <= 8 * n * n  # walks of two edges are n times the edges
+
+
 def test_ranks(graphs):
     star, cyclic, weighted = graphs["star"], graphs["cyclic"], graphs["weighted"]
     low = dict.fromkeys(range(6), 0.15)
