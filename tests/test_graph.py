@@ -87,7 +87,18 @@ def test_cycles_against_brute_force(spark):
     assert by_id(short_cycles(named), "ancestors") == {"a": ["a", "b", "c"], "b": ["a", "b", "c"]}
 
 
-def test_cycles_of_a_dense_graph_join_few_rows(spark):
+@pytest.fixture()
+def many_partitions(spark):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in were.items():
+        spark.conf.set(k, v)
+
+
+def test_cycles_of_a_dense_graph_join_few_rows(spark, many_partitions):
     n, store, sc = 160, spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc()
     before = store.executionsCount()
     edges = spark.range(n).select(F.col("id").alias("src")).crossJoin(spark.range(n).select(F.col("id").alias("dst")))
