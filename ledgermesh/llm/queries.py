@@ -76,6 +76,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgermesh.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgermesh.llm.url_templates import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgermesh.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +112,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_learned_partitions,
         op9_bootstrapped_pii,
         op10_toxicity,
+        op11_prefix_trie,
+        op12_url_templates,
+        op13_whitening,
         pipeline,
     )
     return {f.__name__: f for f in found}
@@ -121,7 +142,26 @@ reach(a, b) AS (SELECT a, b FROM way UNION SELECT r.a, e.b FROM reach r JOIN way
 comp AS (SELECT a AS doc_id, least(a, min(b)) AS c FROM reach GROUP BY a)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id, coalesce(c, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)"""
 
+#: Rebuilt conversations by windows, prefixes by hashes of their turns, subtrees by the paths of their nodes' smallest members.
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id, turn, sha256(length(r) || ':' || r || x) AS g, length(x) AS chars FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+o AS MATERIALIZED (SELECT conv_id, g, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) - 1 AS p FROM t),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 100 AS family, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda b: ascii(b)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT c.conv_id, o.p, o.g, o.chars FROM c JOIN o ON o.conv_id = c.family AND o.p < c.h UNION ALL SELECT c.conv_id, o.p, o.g, o.chars FROM c JOIN o ON o.conv_id = c.conv_id AND o.p >= c.h),
+d AS MATERIALIZED (SELECT conv_id, g, chars, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d FROM r),
+l AS (SELECT conv_id, list(g ORDER BY d) AS gs FROM d GROUP BY conv_id),
+m AS MATERIALIZED (SELECT d.conv_id, d.d, sha256(array_to_string(l.gs[1:d.d], ',')) AS k, d.chars FROM d JOIN l USING (conv_id) UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+e AS (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id),
+n AS MATERIALIZED (SELECT k, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS w FROM m GROUP BY k),
+up AS MATERIALIZED (SELECT n.k, m.k AS parent FROM n JOIN m ON m.conv_id = n.conv_id AND m.d = n.depth - 1),
+kids AS MATERIALIZED (SELECT parent AS k, count(*) AS n_children FROM up GROUP BY parent),
+s AS (SELECT m.k, sum(n.w) AS saved, count(*) FILTER (WHERE kids.k IS NULL) AS leaves FROM n JOIN m ON m.conv_id = n.conv_id AND m.d <= n.depth LEFT JOIN kids ON kids.k = n.k GROUP BY m.k),
+ends AS (SELECT m.k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS sha FROM m JOIN e USING (conv_id, d) GROUP BY m.k)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM n JOIN s USING (k) LEFT JOIN up USING (k) LEFT JOIN n q ON q.k = up.parent LEFT JOIN kids ON kids.k = n.k LEFT JOIN ends ON ends.k = n.k"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose rows SQL can say; the others are tested against brute force, round trips or held-out labels."""
-    return {"op5_seed_and_extend": OP5_SQL, "op7_minhash_forest": OP7_SQL}
+    return {"op5_seed_and_extend": OP5_SQL, "op7_minhash_forest": OP7_SQL, "op11_prefix_trie": OP11_SQL}
