@@ -43,7 +43,10 @@ def bkdr_hash(text: ColumnOrName) -> Column:
 
 def md5_long(text: ColumnOrName) -> Column:
     """The MD5 digest as a signed big-endian integer, without its sign and modulo 10**15."""
-    digest = F.md5(_c(text).cast("binary"))
+    return _digest_long(F.md5(_c(text).cast("binary")))
+
+
+def _digest_long(digest: Column) -> Column:
     wide = lambda n: F.lit(n).cast("decimal(20,0)")
     rest = wide(0)
     for i in range(4):
@@ -54,10 +57,33 @@ def md5_long(text: ColumnOrName) -> Column:
 
 
 def hmac_long(text: ColumnOrName) -> Column:
-    """The keyed hash of a constant: the same for every text, nulls included."""
+    """The keyed hash of a constant: the same for every text, nulls included. keyed_hash() hashes its argument."""
     return F.lit(HMAC_CONSTANT).cast("long")
 
 
+def _pad(key: Column, byte: int) -> Column:
+    """The key, as binary, filled with zeros up to 64 bytes, each byte xor the given one, digit by digit of its hex form."""
+    digits = "0123456789ABCDEF"
+    mixed = lambda half, by: F.translate(half, digits, "".join(digits[i ^ by] for i in range(16)))
+    text = F.rpad(F.hex(key), 128, "0")
+    high, low = mixed(F.regexp_replace(text, "(.).", "$1"), byte >> 4), mixed(F.regexp_replace(text, ".(.)", "$1"), byte & 15)
+    return F.unhex(F.array_join(F.zip_with(F.split(high, ""), F.split(low, ""), lambda a, b: F.concat(a, b)), ""))
+
+
+def hmac_md5(text: ColumnOrName, key: ColumnOrName | bytes) -> Column:
+    """The HMAC-MD5 digest of a text as hex: two padded MD5 passes. A key of more than 64 bytes is hashed first. Null in either, null out."""
+    message = _c(text).cast("binary")
+    secret = F.lit(key) if isinstance(key, bytes) else _c(key).cast("binary")
+    short = F.when(F.octet_length(secret) > 64, F.unhex(F.md5(secret))).otherwise(secret)
+    inner = F.unhex(F.md5(F.concat(_pad(short, 0x36), message)))
+    return F.md5(F.concat(_pad(short, 0x5C), inner))
+
+
+def keyed_hash(text: ColumnOrName, key: ColumnOrName | bytes) -> Column:
+    """The HMAC-MD5 of a text as a signed big-endian integer, without its sign and modulo 10**15."""
+    return F.get(F.transform(F.array(hmac_md5(text, key)), _digest_long), F.lit(0))  # the digest is computed once
+
+
 def day_of_week(day: ColumnOrName) -> Column:
     """1 (Monday) to 7 (Sunday) of a yyyyMMdd string; null for what is no day."""
     return F.weekday(F.try_to_timestamp(_c(day), F.lit("yyyyMMdd"))) + 1

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermesh.session import cut
+from ledgermesh.operators.skew import join_unique
+from ledgermesh.session import cut, drop_cut
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -38,17 +39,18 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "src long, dst long")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
+    """most: not fewer than the edges both ways. A hub's edges stay where they are, its smallest neighbour comes to them."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("least"))
-    return both.filter("dst > src").join(least, F.col("src") == F.col("node")).select(F.col("dst").alias("src"), F.col("least").alias("dst")).filter("src <> dst")
+    least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"), F.count("*").alias("_n"))
+    return join_unique(both.filter("dst > src"), least, ["src"], "_n", most).select(F.col("dst").alias("src"), F.col("least").alias("dst")).filter("src <> dst")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
-    moved = down.join(least, F.col("src") == F.col("node")).select(F.col("dst").alias("src"), F.col("least").alias("dst")).filter("src <> dst")
-    return moved.union(least.select("node", "least")).distinct()
+    least = down.groupBy("src").agg(F.min("dst").alias("least"), F.count("*").alias("_n"))
+    moved = join_unique(down, least, ["src"], "_n", most).select(F.col("dst").alias("src"), F.col("least").alias("dst")).filter("src <> dst")
+    return moved.union(least.select("src", "least")).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -74,7 +76,10 @@ def component_members(edges: DataFrame, max_rounds: int = 100, contracted: int =
     for _ in range(max_rounds):
         if before is None:
             break
-        state = cut(_small_star(_large_star(state)), contracted)
+        most = 2 * before[0]
+        wide = cut(_large_star(state, most), contracted)
+        held, state = state, cut(_small_star(wide, most), contracted)
+        drop_cut(held, wide)
         now = _mark(state)
         before = None if now == before else now
     else:

@@ -9,41 +9,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermesh.graph.core import out_degrees, out_weights, vertices_of
+from ledgermesh.graph.core import vertices_of
+from ledgermesh.graph.layout import lay_out
 from ledgermesh.graph.pregel import pregel
+from ledgermesh.operators.skew import join_unique
+from ledgermesh.session import stored
 
 RESET = 0.15
 
 
+def _stored_edges(edges: DataFrame, weighted: bool) -> DataFrame:
+    """The edges computed once: vertices, their number and factors are all taken from them."""
+    return stored(edges.select("src", "dst", *(["weight"] if weighted else [])))
+
+
 def _factors(edges: DataFrame, kind: str) -> DataFrame:
     """src, dst, factor: 1 / out-degree, weight / out-degree, or weight / sum of out-weights."""
-    if kind == "weight_share":
-        by = out_weights(edges)
-        value = F.try_divide(F.col("weight"), F.col("out_weight"))
-    else:
-        by = out_degrees(edges)
-        value = (F.col("weight") if kind == "weight" else F.lit(1.0)) / F.col("out_degree")
-    return edges.join(by.withColumnRenamed("id", "src"), "src").select("src", "dst", value.cast("double").alias("factor")).persist()
+    value = {"one": 1 / F.col("_degree"), "weight": F.expr("try_divide(weight, _degree)"), "weight_share": F.expr("try_divide(weight, _weights)")}[kind]
+    sums = [F.sum("weight").alias("_weights")] if kind == "weight_share" else []
+    by = edges.groupBy("src").agg(F.count("*").alias("_degree"), F.count("*").alias("_n"), *sums)
+    return join_unique(edges, by, ["src"], "_n", edges.count()).select("src", "dst", value.cast("double").alias("factor"))
+
+
+def _ids(vertices: DataFrame | None, edges: DataFrame) -> DataFrame:
+    return vertices_of(edges) if vertices is None else vertices.select("id").union(vertices_of(edges)).distinct()
 
 
 def _run(vertices: DataFrame | None, edges: DataFrame, kind: str, start: dict, what: str, send: str, update: dict, rounds: int, standard: bool) -> DataFrame:
-    ids = vertices_of(edges) if vertices is None else vertices.select("id").union(vertices_of(edges)).distinct()
-    factors = _factors(edges, kind)
+    ids = _ids(vertices, edges)
+    factors = lay_out(_factors(edges, kind))
 
     def messages(state: DataFrame) -> DataFrame:
         senders = state.filter("active" if standard else f"active and {send}").select(F.col("id").alias("src"), F.col(what).alias("_value"))
-        return factors.join(senders, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("_value") * F.col("factor")).alias("m"))
+        return factors.receive(senders).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("_value") * F.col("factor")).alias("m"))
 
     state = ids.select("id", *(F.lit(v).cast("double").alias(c) for c, v in start.items()), F.lit(True).alias("active"))
     out = pregel(state, messages, update, rounds, every_vertex_active=standard).select("id", F.col("pr").alias("rank"))
-    factors.unpersist()
+    factors.drop()
     return out
 
 
 def static_pagerank(edges: DataFrame, rounds: int, vertices: DataFrame | None = None, reset: float = RESET, standard: bool = False) -> DataFrame:
     """id, rank after so many rounds of reset + (1 - reset) * sum(rank / out-degree)."""
     update = {"pr": F.lit(reset) + (1 - reset) * F.coalesce("m", F.lit(0.0))}
-    return _run(vertices, edges, "one", {"pr": reset}, "pr", "true", update, rounds, standard)
+    return _run(vertices, _stored_edges(edges, False), "one", {"pr": reset}, "pr", "true", update, rounds, standard)
 
 
 def delta_pagerank(edges: DataFrame, tolerance: float, rounds: int = 200, weighted: bool = False, vertices: DataFrame | None = None, reset: float = RESET) -> DataFrame:
@@ -53,7 +62,7 @@ def delta_pagerank(edges: DataFrame, tolerance: float, rounds: int = 200, weight
     """
     gain = (1 - reset) * F.col("m")
     update = {"pr": F.col("pr") + gain, "delta": gain}
-    return _run(vertices, edges, "weight" if weighted else "one", {"pr": reset, "delta": reset}, "delta", f"delta > {tolerance!r}", update, rounds, False)
+    return _run(vertices, _stored_edges(edges, weighted), "weight" if weighted else "one", {"pr": reset, "delta": reset}, "delta", f"delta > {tolerance!r}", update, rounds, False)
 
 
 def modified_pagerank(edges: DataFrame, tolerance: float, rounds: int = 200, weighted: bool = False, vertices: DataFrame | None = None, reset: float = RESET, standard: bool = False) -> DataFrame:
@@ -62,7 +71,8 @@ def modified_pagerank(edges: DataFrame, tolerance: float, rounds: int = 200, wei
     weighted: the factor is the edge's share of its source's out-weights. Vertices without a message keep reset / N + reset.
     standard: all sources send in every round, so the value is the formula's own.
     """
-    total = (vertices_of(edges) if vertices is None else vertices.select("id").union(vertices_of(edges)).distinct()).count()
+    edges = _stored_edges(edges, weighted)
+    total = _ids(vertices, edges).count()
     base = reset / max(total, 1)
     new = F.lit(base) + (1 - reset) * F.coalesce("m", F.lit(0.0))
     update = {"pr": new, "delta": new - F.col("pr")}

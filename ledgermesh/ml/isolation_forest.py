@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgermesh.session import stored
+
 EULER = 0.5772156649
 
 
@@ -99,20 +101,67 @@ class Forest:
         return frame.mapInPandas(run, f"{kinds}, `{out}` double")
 
 
+def _uniform(*parts) -> Column:
+    """A number from 0 to 1, the same for the same parts."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / float(1 << 53)
+
+
+def _copies(key: int, tree: int, first: float, count: int, top: float, seed: int) -> list[float]:
+    """The smallest of `count` uniform numbers, rising, as far as `top`, where the smallest is known: each is drawn from what lies above the last."""
+    rng = np.random.default_rng([seed, tree, key & (1 << 64) - 1])
+    out, x = [first], first
+    for left in range(count - 1, 0, -1):
+        x = 1 - (1 - x) * (1 - rng.random()) ** (1 / left)
+        if x >= top:
+            break
+        out.append(x)
+    return out
+
+
+def bounded_samples(frame: DataFrame, columns: list[str], samples: int, size: int, seed: int) -> list[np.ndarray]:
+    """`samples` independent uniform samples of `size` rows (of all, if there are fewer), without replacement, as arrays of the columns.
+
+    A row's number in a sample comes from a hash of its values and the sample's own, and the rows of the smallest numbers are drawn. So
+    every row has the same chance, wherever it stands, and the same rows in another order or other partitions give the same samples. Equal
+    rows are counted (by a hash of 8 bytes a row), and get as many numbers as there are: the smallest of m uniform numbers is drawn at once.
+    Only rows of numbers below a bound reach the driver: about size * samples in all, however large the table is.
+    A null or non-number counts as 0.
+    """
+    hashed = [f.name for f in frame.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = frame.select(F.xxhash64(*(F.col(f"`{c}`") for c in hashed)).alias("_key"), *(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"_{i}") for i, c in enumerate(columns)))
+    counts = stored(rows.groupBy("_key").agg(F.count("*").alias("m")))
+    n = counts.agg(F.sum("m")).first()[0] or 0
+    wanted, top = min(size, n), 0.0
+    if not wanted:
+        return [np.zeros((0, len(columns)))] * samples
+    bound = (wanted + 6 * math.sqrt(wanted) + 30) / n
+    each = counts.select("_key", "m", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("tree"))
+    each = each.withColumn("first", -F.expm1(F.log1p(-_uniform(F.col("_key"), F.col("tree"), F.lit(seed))) / F.col("m")))
+    drawn: list[list[int]] = []
+    while not drawn:
+        top = 2.0 if bound >= 1 else bound
+        found: list[list[tuple[float, int]]] = [[] for _ in range(samples)]
+        for r in each.filter(F.col("first") < top).collect():  # about the bound times n for each sample
+            found[r["tree"]] += ((x, r["_key"]) for x in _copies(r["_key"], r["tree"], r["first"], r["m"], top, seed))
+        if all(len(own) >= wanted for own in found):
+            drawn = [[key for _, key in sorted(own)[:wanted]] for own in found]
+        bound *= 4
+    keys = frame.sparkSession.createDataFrame([(k,) for k in sorted({k for own in drawn for k in own})], "_key long")
+    first = rows.join(F.broadcast(keys), "_key", "left_semi").groupBy("_key").agg(F.min(F.array(*(f"_{i}" for i in range(len(columns))))).alias("x"))
+    known = {r["_key"]: np.nan_to_num(np.array(r["x"], np.float64)) for r in first.collect()}  # as many as were drawn
+    return [np.array([known[k] for k in own]) for own in drawn]
+
+
 def fit_forest(frame: DataFrame, columns: list[str], trees: int = 10, sample: int = 256, seed: int = 7, published: bool = False) -> Forest:
-    """A forest of trees grown on `sample` rows each: what reaches the driver is trees * sample rows at most.
+    """A forest of trees grown on `sample` rows each, drawn for each tree anew: what reaches the driver is about trees * sample rows.
 
-    published: one sample for all trees, natural-logarithm height, whole path costs by the number of all rows, as the published
-    pipeline has it; otherwise the algorithm as its authors describe it, save that a row beyond the drawn values is set apart by its distance.
+    The rows' order and partitions don't matter. published: one sample for all trees, natural-logarithm height, whole path costs by the number of all
+    rows, as the published pipeline has it; otherwise the algorithm as its authors describe it, save that a row beyond the drawn values is
+    set apart by its distance.
     """
-    n = frame.count()
-    x = frame.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
     height = math.ceil(math.log(sample) if published else math.log2(sample))
+    drawn = bounded_samples(frame, columns, 1 if published else trees, sample, seed)
     rng = np.random.default_rng(seed)
-    wanted = sample if published else min(n, trees * sample)
-    drawn = x.sample(False, min(1.0, 1.3 * wanted / max(n, 1) + 50 / max(n, 1)), seed).limit(wanted).toPandas().to_numpy(dtype=np.float64)
-    grown = []
-    for _ in range(trees):
-        own = drawn if published or len(drawn) <= sample else drawn[rng.choice(len(drawn), sample, replace=False)]
-        grown.append(grow(np.nan_to_num(own), height, rng) if len(own) else Tree(*(np.array([v]) for v in (-1, 0.0, 0, 0, 0, 0.0, 0.0))))
-    return Forest(columns, grown, n if published else min(sample, max(len(drawn), 1)), published)
+    own = [drawn[0] if published else drawn[t] for t in range(trees)]
+    grown = [grow(x, height, rng) if len(x) else Tree(*(np.array([v]) for v in (-1, 0.0, 0, 0, 0, 0.0, 0.0))) for x in own]
+    return Forest(columns, grown, frame.count() if published else max(len(drawn[0]), 1), published)

@@ -43,3 +43,15 @@ def running_sum(frame: DataFrame, value: str, *order: str | Column, name: str =
     held = _placed(frame, order)
     own = F.coalesce(F.sum(F.coalesce(value, F.lit(0))).over(Window.partitionBy(_PART).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return held.withColumn("_own", own).join(_starts(held, F.coalesce(value, F.lit(0))), _PART).select(*frame.columns, (F.col("_first") + F.col("_own")).alias(name))
+
+
+def with_previous(frame: DataFrame, columns: list[str], *order: str | Column, name: str = "previous") -> DataFrame:
+    """frame with a struct of the columns of the row before in the order (null for the first row): a partition's first row takes the last one of
+    the partition before, which is handed on as one row for each partition."""
+    held = _placed(frame, order)
+    own = F.struct(*columns)
+    lasts = sorted(held.groupBy(_PART).agg(F.max_by(own, _PLACE).alias("last")).collect(), key=lambda r: r[_PART])
+    schema = held.select(_PART, own.alias("_border")).schema
+    border = held.sparkSession.createDataFrame([(b[_PART], a["last"]) for a, b in zip(lasts, lasts[1:], strict=False)], schema)
+    inner = F.lag(own).over(Window.partitionBy(_PART).orderBy(_PLACE))
+    return held.withColumn("_inner", inner).join(F.broadcast(border), _PART, "left").select(*frame.columns, F.coalesce("_inner", "_border").alias(name))

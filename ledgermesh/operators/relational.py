@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgermesh.functions.scalars import bkdr_hash, min_max, z_score
+from ledgermesh.operators.ordered import with_previous
+from ledgermesh.session import stored
 
 
 def transfer_sums(transfers: DataFrame, repartition: int | None = None) -> DataFrame:
@@ -19,11 +21,30 @@ def account_vertices(sums: DataFrame) -> DataFrame:
     return accounts.select(bkdr_hash("account").alias("id"), "account")
 
 
-def transitions_by_lag(events: DataFrame, card: str, merchant: str, time: Column, order: list[str]) -> DataFrame:
-    """card, mchnt, last_mchnt, time_diff: each event of a card with the one before it. `order` must tell all of a card's events apart."""
-    w = Window.partitionBy(card).orderBy(*order)
-    rows = events.select(F.col(card).alias("card"), F.col(merchant).alias("mchnt"), F.lag(merchant).over(w).alias("last_mchnt"), (time - F.lag(time).over(w)).cast("double").alias("time_diff"))
-    return rows.filter("last_mchnt is not null")
+#: Events of a card that one task sorts.
+DENSE = 1_000_000
+
+
+def transitions_by_lag(events: DataFrame, card: str, merchant: str, time: Column, order: list[str], dense: int = DENSE) -> DataFrame:
+    """card, mchnt, last_mchnt, time_diff: each event of a card with the one before it. `order` must tell all of a card's events apart.
+
+    A card's events are sorted in one task, save those of cards with `dense` events or a thousandth of all: they lie over many tasks, by range.
+    """
+    rows = events.select(F.col(card).alias("card"), F.col(merchant).alias("mchnt"), time.alias("_time"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)))
+    keys = [f"_{i}" for i in range(len(order))]
+    counts = rows.groupBy("card").agg(F.count("*").alias("n"))
+    heavy = counts.filter(F.col("n") >= dense)
+    told = heavy.limit(1).count() if dense else 0
+    out = lambda last, at: (F.col("card"), F.col("mchnt"), last.alias("last_mchnt"), (F.col("_time") - at).cast("double").alias("time_diff"))
+    w = Window.partitionBy("card").orderBy(*keys)
+    by_card = lambda frame: frame.select(*out(F.lag("mchnt").over(w), F.lag("_time").over(w)))
+    if not told:
+        return by_card(rows).filter("last_mchnt is not null")
+    n = counts.agg(F.sum("n")).first()[0]
+    heavy = F.broadcast(heavy.filter(F.col("n") * 1000 >= n).select("card"))  # a thousand cards at most
+    last = with_previous(rows.join(heavy, "card", "left_semi"), ["card", "mchnt", "_time"], "card", *keys)
+    same = last.filter(F.col("previous.card") == F.col("card")).select(*out(F.col("previous.mchnt"), F.col("previous._time")))
+    return by_card(rows.join(heavy, "card", "left_anti")).unionByName(same).filter("last_mchnt is not null")
 
 
 def transition_stats(transitions: DataFrame) -> DataFrame:
@@ -36,28 +57,36 @@ def time_weight(n: Column, total: Column) -> Column:
     return F.when(total != 0, F.try_divide(n.cast("double"), total)).otherwise(F.lit(10.0))
 
 
+def _measured(rows: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows as a table, and figures over them as literals, taken while the table is written."""
+    seen = Observation()
+    held = stored(rows.observe(seen, *(c.alias(k) for k, c in figures.items())))
+    return held, {k: F.lit(v).cast("double") for k, v in seen.get.items()}
+
+
 def min_max_weights(stats: DataFrame, parts: tuple[str, ...] = ("n", "cards", "time")) -> DataFrame:
     """src, dst, weight: the sum of the min-max norms of n (from 1), cards and time weight; pairs seen once go, after the extremes are taken.
 
-    parts: which norms the weight sums. The extremes are one row, joined to every pair.
+    parts: which norms the weight sums. The statistics are computed once; their extremes are observed on the way.
     """
     rows = stats.select("src", "dst", "n", "cards", time_weight(F.col("n"), F.col("total")).alias("time"))
-    ends = rows.agg(F.lit(1).alias("low_n"), F.max("n").alias("high_n"), *(f(c).alias(f"{e}_{c}") for c in ("cards", "time") for e, f in (("low", F.min), ("high", F.max))))
-    norms = rows.crossJoin(F.broadcast(ends)).select("src", "dst", *(min_max(c, F.col(f"low_{c}"), F.col(f"high_{c}")).alias(c) for c in ("n", "cards", "time")))
+    rows, ends = _measured(rows, high_n=F.max("n"), **{f"{e}_{c}": f(c) for c in ("cards", "time") for e, f in (("low", F.min), ("high", F.max))})
+    ends["low_n"] = F.lit(1)
+    norms = rows.select("src", "dst", *(min_max(c, ends[f"low_{c}"], ends[f"high_{c}"]).alias(c) for c in ("n", "cards", "time")))
     return norms.filter((F.col("n") > 0) & ~F.isnan("n")).select("src", "dst", sum((F.col(c) for c in parts[1:]), F.col(parts[0])).alias("weight"))
 
 
 def z_score_weights(stats: DataFrame, literal: bool = False) -> DataFrame:
-    """src, dst, weight: the sum of the z-scores of n, cards and mean gap, by sample deviations.
+    """src, dst, weight: the sum of the z-scores of n, cards and mean gap, by sample deviations, which are observed on the way.
 
     literal: mean gap and cards are both measured by the mean gap's figures, as the published pipeline does it.
     """
     rows = stats.select("src", "dst", F.col("n").cast("double").alias("n"), F.col("cards").cast("double").alias("cards"), F.try_divide(F.col("total"), F.col("n")).alias("gap"))
-    figures = rows.agg(*(f(c).alias(f"{e}_{c}") for c in ("n", "cards", "gap") for e, f in (("mean", F.avg), ("dev", F.stddev_samp))))
+    rows, figures = _measured(rows, **{f"{e}_{c}": f(c) for c in ("n", "cards", "gap") for e, f in (("mean", F.avg), ("dev", F.stddev_samp))})
     by = {"n": "n", "cards": "gap" if literal else "cards", "gap": "gap"}
     value = {"n": "n", "cards": "gap" if literal else "cards", "gap": "cards" if literal else "gap"}
-    scores = [z_score(value[c], F.col(f"mean_{by[c]}"), F.col(f"dev_{by[c]}")) for c in ("n", "cards", "gap")]
-    return rows.crossJoin(F.broadcast(figures)).select("src", "dst", sum(scores[1:], scores[0]).alias("weight"))
+    scores = [z_score(value[c], figures[f"mean_{by[c]}"], figures[f"dev_{by[c]}"]) for c in ("n", "cards", "gap")]
+    return rows.select("src", "dst", sum(scores[1:], scores[0]).alias("weight"))
 
 
 def grouped_edges(transitions: DataFrame, more_than: int = 2) -> DataFrame:

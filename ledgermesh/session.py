@@ -39,6 +39,17 @@ def cut(df: DataFrame, rows: int = 0) -> DataFrame:
     return kept.coalesce(max(1, -(-kept.count() // rows))) if rows else kept
 
 
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete the checkpoints of frames that cut() gave and nothing will read again."""
+    for df in frames:
+        spark, rdd = df.sparkSession, df._jdf.queryExecution().logical()
+        while rdd.children().nonEmpty():  # a coalesce stands above the kept rows
+            rdd = rdd.children().head()
+        kept = rdd.rdd().getCheckpointFile() if hasattr(rdd, "rdd") else None
+        if kept is not None and kept.isDefined():
+            _delete(spark, kept.get())
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -66,13 +77,32 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoints(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _STORED:
-        atexit.register(_drop, spark)
-    _STORED.append(path)
+    _remember(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_buckets(df: DataFrame, buckets: int, *columns: str) -> tuple[DataFrame, str]:
+    """The rows of df as a table in the checkpoint folder, in sorted buckets by the columns, and its path: joins on these don't shuffle it.
+
+    discard() drops it; else it goes when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    name = f"ledgermesh_{uuid.uuid4().hex}"
+    path = f"{checkpoints(spark)}/{name}"
+    df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).sortBy(*columns).format("parquet").option("path", path).saveAsTable(name)
+    _remember(spark, path)
+    _NAMED[path] = name
+    return spark.table(name), path
+
+
 _STORED: list[str] = []
+_NAMED: dict[str, str] = {}
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    if not _STORED:
+        atexit.register(_drop, spark)
+    _STORED.append(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -81,8 +111,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table that stored() wrote and nothing will read again."""
+    """Delete a table that stored() or stored_buckets() wrote and nothing will read again."""
     _STORED.remove(path)
+    if path in _NAMED:
+        spark.sql(f"DROP TABLE IF EXISTS {_NAMED.pop(path)}")
     _delete(spark, path)
 
 

@@ -21,11 +21,22 @@ def session(name: str = "ledgermesh", hive: bool = False, **conf: str) -> SparkS
     return (builder.enableHiveSupport() if hive else builder).getOrCreate()
 
 
-def ensure_table(spark: SparkSession, database: str, table: str, columns: str) -> None:
-    """Create the database and the table unless they exist, and use the database."""
+def ensure_table(spark: SparkSession, database: str, table: str, columns: str, partitions: str | None = None) -> None:
+    """Create the database and the table unless they exist, and use the database. partitions: the columns that name its folders."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     spark.sql(f"USE {database}")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet" + (f" PARTITIONED BY ({partitions})" if partitions else ""))
+
+
+def days_of_table(table: DataFrame, day: str, first: str, last: str) -> DataFrame:
+    """Rows of a table in folders by day between two days: other days' files aren't opened."""
+    return table.filter(F.col(day).between(first, last))
+
+
+def rows_on_days(table: DataFrame, day: str, days: DataFrame) -> DataFrame:
+    """Rows of a table in folders by day whose day is among those of another frame; the folders are chosen when that frame is known."""
+    own = days.select(F.col(days.columns[0]).alias("_day")).distinct()
+    return table.join(own, F.col(day) == F.col("_day")).drop("_day")
 
 
 def transfers(table: DataFrame, first: str, last: str, trans_id: str = "S33") -> DataFrame:
@@ -54,12 +65,31 @@ def edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("attr", F.lit(1)), edges
 
 
+def _places(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders that a path, or a pattern, names, as readers report them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        raise FileNotFoundError(path)
+    return [s.getPath().toUri().toString().replace("file:///", "file:/") for s in found]
+
+
 def raw_days(spark: SparkSession, paths: dict[str, str], names: list[str] | str) -> DataFrame:
-    """Raw records of several days: fields between `","`, the outer quotes off, and pdate. paths: day -> path, each read by itself."""
+    """Raw records of several days: fields between `","`, the outer quotes off, and pdate. paths: day -> path.
+
+    All days are one scan; a row's day is looked up by the path of its file, or of the folder that holds it, as a whole.
+    """
     columns = S.names_of(names)
+    days: dict[str, list[str]] = {}
+    for day, path in paths.items():
+        for place in _places(spark, path):
+            days.setdefault(place, []).append(day)
+    known = F.create_map(*(x for place, own in days.items() for x in (F.lit(place), F.array(*map(F.lit, own)))))  # an entry for each path
+    file = F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/"))
+    day = F.coalesce(F.element_at(known, file), F.element_at(known, F.regexp_replace(file, "/[^/]*$", "")))
     parts = F.split(F.regexp_replace("value", '^"|"$', ""), '","')
-    days = [spark.read.text(path).select(*(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)), F.lit(day).alias("pdate")) for day, path in paths.items()]
-    return reduce(DataFrame.unionByName, days)
+    rows = spark.read.text(sorted(set(paths.values()))).select("value", F.explode(day).alias("pdate"))
+    return rows.select(*(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)), "pdate")
 
 
 def split_codes(raw: DataFrame) -> DataFrame:

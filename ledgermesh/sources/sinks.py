@@ -32,6 +32,15 @@ def write_top(frame: DataFrame, k: int, path: str, *order: Column) -> None:
     top(frame, k, *order).coalesce(1).sortWithinPartitions(*order).select(joined_row(*frame.columns).alias("value")).write.text(path)
 
 
+def write_days(frame: DataFrame, table: str, day: str, path: str | None = None) -> None:
+    """frame as a catalog table with a folder for each day. Rows of a day meet in few tasks, so days are few files; a large day is split.
+
+    path: where the files go, if not in the warehouse.
+    """
+    writer = frame.hint("rebalance", day).write.partitionBy(day).format("parquet").mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def write_csv(frame: DataFrame, path: str, header: bool = False) -> None:
     """Atomic columns as CSV."""
     frame.write.option("header", header).csv(path)
