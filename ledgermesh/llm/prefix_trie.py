@@ -35,12 +35,12 @@ def read_turns(conversations: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), digest.alias("digest"), F.char_length(text).cast("long").alias("chars"), F.monotonically_increasing_id().alias("row"))
 
 
-def _named(rows: DataFrame, keys: list[str], name: str, **kept) -> tuple[DataFrame, DataFrame, int]:
+def _named(rows: DataFrame, keys: list[str], name: str, in_order: bool = False, **kept) -> tuple[DataFrame, DataFrame, int]:
     """(rows with the dense number of their keys instead of these, a row for each number with its count n and aggregates, their number).
 
-    Numbers follow the keys' order.
+    in_order: numbers follow the keys' order.
     """
-    groups = numbered(rows.groupBy(*keys).agg(F.count("*").alias("n"), *(c.alias(k) for k, c in kept.items())), *keys, name=name)
+    groups = numbered(rows.groupBy(*keys).agg(F.count("*").alias("n"), *(c.alias(k) for k, c in kept.items())), *(keys if in_order else []), name=name)
     size = groups.agg(F.count("*"), F.sum("n")).first()
     out = join_unique(rows, groups.select(*keys, name, "n"), keys, "n", size[1] or 0)
     return out.drop(*keys), groups, size[0]
@@ -49,7 +49,7 @@ def _named(rows: DataFrame, keys: list[str], name: str, **kept) -> tuple[DataFra
 def original_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, at, name, chars: all turns in one order, by conversation, turn (null first), then the digest of role and text."""
     turns = stored(read_turns(conversations))
-    named = _named(turns, ["digest"], "name")[0]
+    named = _named(turns, ["digest"], "name", in_order=True)[0]
     return numbered(named, "conv_id", F.asc_nulls_first("turn"), "name", "row").select("conv_id", "at", "name", "chars")
 
 
