@@ -41,7 +41,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from ledgermesh.plans import source_queries  # noqa: F401  registers its queries here
+    from ledgermesh.plans import scale_queries, source_queries  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 

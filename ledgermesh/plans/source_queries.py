@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.ml import features as M
 from ledgermesh.ml.isolation_forest import fit_forest
+from ledgermesh.operators.ordered import numbered
 from ledgermesh.plans.queries import TRANSITIONS_SQL, all_edges, query, table, transitions
 from ledgermesh.session import checkpoints
 from ledgermesh.sources import loaders as L
@@ -214,14 +215,20 @@ def write_csv_and_read(spark, sf_dir):
     return spark.read.schema("c_custkey long, c_name string").csv(path)
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'a', 0.5::DOUBLE), (2, 'b', NULL)) AS t(id, name, weight)")
+@query("SELECT r_name, t.code FROM region JOIN (VALUES (0::BIGINT, 'af'), (1, 'am'), (2, 'as'), (3, 'eu'), (4, NULL)) AS t(id, code) ON r_regionkey = t.id")
 def literals(spark, sf_dir):
-    return spark.createDataFrame([(1, "a", 0.5), (2, "b", None)], "id long, name string, weight double")
+    """Literal rows, joined with the table that they are about."""
+    codes = spark.createDataFrame([(0, "af"), (1, "am"), (2, "as"), (3, "eu"), (4, None)], "id long, code string")
+    return table(spark, sf_dir, "region").join(codes, F.col("r_regionkey") == F.col("id")).select("r_name", "code")
 
 
-@query("SELECT 'spark.ledgermesh.example' AS key, '7' AS value")
+@query("SELECT o_orderkey, o_orderstatus AS kept FROM orders WHERE o_totalprice > 200000")
 def session_setting(spark, sf_dir):
-    return spark.sql("SET spark.ledgermesh.example=7")
+    """A setting by SQL that the query then reads; the session has it no longer afterwards."""
+    spark.sql("SET ledgermesh.least_price=200000")
+    least = spark.conf.get("ledgermesh.least_price")
+    spark.sql("RESET ledgermesh.least_price")
+    return table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > float(least)).select("o_orderkey", F.col("o_orderstatus").alias("kept"))
 
 
 @query("SELECT r_regionkey AS a, r_name AS b FROM region")
@@ -292,12 +299,6 @@ def filled_vectors_assembled(spark, sf_dir):
 
 @query("WITH" + TRANSITIONS_SQL + ", s AS (SELECT mchnt AS id, count(*) AS size FROM trans GROUP BY ALL) SELECT id, size, row_number() OVER (ORDER BY size DESC, id) AS place FROM s")
 def sizes_in_order(spark, sf_dir):
-    """Sizes from the largest down, with their places: the sort is one of the whole, so places are the partitions' rows before and the row's own."""
-    sizes = transitions(spark, sf_dir).groupBy(F.col("mchnt").alias("id")).agg(F.count("*").alias("size")).orderBy(F.desc("size"), "id")
-    rows = sizes.withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id() % (1 << 33)})
-    before = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
-    starts, total = {}, 0
-    for part in sorted(before):
-        starts[part], total = total, total + before[part]
-    first = spark.createDataFrame(list(starts.items()) or [(0, 0)], "_part int, _first long")
-    return rows.join(F.broadcast(first), "_part").select("id", "size", (F.col("_first") + F.col("_n") + 1).alias("place"))
+    """Sizes from the largest down, with their places."""
+    sizes = transitions(spark, sf_dir).groupBy(F.col("mchnt").alias("id")).agg(F.count("*").alias("size"))
+    return numbered(sizes, F.desc("size"), "id", name="place").withColumn("place", F.col("place") + 1)
