@@ -408,6 +408,18 @@ v{i} AS MATERIALIZED (SELECT v.id, CASE WHEN x.id IS NULL THEN v.pr ELSE {pr} EN
     return out + f"\nSELECT id, round(pr, 6) AS rank FROM v{rounds}"
 
 
+def _rank_to_end_sql(edges: str, factor: str, start: str, what: str, send: str, pr: str, delta: str, rounds: int) -> str:
+    """The rounds of a PageRank variant as steps of a recursion, which ends with the messages or after so many."""
+    return f"""WITH RECURSIVE {edges},
+vertex AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), total AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS nv FROM vertex),
+f AS MATERIALIZED (SELECT src, dst, CAST({factor} AS DOUBLE) AS f FROM e),
+v(i, id, pr, delta, act) AS (SELECT 0, id, CAST({start} AS DOUBLE), CAST({start} AS DOUBLE), true FROM vertex, total UNION ALL SELECT * FROM (
+ WITH x AS MATERIALIZED (SELECT f.dst AS id, sum(v.{what} * f.f) AS m FROM f JOIN v ON v.id = f.src WHERE v.act AND {send} AND v.i < {rounds} GROUP BY f.dst)
+ SELECT v.i + 1, v.id, CASE WHEN x.id IS NULL THEN v.pr ELSE {pr} END, CASE WHEN x.id IS NULL THEN v.delta ELSE {delta} END, x.id IS NOT NULL
+ FROM v LEFT JOIN x ON x.id = v.id CROSS JOIN total WHERE EXISTS (SELECT 1 FROM x)))
+SELECT id, round(pr, 6) AS rank FROM v WHERE i = (SELECT max(i) FROM v)"""
+
+
 _E = WEIGHTS_SQL + ",\ne AS MATERIALIZED (SELECT src, dst, weight FROM weighted)"
 _ONE, _W, _SHARE = "1.0 / count(*) OVER (PARTITION BY src)", "weight / count(*) OVER (PARTITION BY src)", "weight / sum(weight) OVER (PARTITION BY src)"
 _NEW = "(0.15 / nv + 0.85 * x.m)"
@@ -436,12 +448,12 @@ def pagerank_delta_weighted(spark, sf_dir):
     return _six(delta_pagerank(_weighted(spark, sf_dir), 0.001, 4, weighted=True))
 
 
-@query()
+@query(_rank_to_end_sql(_E, _ONE, "0.15", "delta", "v.delta > 0.001", "v.pr + 0.85 * x.m", "0.85 * x.m", 200))
 def pagerank_delta_converged(spark, sf_dir):
     return _six(delta_pagerank(_weighted(spark, sf_dir), 0.001))
 
 
-@query()
+@query(_rank_to_end_sql(_E, _W, "0.15", "delta", "v.delta > 0.001", "v.pr + 0.85 * x.m", "0.85 * x.m", 200))
 def pagerank_delta_weighted_converged(spark, sf_dir):
     return _six(delta_pagerank(_weighted(spark, sf_dir), 0.001, weighted=True))
 
@@ -456,6 +468,16 @@ def pagerank_modify_weighted(spark, sf_dir):
     return _six(modified_pagerank(_weighted(spark, sf_dir), 0.001, 3, weighted=True))
 
 
+@query(_rank_to_end_sql(_E, _ONE, "0.15 / nv + 0.15", "pr", "v.delta > 0.001", _NEW, f"{_NEW} - v.pr", 200))
+def pagerank_modify_converged(spark, sf_dir):
+    return _six(modified_pagerank(_weighted(spark, sf_dir), 0.001))
+
+
+@query(_rank_to_end_sql(_E, _SHARE, "0.15 / nv + 0.15", "pr", "v.delta > 0.001", _NEW, f"{_NEW} - v.pr", 200))
+def pagerank_modify_weighted_converged(spark, sf_dir):
+    return _six(modified_pagerank(_weighted(spark, sf_dir), 0.001, weighted=True))
+
+
 @query(_rank_sql(_E, _SHARE, "0.15 / nv + 0.15", "pr", "true", "0.15 / nv + 0.85 * coalesce(x.m, 0)", "v.delta", 3).replace("x.id IS NULL THEN v.pr", "false THEN v.pr").replace("x.id IS NOT NULL AS act", "true AS act"))
 def pagerank_modify_standard(spark, sf_dir):
     return _six(modified_pagerank(_weighted(spark, sf_dir), 0.001, 3, weighted=True, standard=True))
@@ -603,7 +625,16 @@ def merchant_ranks_by_count(spark, sf_dir):
     return _six(flows.merchant_ranks(transitions(spark, sf_dir), None, ("n",), rounds=3, hashed=False))
 
 
-@query()
+_DIGEST = f"CAST(CASE WHEN substr(md5(c_name), 1, 1) >= '8' THEN ({(1 << 128) % 10**15 + 10**15}::HUGEINT - {_HORNER}) % {_MOD} ELSE {_HORNER} END AS BIGINT)".replace("c_name", "CAST(r.id AS VARCHAR)")
+_RANKS_TO_END = _rank_to_end_sql("{edges}", _SHARE, "0.15 / nv + 0.15", "pr", "v.delta > 0.001", _NEW, f"{_NEW} - v.pr", 1000)
+
+
+@query("SELECT r.id, r.rank FROM (" + _RANKS_TO_END.format(edges=_CORE.replace("w.src, w.dst, w.weight FROM", "w.src, w.dst, w.n1 AS weight FROM")) + ") r")
+def merchant_ranks_by_count_converged(spark, sf_dir):
+    return _six(flows.merchant_ranks(transitions(spark, sf_dir), None, ("n",), hashed=False))
+
+
+@query(f"SELECT {_DIGEST} AS id, r.rank, coalesce(s_name, ' ') AS name FROM (" + _RANKS_TO_END.format(edges=_CORE) + ") r LEFT JOIN supplier ON s_suppkey = r.id")
 def merchant_ranks_converged(spark, sf_dir):
     """The flagship as it is run: merchants by their digests' numbers, up to the tolerance, 1,000 rounds at most."""
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("mchnt"), F.col("s_name").alias("name"))

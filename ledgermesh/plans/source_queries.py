@@ -239,12 +239,12 @@ def rename_all(spark, sf_dir):
 # ---------------------------------------------------------------- random and fitted operators by their invariants
 
 
-@query("SELECT true AS near_a_tenth, true AS rows_of_the_table")
+@query("SELECT count(*) AS rows, true AS near_a_tenth, true AS rows_of_the_table FROM lineitem")
 def sample_invariants(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     drawn = rows.sample(False, 0.1, 7)
     n, k, known = rows.count(), drawn.count(), drawn.join(rows.distinct(), ["l_orderkey", "l_linenumber"], "left_anti").isEmpty()
-    return spark.createDataFrame([(abs(k - n / 10) <= 5 * (n * 0.09) ** 0.5, known)], "near_a_tenth boolean, rows_of_the_table boolean")
+    return spark.createDataFrame([(n, abs(k - n / 10) <= 5 * (n * 0.09) ** 0.5, known)], "rows long, near_a_tenth boolean, rows_of_the_table boolean")
 
 
 @query("SELECT count(*) AS rows, true AS near_fourfold FROM lineitem")
@@ -267,14 +267,14 @@ def kmeans_invariants(spark, sf_dir):
     return told.agg(F.count("*").alias("rows"), F.lit(len(centres)).alias("clusters"), F.lit(cost < one).alias("cost_below_one_centre"), (F.count_if(wrong) == 0).alias("nearest_centre"))
 
 
-@query("SELECT true AS labels_known, true AS accurate, true AS a_fifth_is_tested")
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE l_quantity > 25) AS large, true AS labels_known, true AS accurate, true AS a_fifth_is_tested FROM lineitem")
 def random_forest_invariants(spark, sf_dir):
     """The forest tells large quantities apart, and gives back the labels that it was taught."""
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_quantity") > 25).cast("double").alias("label"))
     model, out, accuracy = M.random_forest(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    n, total = out.count(), rows.count()
+    n, total, large = out.count(), rows.count(), rows.filter("label = 1").count()
     known = out.filter(~F.col("predictedLabel").isin("0.0", "1.0")).isEmpty() and len(K.model_text(model, 2)) > 0
-    return spark.createDataFrame([(known, accuracy > 0.9, abs(n - total / 5) <= 5 * (total * 0.16) ** 0.5)], "labels_known boolean, accurate boolean, a_fifth_is_tested boolean")
+    return spark.createDataFrame([(total, large, known, accuracy > 0.9, abs(n - total / 5) <= 5 * (total * 0.16) ** 0.5)], "rows long, large long, labels_known boolean, accurate boolean, a_fifth_is_tested boolean")
 
 
 @query("SELECT count(*) + 1 AS rows, true AS within_0_and_1, true AS outlier_first FROM lineitem")
