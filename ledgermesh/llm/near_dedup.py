@@ -34,9 +34,9 @@ BLOCK_ROWS = 500
 COLUMNS, SALTS = 4_096, 64
 #: Rows of a partition of tables that are cut: classes with their signatures, and pairs.
 CLASS_ROWS, PAIR_ROWS = 10_000, 200_000
-#: Candidates below this share of equal signature values aren't confirmed. Of 80 values, a pair of similarity 0.8 has so few equal ones five times
-#: in 10 ** 10 (binomial), far more rarely than all orders miss it.
-LEAST_ESTIMATE = 0.5
+#: Candidates below this share of equal signature values aren't confirmed. Of 80 values, a pair of similarity 0.8 has so few equal ones once in
+#: nine million times (binomial), far more rarely than all orders miss it.
+LEAST_ESTIMATE = 0.55
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
