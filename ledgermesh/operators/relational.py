@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermesh.functions.scalars import bkdr_hash, min_max, z_score
@@ -58,16 +58,16 @@ def time_weight(n: Column, total: Column) -> Column:
 
 
 def _measured(rows: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, Column]]:
-    """The rows as a table, and figures over them as literals, taken while the table is written."""
-    seen = Observation()
-    held = stored(rows.observe(seen, *(c.alias(k) for k, c in figures.items())))
-    return held, {k: F.lit(v).cast("double") for k, v in seen.get.items()}
+    """The rows as a table, and figures over it as literals: what makes the rows runs once. An Observation would take the figures while the table
+    is written, but a session that has had one can't be serialised, and MLlib's evaluators then fail in it."""
+    held = stored(rows)
+    return held, {k: F.lit(v).cast("double") for k, v in held.agg(*(c.alias(k) for k, c in figures.items())).first().asDict().items()}
 
 
 def min_max_weights(stats: DataFrame, parts: tuple[str, ...] = ("n", "cards", "time")) -> DataFrame:
     """src, dst, weight: the sum of the min-max norms of n (from 1), cards and time weight; pairs seen once go, after the extremes are taken.
 
-    parts: which norms the weight sums. The statistics are computed once; their extremes are observed on the way.
+    parts: which norms the weight sums. The statistics are computed once and kept; their extremes are read from that table.
     """
     rows = stats.select("src", "dst", "n", "cards", time_weight(F.col("n"), F.col("total")).alias("time"))
     rows, ends = _measured(rows, high_n=F.max("n"), **{f"{e}_{c}": f(c) for c in ("cards", "time") for e, f in (("low", F.min), ("high", F.max))})
@@ -77,7 +77,7 @@ def min_max_weights(stats: DataFrame, parts: tuple[str, ...] = ("n", "cards", "t
 
 
 def z_score_weights(stats: DataFrame, literal: bool = False) -> DataFrame:
-    """src, dst, weight: the sum of the z-scores of n, cards and mean gap, by sample deviations, which are observed on the way.
+    """src, dst, weight: the sum of the z-scores of n, cards and mean gap, by sample deviations. The statistics are computed once and kept.
 
     literal: mean gap and cards are both measured by the mean gap's figures, as the published pipeline does it.
     """
