@@ -274,3 +274,13 @@ def test_registered_queries_over_the_smallest_tables(spark):
     urls = [r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert queries()["op12_url_templates"](spark, sf).count() == len(urls)
     assert queries()["op13_whitening"](spark, sf).count() == 4 * spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    from .helpers import empty, labels
+
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark, []).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
