@@ -1,6 +1,7 @@
 """A training corpus from documents: quality, near-duplicates, personal data, mixture, tokens.
 
-Each stage takes all that its predecessor kept; all but the last return the columns of documents.
+Each stage takes all that its predecessor kept; all but the last return the columns of documents. Empty tables go through all stages without rows;
+columns beyond those of documents, whatever their names, are carried along or left out, but never looked at.
 """
 
 from __future__ import annotations
@@ -25,19 +26,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group at a Jaccard similarity of 0.8 on five-word shingles."""
+    """The document of the smallest id of each group at a Jaccard similarity of 0.8 on five-word shingles.
+
+    Null and empty texts are in no group and stay. Of rows that repeat a doc_id one stays, of several texts the one whose hash is smallest; rows without a doc_id all stay.
+    """
     ship(spark)
     return one_of_each(docs, k=5, percent=80)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All documents, with personal data masked. A null text stays null; rows without a doc_id have the base patterns masked."""
     ship(spark)
     return mask_pii(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture of their sources."""
+    """All documents, in the order of the mixture of their sources. A null source is a source of its own."""
     ship(spark)
     return mix_documents(docs)
 
