@@ -28,13 +28,13 @@ DENSE = 1_000_000
 def transitions_by_lag(events: DataFrame, card: str, merchant: str, time: Column, order: list[str], dense: int = DENSE) -> DataFrame:
     """card, mchnt, last_mchnt, time_diff: each event of a card with the one before it. `order` must tell all of a card's events apart.
 
-    A card's events are sorted in one task, save those of cards with `dense` events or a thousandth of all: they lie over many tasks, by range.
+    A card's events are sorted in one task, save those of cards with `dense` events and a thousandth of all: they lie over many tasks, by range.
     """
     rows = events.select(F.col(card).alias("card"), F.col(merchant).alias("mchnt"), time.alias("_time"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(order)))
     keys = [f"_{i}" for i in range(len(order))]
     counts = rows.groupBy("card").agg(F.count("*").alias("n"))
     heavy = counts.filter(F.col("n") >= dense)
-    told = heavy.limit(1).count() if dense else 0
+    told = not heavy.isEmpty()
     out = lambda last, at: (F.col("card"), F.col("mchnt"), last.alias("last_mchnt"), (F.col("_time") - at).cast("double").alias("time_diff"))
     w = Window.partitionBy("card").orderBy(*keys)
     by_card = lambda frame: frame.select(*out(F.lag("mchnt").over(w), F.lag("_time").over(w)))

@@ -34,6 +34,7 @@ def write_top(frame: DataFrame, k: int, path: str, *order: Column) -> None:
 
 def write_days(frame: DataFrame, table: str, day: str, path: str | None = None) -> None:
     """frame as a catalog table with a folder for each day. Rows of a day meet in few tasks, so days are few files; a large day is split.
+    A table of that name is replaced.
 
     path: where the files go, if not in the warehouse.
     """
