@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgermesh.llm.text import LOWER, WHITE, mix, release, rolled, slices, tidy, words_of
-from ledgermesh.session import cut
+from ledgermesh.session import cut, stored
 
 BEGIN, END = 0x20, 0x0A
 SHIFT = 48
@@ -546,9 +546,10 @@ def score(docs: DataFrame, model: DataFrame, lower: bool = False, sums: dict[str
 def labelled(docs: DataFrame, labels: DataFrame, *names: str) -> DataFrame:
     """docs with the label columns (null without a label; the largest where a doc_id has several labels).
 
-    Labels of a checked size are broadcast; more of them are joined by shuffle.
+    Labels of a checked size are broadcast; more of them are joined by shuffle, and what comes of it is written once: score() reads
+    its rows several times and needs them in the same order.
     """
     own = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(*(F.max(n).alias(f"_{n}") for n in names))
-    if labels.count() <= BROADCAST_LABELS:
-        own = F.broadcast(own)
-    return docs.join(own, docs["doc_id"] == F.col("_label_id"), "left").drop("_label_id")
+    few = labels.count() <= BROADCAST_LABELS
+    rows = docs.join(F.broadcast(own) if few else own, docs["doc_id"] == F.col("_label_id"), "left").drop("_label_id")
+    return rows if few else stored(rows)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgermesh.graph.components import component_members
 from ledgermesh.llm.text import WHITE, mix, shingle_sets, slices, texts_of, tidy, words_of
+from ledgermesh.operators.ordered import numbered
 from ledgermesh.session import cut, stored
 
 #: Orders of the forest and signature values that the sort takes into account.
@@ -326,10 +327,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates keeps: one of each doc_id, and every row without one."""
-    kept = near_duplicates(docs, k, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+def _renamed(named: DataFrame) -> DataFrame:
+    """named (_id, _tag, ...) with an _id of its own for each further _tag under one _id."""
+    torn = named.groupBy("_id").agg(F.min("_tag").alias("_least"), F.max("_tag").alias("_most")).filter("_least <> _most")
+    if torn.isEmpty():
+        return named
+    further = named.join(torn, "_id").filter("_tag <> _least").select("_id", "_tag").distinct()
+    further = numbered(further, "_id", "_tag", name="_at")
+    (low, high), more = named.agg(F.min("_id"), F.max("_id")).first(), further.count()
+    first = high + 1 if high + more < 1 << 63 else low - more
+    return stored(named.join(further, ["_id", "_tag"], "left").withColumn("_id", F.coalesce(F.col("_at") + F.lit(first), "_id")).drop("_at"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, each_text: bool = False) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates keeps: one of each doc_id, and every row without one.
+
+    each_text: further texts under a doc_id that is there already are documents of their own, behind all others, so only rows that repeat doc_id and text
+    are one document.
+    """
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tag"))
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("_tag"))
-    named = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", first).filter("_n = 1")
-    return named.select("_row.*").unionByName(rows.filter("_id is null").select("_row.*"))
+    named = rows.filter("_id is not null")
+    if each_text:
+        named = _renamed(named)
+    ids = near_duplicates(named.select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text")), k, percent)
+    kept = ids.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    place = F.row_number().over(Window.partitionBy("_id").orderBy("_tag"))
+    one = named.join(kept, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", place).filter("_n = 1")
+    return one.select("_row.*").unionByName(rows.filter("_id is null").select("_row.*"))

@@ -273,6 +273,45 @@ def test_mixing_awkward(spark):
         mixing.mix_order(docs, {"s0": 1.0})
 
 
+def test_texts_under_one_id_are_documents(spark):
+    long_text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long_text, "a"), (1, other, "b"), (1, other, "b"), (1, long_text + " end", "c"), (2, other + " end", "d"), (3, "alone here", "e"), (None, other, "f"), (4, None, "g"), (4, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = near_dedup.one_of_each(docs, each_text=True)
+    assert left.columns == docs.columns
+    texts = [(r.doc_id, r.text) for r in left.collect()]
+    first = [x for x in texts if x[0] == 1 and x[1].startswith("w0")]
+    assert len(first) == 1 and len([x for x in texts if x[1] and x[1].startswith("v0") and x[0] is not None]) == 1
+    assert {(3, "alone here"), (None, other), (4, None), (4, "")} <= set(texts) and len(texts) == 6
+    top = spark.createDataFrame([((1 << 63) - 1, "one two three", "a"), ((1 << 63) - 1, "four five six", "b")], "doc_id long, text string, lang string")
+    assert near_dedup.one_of_each(top, each_text=True).count() == 2
+
+
+def test_frames_give_the_schedule_of_one_pass(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = {f"s{i}": rng.randint(1, 900) for i in range(7)}
+    docs = spark.createDataFrame([(1000 * k + n, s) for k, (s, m) in enumerate(rows.items()) for n in range(m)], "doc_id long, source string")
+    whole = mixing.block_slots([float(rows[s]) ** mixing.TEMPERATURE for s in sorted(rows)], [-(-rows[s] // 5) for s in sorted(rows)])
+    for size in (1, 37, 100_000):
+        monkeypatch.setattr(mixing, "FRAME", size)
+        monkeypatch.setattr(mixing, "RANKED", 40)  # several groups a block, and several blocks a group
+        got = mixing.mix_order(docs, block=5).collect()
+        assert {(r.source, r.block, r.slot) for r in got} == {(s, j, t) for s, own in zip(sorted(rows), whole, strict=True) for j, t in enumerate(own)}
+        assert len(got) == sum(rows.values()) == len({r.position for r in got})
+
+
+def test_mixing_spreads_rows_without_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED", 50)
+    texts = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("a").alias("source"))
+    got = mixing.mix_documents(texts).collect()
+    assert sorted(r.text for r in got) == sorted(f"text {i}" for i in range(2000))
+    groups = mixing._ranked(texts.select("doc_id", "source", F.xxhash64("text").alias("_other")), None, 64).groupBy("_group").count().collect()
+    assert len(groups) == 40 and max(r["count"] for r in groups) < 100
+    same = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("source"))  # nothing tells these apart
+    assert sorted(r.position for r in mixing.mix_order(same).collect()) == list(range(300))
+
+
 # ---------------------------------------------------------------- search
 
 
