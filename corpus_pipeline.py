@@ -28,10 +28,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group at a Jaccard similarity of 0.8 on five-word shingles.
 
-    Null and empty texts are in no group and stay. Of rows that repeat a doc_id one stays, of several texts the one whose hash is smallest; rows without a doc_id all stay.
+    Null and empty texts are in no group and stay. Of rows that repeat doc_id and text one stays; several texts under a doc_id are documents of their own; rows without
+    a doc_id all stay.
     """
     ship(spark)
-    return one_of_each(docs, k=5, percent=80)
+    return one_of_each(docs, k=5, percent=80, each_text=True)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
