@@ -17,7 +17,7 @@ from ledgermesh.graph import core as G
 from ledgermesh.graph.labels import propagate_labels
 from ledgermesh.graph.pagerank import delta_pagerank, modified_pagerank, static_pagerank
 from ledgermesh.graph.scc import strong_components
-from ledgermesh.graph.search import k_hop, short_cycles
+from ledgermesh.graph.search import k_hop, on_short_cycle, short_cycles
 from ledgermesh.ml import evidence as E
 from ledgermesh.ml import features as M
 from ledgermesh.ml.isolation_forest import fit_forest
@@ -394,6 +394,14 @@ def cycles_le3(spark, sf_dir):
     return rows.select("id", F.array_join(F.transform("ancestors", lambda x: x.cast("string")), ",").alias("ancestors"))
 
 
+@query("WITH" + EDGES_SQL + """,
+e AS (SELECT DISTINCT src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL), w2 AS (SELECT DISTINCT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src)
+SELECT src AS id FROM e WHERE src = dst UNION SELECT src FROM w2 WHERE src = dst UNION SELECT x.src FROM w2 x JOIN e y ON x.dst = y.src AND x.src = y.dst""")
+def cycle_members_le3(spark, sf_dir):
+    """Vertices on a directed cycle of three edges or fewer, without their ancestors."""
+    return on_short_cycle(all_edges(spark, sf_dir), 3)
+
+
 def _rank_sql(edges: str, factor: str, start: str, what: str, send: str, pr: str, delta: str, rounds: int) -> str:
     """The rounds of a PageRank variant, written out. edges: a CTE with src, dst, weight."""
     out = f"""WITH {edges},

@@ -11,7 +11,7 @@ from ledgermesh.graph.components import connected_components
 from ledgermesh.graph.labels import propagate_labels
 from ledgermesh.graph.pagerank import delta_pagerank, modified_pagerank, static_pagerank
 from ledgermesh.graph.scc import strong_components
-from ledgermesh.graph.search import ancestors, k_hop, short_cycles
+from ledgermesh.graph.search import ancestor_words, ancestors, k_hop, on_short_cycle, short_cycles
 from ledgermesh.plans.flows import component_sizes
 
 CYCLIC = [(0, 1), (0, 2), (1, 3), (2, 5), (3, 4), (4, 2), (5, 4), (5, 6), (6, 0), (6, 2)]
@@ -98,6 +98,22 @@ def many_partitions(spark):
         spark.conf.set(k, v)
 
 
+def test_cycle_members_and_words(spark):
+    rng = random.Random(11)
+    pairs = sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(260)} | {(400, 400), (500, 501)})
+    edges = spark.createDataFrame([*pairs, (None, 1), (1, None)], "src long, dst long")
+    for longest in (1, 2, 3):
+        lists = by_id(short_cycles(edges, longest), "ancestors")
+        assert sorted(r.id for r in on_short_cycle(edges, longest).collect()) == sorted(lists)
+        rows = ancestor_words(edges, longest, cyclic=True).collect()
+        assert all(0 < len(r.ancestors) <= 64 for r in rows)
+        joined = {}
+        for r in rows:
+            joined.setdefault(r.id, []).extend(r.ancestors)
+        assert {i: sorted(x) for i, x in joined.items()} == lists
+    assert on_short_cycle(edges.limit(0)).count() == 0
+
+
 def test_cycles_of_a_dense_graph_join_few_rows(spark, many_partitions):
     n, store, sc = 160, spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc()
     listed = lambda: [x.executionId() for x in (runs.apply(i) for runs in [store.executionsList()] for i in range(runs.size()))]
