@@ -273,6 +273,17 @@ def test_mixing_awkward(spark):
         mixing.mix_order(docs, {"s0": 1.0})
 
 
+def test_many_labels_are_joined_by_shuffle_and_written_once(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i % 380, " ".join(rng.choice(("kind words of a calm day", "you vile rotten fool")).split() + [f"w{rng.randrange(50)}"])) for i in range(400)]  # repeated ids
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    own = labels(spark, [(i, None, int("vile" in t)) for i, t in dict(rows).items()])
+    few = sorted((r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.toxicity_documents(docs, own).collect())
+    monkeypatch.setattr(kneser_ney, "BROADCAST_LABELS", 0)
+    assert "table-" in kneser_ney.labelled(docs, own, "toxic").inputFiles()[0]
+    assert sorted((r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.toxicity_documents(docs, own).collect()) == few
+
+
 def test_texts_under_one_id_are_documents(spark):
     long_text = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
