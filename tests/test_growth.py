@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermesh.graph import search
-from ledgermesh.graph.search import on_short_cycle
+from ledgermesh.graph.search import on_short_cycle, short_cycles
 
 
 def cyclic(edges, longest):
@@ -35,3 +35,12 @@ def test_members_by_walks_and_by_bits_are_the_same(spark, monkeypatch, most):
     edges = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(100)} | {(70 + i, 71 + i) for i in range(80)} | {(100, 98), (140, 137)})
     for longest in (3, 4):
         assert {r.id for r in on_short_cycle(spark.createDataFrame(edges, "src long, dst long"), longest).collect()} == cyclic(edges, longest)
+
+
+def test_lists_of_ancestors_are_not_shuffled(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "src long, dst long")
+    frame = short_cycles(edges)
+    lines = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+    listed = next(i for i, x in enumerate(lines) if "BroadcastHashJoin" in x and "word" in x)
+    assert not any("Exchange" in x for x in lines[:listed])
+    assert {r.id: r.ancestors for r in frame.collect()} == {1: [1, 2, 3, 4], 2: [1, 2, 3, 4], 3: [1, 2, 3, 4]}
