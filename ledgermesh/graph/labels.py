@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgermesh.graph.core import vertices_of
 from ledgermesh.graph.layout import lay_out
 from ledgermesh.graph.pregel import pregel
-from ledgermesh.session import discard, last_stored, stored
+from ledgermesh.session import dealt, discard, last_stored, stored
 
 
 def propagate_labels(edges: DataFrame, rounds: int, sends: str = "always", vertices: DataFrame | None = None) -> DataFrame:
@@ -34,7 +34,8 @@ def propagate_labels(edges: DataFrame, rounds: int, sends: str = "always", verti
 
     state = ids.select("id", F.col("id").alias("label"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("last2"), F.lit(True).alias("active"))
     update = {"label": F.col("m"), "last": F.col("label"), "last2": F.col("last")}
-    out = pregel(state, messages, update, rounds, repeats=True).select("id", "label")
+    with dealt(edges.sparkSession, both.total):  # there may be as many votes as edges
+        out = pregel(state, messages, update, rounds, repeats=True).select("id", "label")
     both.drop()
     discard(edges.sparkSession, held)
     return out

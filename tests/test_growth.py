@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermesh.graph import search
+from ledgermesh import session
+from ledgermesh.graph import labels, layout, search
 from ledgermesh.graph.search import on_short_cycle, short_cycles
+from ledgermesh.operators import relational as R
 
 
 def cyclic(edges, longest):
@@ -44,3 +46,24 @@ def test_lists_of_ancestors_are_not_shuffled(spark):
     listed = next(i for i, x in enumerate(lines) if "BroadcastHashJoin" in x and "word" in x)
     assert not any("Exchange" in x for x in lines[:listed])
     assert {r.id: r.ancestors for r in frame.collect()} == {1: [1, 2, 3, 4], 2: [1, 2, 3, 4], 3: [1, 2, 3, 4]}
+
+
+def test_label_rounds_have_partitions_by_edges(spark, monkeypatch):
+    seen, run, dealt, write = [], labels.pregel, session.dealt, layout.stored_buckets
+    monkeypatch.setattr(layout, "stored_buckets", lambda df, buckets, *c: seen.append(buckets) or write(df, buckets, *c))
+    monkeypatch.setattr(layout, "BUCKET", 10)
+    monkeypatch.setattr(labels, "dealt", lambda s, rows: dealt(s, rows, 10))
+    monkeypatch.setattr(labels, "pregel", lambda *a, **b: seen.append(spark.conf.get("spark.sql.shuffle.partitions")) or run(*a, **b))
+    edges = spark.range(60).select("id", (F.col("id") * 7 % 60).alias("dst")).toDF("src", "dst")
+    labels.propagate_labels(edges, 1)
+    assert seen == [12, "12"] and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_cards_are_dealt_by_events(spark, monkeypatch):
+    events = spark.range(300).select((F.col("id") % 40).alias("card"), (F.col("id") % 7).alias("mchnt"), "id")
+    transitions = lambda: R.transitions_by_lag(events, "card", "mchnt", F.col("id"), ["id"])
+    wanted = sorted(map(tuple, transitions().collect()))
+    monkeypatch.setattr(R, "tasks_for", lambda s, rows: session.tasks_for(s, rows, 30))
+    got = transitions()
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString() and got.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, got.collect())) == wanted
