@@ -40,6 +40,11 @@ def _only(known: DataFrame) -> DataFrame:
     return known.select("id", F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("id")).alias("to"))
 
 
+def _passed(edges: DataFrame) -> DataFrame:
+    """id: vertices with edges in and edges out; no other is on a cycle."""
+    return edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+
+
 def _trim(ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without vertices that no cycle reaches or that reach none: chains go as a whole, from their ends."""
     size = -1
@@ -95,9 +100,13 @@ def _back(colours: DataFrame, edges: DataFrame) -> DataFrame:
 
 def strong_components(edges: DataFrame, iterations: int, vertices: DataFrame | None = None) -> DataFrame:
     """id, component: the smallest id of the strongly connected component; vertices that so many iterations don't resolve keep their own id."""
+    edges = stored(edges.select("src", "dst"))  # what makes the edges runs once
     ids = cut(vertices_of(edges) if vertices is None else vertices.select("id").union(vertices_of(edges)).distinct(), ROWS)
     left, live = ids, cut(edges.select("src", "dst").filter("src <> dst").distinct(), ROWS)  # a loop joins nothing
     done = None
+    if left.count() > (passed := cut(_passed(live), ROWS)).count():  # in a graph from one side to another nothing is left, and chains needn't be followed
+        left = passed
+        live = live.limit(0) if left.isEmpty() else cut(among(live, left), ROWS)
     for _ in range(iterations):
         left, live = _trim(left, live)
         if left.isEmpty():

@@ -12,6 +12,7 @@ from ledgermesh.graph.pagerank import modified_pagerank
 from ledgermesh.graph.scc import strong_components
 from ledgermesh.ml.features import k_means, normalise
 from ledgermesh.operators.relational import account_vertices, fraud_transactions, grouped_edges, min_max_weights, transfer_sums, transition_stats, with_names, z_score_weights
+from ledgermesh.session import stored
 from ledgermesh.sources import loaders, sinks
 from ledgermesh.sources.schema import USED
 
@@ -32,7 +33,7 @@ def transfer_graph(transfers: DataFrame) -> tuple[DataFrame, DataFrame]:
 def transfer_strong_components(transfers: DataFrame, iterations: int = 2) -> DataFrame:
     """id, component on the transfer graph without isolated edges."""
     _, edges = transfer_graph(transfers)
-    return strong_components(core(edges)[1], iterations)
+    return strong_components(core(stored(edges.select("src", "dst")))[1], iterations)
 
 
 def component_sizes(vertices: DataFrame, edges: DataFrame, strong: int = 0) -> DataFrame:
