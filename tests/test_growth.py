@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermesh import session
-from ledgermesh.graph import labels, layout, search
+from ledgermesh.graph import labels, layout, scc, search
 from ledgermesh.graph.search import on_short_cycle, short_cycles
 from ledgermesh.operators import relational as R
+from ledgermesh.plans import flows
 
 
 def cyclic(edges, longest):
@@ -67,3 +68,34 @@ def test_cards_are_dealt_by_events(spark, monkeypatch):
     got = transitions()
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString() and got.rdd.getNumPartitions() == 10
     assert sorted(map(tuple, got.collect())) == wanted
+
+
+def counted(spark, frame):
+    """The frame, and a counter of the rows that are made for it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    return frame.mapInPandas(run, frame.schema), made
+
+
+def test_transfers_are_made_once_and_not_chased(spark, monkeypatch):
+    monkeypatch.setattr(scc, "_chase", lambda *a: pytest.fail("chains of a graph from one side to another"))
+    rows = spark.range(200).select(F.format_string("C%d", F.col("id") % 30).alias("srccard"), F.format_string("S%d", F.col("id") % 7).alias("dstcard"), F.lit(1.0).alias("money"))
+    frame, made = counted(spark, rows)
+    got = flows.transfer_strong_components(frame)
+    assert got.filter("id <> component").isEmpty() and got.count() == 37 and made.value == 200
+
+
+def test_edges_of_strong_components_are_made_once(spark):
+    frame, made = counted(spark, spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 1), (7, 7)], "src long, dst long"))
+    got = {r.id: r.component for r in scc.strong_components(frame, 3).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7} and made.value == 7
+
+
+def test_accounts_of_both_sides_are_made_once(spark):
+    frame, made = counted(spark, spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "srccard string, dstcard string"))
+    assert sorted(r.account for r in R.account_vertices(frame).collect()) == ["a", "b", "c"] and made.value == 3
