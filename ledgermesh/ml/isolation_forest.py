@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermesh.session import stored
+from ledgermesh.session import dealt, stored
 
 EULER = 0.5772156649
 
@@ -118,15 +118,20 @@ def _copies(key: int, tree: int, first: float, count: int, top: float, seed: int
     return out
 
 
-def bounded_samples(frame: DataFrame, columns: list[str], samples: int, size: int, seed: int) -> list[np.ndarray]:
+def bounded_samples(frame: DataFrame, columns: list[str], samples: int, size: int, seed: int, rows: int | None = None) -> list[np.ndarray]:
     """`samples` independent uniform samples of `size` rows (of all, if there are fewer), without replacement, as arrays of the columns.
 
     A row's number in a sample comes from a hash of its values and the sample's own, and the rows of the smallest numbers are drawn. So
     every row has the same chance, wherever it stands, and the same rows in another order or other partitions give the same samples. Equal
     rows are counted (by a hash of 8 bytes a row), and get as many numbers as there are: the smallest of m uniform numbers is drawn at once.
     Only rows of numbers below a bound reach the driver: about size * samples in all, however large the table is.
-    A null or non-number counts as 0.
+    A null or non-number counts as 0. rows: how many there are, if that is known; equal rows are counted in as many tasks as these need.
     """
+    with dealt(frame.sparkSession, frame.count() if rows is None else rows):
+        return _samples(frame, columns, samples, size, seed)
+
+
+def _samples(frame: DataFrame, columns: list[str], samples: int, size: int, seed: int) -> list[np.ndarray]:
     hashed = [f.name for f in frame.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     rows = frame.select(F.xxhash64(*(F.col(f"`{c}`") for c in hashed)).alias("_key"), *(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"_{i}") for i, c in enumerate(columns)))
     counts = stored(rows.groupBy("_key").agg(F.count("*").alias("m")))

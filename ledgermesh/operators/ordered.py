@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,21 @@ def running_sum(frame: DataFrame, value: str, *order: str | Column, name: str =
     return held.withColumn("_own", own).join(_starts(held, F.coalesce(value, F.lit(0))), _PART).select(*frame.columns, (F.col("_first") + F.col("_own")).alias(name))
 
 
+def quantiles(frame: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """The exact quantiles of a number column, between two values in proportion, as percentile() gives them; the distinct values don't meet in one task."""
+    counts = frame.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("m"))
+    placed = running_sum(counts, "m", column)
+    n = placed.agg(F.sum("m")).first()[0] or 0
+    if not n:
+        return []
+    at = [s * (n - 1) for s in shares]
+    places = frame.sparkSession.createDataFrame([(p,) for p in sorted({f(a) for a in at for f in (math.floor, math.ceil)})], "_at long")
+    found = placed.join(F.broadcast(places), (F.col("_at") >= F.col("before")) & (F.col("_at") < F.col("before") + F.col("m")))
+    value = {r["_at"]: float(r[column]) for r in found.collect()}
+    low = [math.floor(a) for a in at]
+    return [value[i] if a == i else (i + 1 - a) * value[i] + (a - i) * value[i + 1] for a, i in zip(at, low, strict=True)]
+
+
 def with_previous(frame: DataFrame, columns: list[str], *order: str | Column, name: str = "previous") -> DataFrame:
     """frame with a struct of the columns of the row before in the order (null for the first row): a partition's first row takes the last one of
     the partition before, which is handed on as one row for each partition."""

@@ -13,9 +13,10 @@ from ledgermesh.graph.labels import propagate_labels
 from ledgermesh.ml import evidence as E
 from ledgermesh.ml.isolation_forest import bounded_samples
 from ledgermesh.operators import relational as R
+from ledgermesh.operators.ordered import quantiles
 from ledgermesh.plans import flows
 from ledgermesh.plans.queries import EDGES_SQL, TRANSFERS_SQL, all_edges, query, table, transfers
-from ledgermesh.session import checkpoints
+from ledgermesh.session import checkpoints, dealt, tasks_for
 from ledgermesh.sources import loaders as L
 from ledgermesh.sources import schema
 from ledgermesh.sources import sinks as K
@@ -141,12 +142,13 @@ def forest_sample_invariants(spark, sf_dir):
     """Samples for isolation trees: each tenth of the table (by its keys) is drawn alike, and rows in another order give the same samples."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     n = rows.count()
-    cuts = rows.agg(F.percentile("l_orderkey", F.array(*(F.lit(i / 10) for i in range(11))))).first()[0]
-    drawn = bounded_samples(rows, ["l_orderkey", "l_extendedprice"], 20, 256, 7)
+    with dealt(spark, n):
+        cuts = quantiles(rows, "l_orderkey", [i / 10 for i in range(11)])
+    drawn = bounded_samples(rows, ["l_orderkey", "l_extendedprice"], 20, 256, 7, n)
     each = np.histogram(np.concatenate([s[:, 0] for s in drawn]), bins=np.array(cuts) + np.array([0.0] * 10 + [1.0]))[0]
     k = min(n, 256)
     alike = bool((abs(each - 2 * k) <= 6 * (2 * k) ** 0.5 + 0.02 * k).all())
-    again = bounded_samples(rows.orderBy("l_extendedprice").repartition(7), ["l_orderkey", "l_extendedprice"], 20, 256, 7)
+    again = bounded_samples(rows.orderBy("l_extendedprice").repartition(max(7, tasks_for(spark, n))), ["l_orderkey", "l_extendedprice"], 20, 256, 7, n)
     same = all(np.array_equal(a, b) for a, b in zip(drawn, again, strict=True))
     return spark.createDataFrame([(n, len(drawn), all(len(s) == k for s in drawn), alike, same)], "rows long, samples int, of_256_rows boolean, tenths_alike boolean, order_is_nothing boolean")
 

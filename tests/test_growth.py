@@ -9,7 +9,9 @@ from ledgermesh import session
 from ledgermesh.graph import labels, layout, scc, search
 from ledgermesh.graph.search import on_short_cycle, short_cycles
 from ledgermesh.operators import relational as R
+from ledgermesh.operators.ordered import quantiles
 from ledgermesh.plans import flows
+from ledgermesh.plans.scale_queries import forest_sample_invariants
 
 
 def cyclic(edges, longest):
@@ -99,3 +101,13 @@ def test_edges_of_strong_components_are_made_once(spark):
 def test_accounts_of_both_sides_are_made_once(spark):
     frame, made = counted(spark, spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "srccard string, dstcard string"))
     assert sorted(r.account for r in R.account_vertices(frame).collect()) == ["a", "b", "c"] and made.value == 3
+
+
+def test_quantiles_equal_percentile(spark, monkeypatch):
+    rng = random.Random(1)
+    frame = spark.createDataFrame([(rng.randrange(50),) for _ in range(203)] + [(None,)], "x long").repartition(5)
+    shares = [i / 10 for i in range(11)]
+    wanted = frame.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0]
+    assert quantiles(frame, "x", shares) == pytest.approx(wanted) and quantiles(frame.limit(0), "x", shares) == []
+    monkeypatch.setattr(F, "percentile", lambda *a: pytest.fail("all distinct values in one task"))
+    assert forest_sample_invariants(spark, "/root/testdata/sf0.001").first().order_is_nothing
