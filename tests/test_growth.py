@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermesh import session
-from ledgermesh.graph import labels, layout, scc, search
-from ledgermesh.graph.search import on_short_cycle, short_cycles
+from ledgermesh.graph import blocks, labels, layout, scc, search
+from ledgermesh.graph.search import on_short_cycle, short_cycle_texts, short_cycles
 from ledgermesh.operators import relational as R
 from ledgermesh.operators.ordered import quantiles
 from ledgermesh.plans import flows
@@ -51,6 +51,31 @@ def test_lists_of_ancestors_are_not_shuffled(spark):
     assert {r.id: r.ancestors for r in frame.collect()} == {1: [1, 2, 3, 4], 2: [1, 2, 3, 4], 3: [1, 2, 3, 4]}
 
 
+def test_ancestors_of_a_dense_graph_leave_no_partial_sums(spark, monkeypatch):
+    monkeypatch.setattr(search, "_laid_out", lambda *a: pytest.fail("each bucket sends sums for all targets"))
+    for name, least in (("CHUNK", 2), ("EDGES", 60), ("TARGETS", 8), ("BITS", 64 * 150)):
+        monkeypatch.setattr(blocks, name, least)
+    rng = random.Random(5)
+    edges = sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(700)} | {(a, b) for a in range(160, 166) for b in range(160, 166)})
+    walks, reached = set(edges), set(edges)
+    out = {a: {d for c, d in edges if c == a} for a, _ in edges}
+    for _ in range(2):
+        walks = {(a, d) for a, b in walks for d in out.get(b, ())}
+        reached |= walks
+    wanted = {v: ",".join(map(str, sorted(a for a, b in reached if b == v))) for v, b in reached if v == b}
+    rows = short_cycle_texts(spark.createDataFrame(edges, "src long, dst long").repartition(3)).collect()
+    assert {r.id: r.ancestors for r in rows} == wanted and len(rows) == len(wanted)
+
+
+def test_texts_are_in_order_where_words_cross(spark):
+    n = 200  # a ring in shuffled order: neighbours' ids lie anywhere, so words of one vertex cross
+    ids = random.Random(6).sample(range(-1000, 1000), n)
+    edges = [(ids[i], ids[(i + j) % n]) for i in range(n) for j in (1, 7, 50, 199)]
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    lists = {r.id: ",".join(map(str, r.ancestors)) for r in short_cycles(frame).collect()}
+    assert {r.id: r.ancestors for r in short_cycle_texts(frame).collect()} == lists and len(lists) == n
+
+
 def test_label_rounds_have_partitions_by_edges(spark, monkeypatch):
     seen, run, dealt, write = [], labels.pregel, session.dealt, layout.stored_buckets
     monkeypatch.setattr(layout, "stored_buckets", lambda df, buckets, *c: seen.append(buckets) or write(df, buckets, *c))
