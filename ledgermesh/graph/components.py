@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermesh.operators.skew import join_unique
-from ledgermesh.session import cut, drop_cut
+from ledgermesh.session import drop_cut, gathered
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -69,16 +69,16 @@ def component_members(edges: DataFrame, max_rounds: int = 100, contracted: int =
     Edges are contracted in tasks of about `contracted` rows first; what several tasks hold is then joined by
     rounds that cut their lineage.
     """
-    edges = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst"), contracted)
+    edges = gathered(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst"), contracted)
     tasks = edges.rdd.getNumPartitions()
-    state = cut(_contract(edges), contracted)
+    state = gathered(_contract(edges), contracted)
     before = None if tasks == 1 else _mark(state)  # one task has seen every edge
     for _ in range(max_rounds):
         if before is None:
             break
         most = 2 * before[0]
-        wide = cut(_large_star(state, most), contracted)
-        held, state = state, cut(_small_star(wide, most), contracted)
+        wide = gathered(_large_star(state, most), contracted)
+        held, state = state, gathered(_small_star(wide, most), contracted)
         drop_cut(held, wide)
         now = _mark(state)
         before = None if now == before else now

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ledgermesh.graph.components import component_members
 from ledgermesh.llm.text import WHITE, mix, shingle_sets, slices, texts_of, tidy, words_of
 from ledgermesh.operators.ordered import numbered
-from ledgermesh.session import cut, stored
+from ledgermesh.session import cut, gathered, stored
 
 #: Orders of the forest and signature values that the sort takes into account.
 ORDERS = 20
@@ -198,7 +198,7 @@ def run_blocks(classes: DataFrame, found: DataFrame) -> DataFrame:
     rows = own.mapInArrow(tidy(run), "tree int, prefix long, id long, component long")
     sizes = rows.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
     runs = sizes.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", -F.col("component"))).alias("chief"))
-    runs = cut(runs.filter((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("most"))), PAIR_ROWS)
+    runs = gathered(runs.filter((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("most"))), PAIR_ROWS)
     salted = runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hashed = F.xxhash64("id")
     rows = rows.withColumn("salt", F.pmod(hashed, F.lit(SALTS)).cast("int")).join(salted, ["tree", "prefix", "salt"])
@@ -289,29 +289,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     sig = cut(signatures(docs, k))
     classes = sig.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "sig", "low")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig"), F.col("m.low").alias("low"), "s1", "s2", "n_shingles")
-    classes = cut(classes, CLASS_ROWS)
-    pairs = cut(candidates(classes), PAIR_ROWS)
-    likeliest = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")), PAIR_ROWS)
+    classes = gathered(classes, CLASS_ROWS)
+    pairs = gathered(candidates(classes), PAIR_ROWS)
+    likeliest = gathered(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")), PAIR_ROWS)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = stored(texts_of(docs, "doc_id").withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"))
-    links = cut(confirmed(likeliest, texts, k, percent).distinct(), PAIR_ROWS)
+    links = gathered(confirmed(likeliest, texts, k, percent).distinct(), PAIR_ROWS)
     found = component_members(links)
     tested = likeliest
     for final in (False, True):  # first each one's likeliest partner with a larger id, then all that are still apart
         left, right = (found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
         # what is apart now was apart before, so settled pairs aren't looked at again
-        pairs = cut(pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "est"), PAIR_ROWS)
+        pairs = gathered(pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "est"), PAIR_ROWS)
         apart = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         if not final:
             apart = apart.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-            tested = cut(tested.select("a", "b").union(apart.select("a", "b")), PAIR_ROWS)
+            tested = gathered(tested.select("a", "b").union(apart.select("a", "b")), PAIR_ROWS)
             apart = tested.join(likeliest.select("a", "b"), ["a", "b"], "left_anti")
-        more = cut(confirmed(apart, texts, k, percent).distinct(), PAIR_ROWS)
+        more = gathered(confirmed(apart, texts, k, percent).distinct(), PAIR_ROWS)
         if not more.isEmpty():
             links = links.union(more)
             found = component_members(links)
-    blocks = cut(run_blocks(classes, found), PAIR_ROWS)
-    more = cut(links_of_blocks(blocks, texts_of(docs, "doc_id").withColumnRenamed("doc_id", "id"), k, percent).distinct(), PAIR_ROWS)
+    blocks = gathered(run_blocks(classes, found), PAIR_ROWS)
+    more = gathered(links_of_blocks(blocks, texts_of(docs, "doc_id").withColumnRenamed("doc_id", "id"), k, percent).distinct(), PAIR_ROWS)
     if not more.isEmpty():
         found = component_members(links.union(more))
     # nodes of one class, and rows of one doc_id in several classes, belong together

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermesh.session import cut
+from ledgermesh.session import cut, gathered
 
 KINDS = ("email", "ip", "card", "phone")
 DISCOVERED = "secret"
@@ -54,6 +54,8 @@ LEAST_SUPPORT = 3
 LEAST_BELIEF = 0.85
 #: Parts that the rows of a pattern or value are joined in.
 SALTS = 16
+#: Rows of a partition of the tables of patterns and values.
+GRAPH_ROWS = 200_000
 
 _EMPTY = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -163,18 +165,18 @@ def scored_graph(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
     A pattern with fewer values than LEAST_SUPPORT can't become confident and is left out from the start.
     """
     edges = found.select(F.explode("patterns").alias("pattern"), "value", F.col("kind").isNotNull().cast("double").alias("seed"))
-    graph = cut(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+    graph = gathered(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), GRAPH_ROWS)
     often = graph.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SUPPORT).select("pattern")
-    graph = cut(_by(graph, often, "pattern", "value"))
+    graph = gathered(_by(graph, often, "pattern", "value"), GRAPH_ROWS)
     score = graph.withColumn("belief", F.col("seed"))
     values = patterns = None
     for _ in range(rounds):
         patterns = score.groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("belief") >= 0.5).alias("support"))
-        patterns = cut(patterns.select("pattern", F.when(F.col("support") >= LEAST_SUPPORT, F.col("confidence")).otherwise(0.0).alias("confidence")))
+        patterns = gathered(patterns.select("pattern", F.when(F.col("support") >= LEAST_SUPPORT, F.col("confidence")).otherwise(0.0).alias("confidence")), GRAPH_ROWS)
         # a value that several patterns hold is believed as far as these are: 1 - prod(1 - confidence)
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence") * 0.9, F.lit(1e-9)))))
-        values = cut(_by(graph, patterns, "pattern", "value").groupBy("value").agg(F.greatest(F.max("seed"), (1 - doubt) * 0.9).alias("belief")))
-        score = cut(_by(graph, values, "value", "pattern"))
+        values = gathered(_by(graph, patterns, "pattern", "value").groupBy("value").agg(F.greatest(F.max("seed"), (1 - doubt) * 0.9).alias("belief")), GRAPH_ROWS)
+        score = gathered(_by(graph, values, "value", "pattern"), GRAPH_ROWS)
     return patterns.filter(F.col("confidence") >= LEAST_CONFIDENCE), values.filter(F.col("belief") >= LEAST_BELIEF)
 
 
