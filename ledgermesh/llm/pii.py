@@ -156,7 +156,8 @@ def _by(rows: DataFrame, known: DataFrame, key: str, other: str) -> DataFrame:
     """rows with the columns that known has for their key. A key's rows are dealt out by `other`, so a frequent one isn't one task's."""
     salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
     known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", salt).join(known, [key, "_salt"]).drop("_salt")
+    # never broadcast: what gathered() wrote is estimated by its compressed size, without the salts
+    return rows.withColumn("_salt", salt).join(known.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def scored_graph(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
