@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgermesh import session
 from ledgermesh.graph.components import component_members
 from ledgermesh.llm.near_dedup import near_duplicates
-from ledgermesh.llm.pii import scored_graph
+from ledgermesh.llm.pii import _by, scored_graph
 
 
 def files_of(run):
@@ -57,3 +57,9 @@ def test_gathered_rows_are_whole_and_a_cached_table_stays_cached(many_parts):
     rows.cache()
     assert session.gathered(rows, 300).count() == 1000 and rows.storageLevel.useMemory
     rows.unpersist()
+
+
+def test_salted_joins_are_not_broadcast(many_parts):
+    known = many_parts.createDataFrame([("p", 1.0)], "pattern string, confidence double")
+    joined = _by(many_parts.createDataFrame([("p", f"v{i}") for i in range(50)], "pattern string, value string"), known, "pattern", "value")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 50
