@@ -67,6 +67,23 @@ def test_ancestors_of_a_dense_graph_leave_no_partial_sums(spark, monkeypatch):
     assert {r.id: r.ancestors for r in rows} == wanted and len(rows) == len(wanted)
 
 
+def test_bits_between_rounds_are_bounded_by_the_edges(spark, monkeypatch):
+    """Parts go through the rounds in batches, and neither bits nor edges are copied for each block and part."""
+    n, sizes, write = 300, [], blocks.stored
+    for name, value in (("CHUNK", 3), ("TARGETS", 64), ("SLICE", 6), ("LEAST", 1 << 11), ("HELD", 0)):
+        monkeypatch.setattr(blocks, name, value)
+    edges = [(i, (i + j) % n) for i in range(n) for j in (1, 2, 150)]
+    monkeypatch.setattr(blocks, "stored", lambda df: sizes.append((df, write(df))) or sizes[-1][1])
+    rows = short_cycle_texts(spark.createDataFrame(edges, "src long, dst long"))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df, _ in sizes[1:]]
+    assert len(plans) > 3 and all("CartesianProduct" in p for p in plans)
+    two = {0, 1, 2, 150}
+    steps = {a + b + c for a in two for b in two for c in two if (a, b, c) != (0, 0, 0)}
+    # the ring is closed by two halves, and back and forth
+    wanted = {i: ",".join(map(str, sorted({(i - s) % n for s in steps}))) for i in range(n)}
+    assert {r.id: r.ancestors for r in rows.collect()} == wanted
+
+
 def test_texts_are_in_order_where_words_cross(spark):
     n = 200  # a ring in shuffled order: neighbours' ids lie anywhere, so words of one vertex cross
     ids = random.Random(6).sample(range(-1000, 1000), n)
